@@ -6,6 +6,9 @@ differ in at most M * (E + 1) - 1 symbols have a chunk with at most E = 1 differ
 chunk in turn enumerates these errors, so such a pair shares a key. At K = 40, M = 8, E = 1 all pairs within 15
 symbols are met, and a pair at similarity 0.8 is missed with a chance of 2e-5, at 0.85 of 6e-7.
 
+Beside it a class has a parity sketch of 1024 bits: each shingle flips one. Two sketches differ in no more bits than the sets
+differ in shingles, so a pair whose sketches differ too much is ruled out for certain.
+
 Classes that share a key aren't paired with each other but with a few heads of the key. Candidate pairs are held to a
 bound on the distance of 128 one-bit minhashes, and confirmed on the full sets. Then keys whose members still lie in
 more than one component are taken up again: every member outside the key's main component meets every member of another
@@ -37,6 +40,8 @@ BITS = 128
 #: One-bit minhashes that a pair may differ in: a pair at 0.8 differs in 12.8 of 128, more than 33 at a chance of 1e-7.
 MOST_BITS = 33
 HEADS = 3
+PARITY = 1024
+SKETCH = [f"s{i}" for i in range(PARITY // 64)]
 #: Ids of sets to fetch are broadcast up to so many (8 bytes each); beyond, texts are shuffled to them.
 BROADCAST_IDS = 2_000_000
 
@@ -66,7 +71,7 @@ def sets_of(s: tb.Slice, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (a hash of the set), symbols (16 bits each), bits_a and bits_b."""
+    """doc_id, n_shingles, set_a and set_b (a hash of the set), symbols (16 bits each), bits_a and bits_b, and the parity sketch."""
 
     def make(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         done = 0
@@ -82,17 +87,19 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     low[some, j] = np.minimum.reduceat(g * _MULTIPLY[j] + _ADD[j], first)
                 sums[some, 0] = np.add.reduceat(tb.mix(g + np.uint64(1)), first)
                 sums[some, 1] = np.add.reduceat(tb.mix(g ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
+            flips = np.bincount(np.repeat(np.arange(s.n), n) * PARITY + (tb.mix(g) & np.uint64(PARITY - 1)).astype(np.int64), minlength=s.n * PARITY) & 1
+            sketch = np.packbits(flips.astype(np.uint8).reshape(s.n, PARITY), axis=1).view(np.int64)
             low = tb.mix(low)
             symbols = np.ascontiguousarray((low[:, : CHUNKS * CHUNK] & np.uint64(0xFFFF)).astype("<u2"))
             bits = np.packbits((low >> np.uint64(33) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
             rows = symbols.view(f"V{2 * CHUNKS * CHUNK}").ravel()
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(done, s.n), pa.array(n), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(bits[:, 0]), pa.array(bits[:, 1])],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "symbols", "bits_a", "bits_b"],
+                [b.column(0).slice(done, s.n), pa.array(n), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(bits[:, 0]), pa.array(bits[:, 1]), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "symbols", "bits_a", "bits_b", *SKETCH],
             )
             done += s.n
 
-    return per_batch(texts(docs), make, "doc_id long, n_shingles long, set_a long, set_b long, symbols binary, bits_a long, bits_b long")
+    return per_batch(texts(docs), make, "doc_id long, n_shingles long, set_a long, set_b long, symbols binary, bits_a long, bits_b long, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
 def chunk_keys(symbols: np.ndarray) -> np.ndarray:
@@ -127,6 +134,12 @@ def alike(x: str, y: str, percent: int):
     return sizes & (bits("bits_a") + bits("bits_b") <= MOST_BITS)
 
 
+def may_differ(x: str, y: str, percent: int):
+    """Column: the parity sketches of two sides don't rule the similarity out. It allows a symmetric difference of (100 - p) / (100 + p) of the summed sizes."""
+    flips = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in SKETCH[1:]), F.bit_count(F.col(f"{x}.{SKETCH[0]}").bitwiseXOR(F.col(f"{y}.{SKETCH[0]}"))))
+    return flips * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent)
+
+
 def ordered(x, y) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -156,7 +169,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     """One row per document: doc_id, n_shingles, component_id, kept, n_links (of its class with other classes)."""
     sigs = materialize(signatures(docs, width), "near-signatures")
     by_set = sigs.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", F.col("n_shingles").alias("n"))
-    classes = materialize(by_set.agg(F.min("doc_id").alias("id"), F.first("symbols").alias("symbols"), F.first("bits_a").alias("bits_a"), F.first("bits_b").alias("bits_b")), "near-classes")
+    classes = materialize(by_set.agg(F.min("doc_id").alias("id"), F.first("symbols").alias("symbols"), F.first("bits_a").alias("bits_a"), F.first("bits_b").alias("bits_b"), *(F.first(c).alias(c) for c in SKETCH)), "near-classes")
     # keys that more than one class has, and their members
     keys = keyed(classes)
     shared = materialize(keys.groupBy("key").count().filter("count > 1").select("key"), "near-keys")
@@ -174,9 +187,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
     main = materialize(sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("key", F.col("main.component").alias("main")), "near-main")
     if not main.isEmpty():
-        mixed = materialize(placed.join(main, "key"), "near-mixed")
+        mixed = materialize(placed.join(main, "key").join(classes.select("id", *SKETCH), "id"), "near-mixed")
         x, y = mixed.filter("component <> main").alias("x"), mixed.alias("y")
-        apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & alike("x", "y", percent)).select(*ordered(F.col("x.id"), F.col("y.id"))).distinct()
+        apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & alike("x", "y", percent) & may_differ("x", "y", percent)).select(*ordered(F.col("x.id"), F.col("y.id"))).distinct()
         second = materialize(apart.join(first, ["a", "b"], "left_anti"), "near-second")
         if not second.isEmpty():
             links = materialize(links.unionByName(confirmed(second, docs, width, percent, "near-second")).distinct(), "near-links")
