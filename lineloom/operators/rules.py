@@ -49,15 +49,15 @@ def predicate(tree, captures: str = "captures") -> Column:
 
 def apply_rules(rows: DataFrame, rules: list[dict], captures: str = "captures") -> DataFrame:
     """Adds effects: of each rule (when, entity, and parameter if it makes one effect a value), what it gives for the row."""
+    none = F.array().cast("array<string>")
+
+    def values(name: str, entity: str) -> Column:
+        return F.transform(F.filter(captures, lambda c: c["name"] == name), lambda c: F.concat(F.lit(f"{entity}:"), c["text"]))
+
     parts = []
     for r in rules:
-        holds = predicate(r.get("when", "always"), captures)
-        none = F.array().cast("array<string>")
-        if p := r.get("parameter"):
-            found = F.transform(F.filter(captures, lambda c, p=p: c["name"] == p), lambda c, r=r: F.concat(F.lit(f"{r['entity']}:"), c["text"]))
-        else:
-            found = F.array(F.lit(r["entity"]))
-        parts.append(F.when(holds, found).otherwise(none))
+        found = values(r["parameter"], r["entity"]) if r.get("parameter") else F.array(F.lit(r["entity"]))
+        parts.append(F.when(predicate(r.get("when", "always"), captures), found).otherwise(none))
     return rows.withColumn("effects", F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<string>"))
 
 
