@@ -173,32 +173,26 @@ def fit(texts: dict[str, list[str]], order: int = ORDER, max_keys: int = MAX_KEY
     langs = sorted(texts)
     m = len(langs)
     counts: list[dict] = []
+    empty = (np.zeros(0, np.uint64),) * 3 + (np.zeros(0),)
     for lang in langs:
-        by_order: dict[int, list] = {k: [] for k in range(1, order + 1)}
-        for lo in range(0, len(texts[lang]), 200):
-            c = distinct_words(texts[lang][lo : lo + 200])
+        grams = dict.fromkeys(range(1, order + 1), empty)
+        for lo in range(0, len(texts[lang]), 50):
+            c = distinct_words(texts[lang][lo : lo + 50])
             if not len(c.word):
                 continue
             uses = np.bincount(c.word, minlength=len(c.first) - 1)
             owner = np.repeat(np.arange(len(c.first) - 1), np.diff(c.first))
-            held: dict[int, np.ndarray] = {}
+            shorter = np.zeros(len(c.chars), np.uint64)
             for k, at, h in gram_hashes(c, order):
-                shorter = np.zeros(len(c.chars), np.uint64)
-                shorter[at] = h
-                held[k] = shorter
                 # context: the (k-1)-gram that ends one before; suffix: the (k-1)-gram that ends here
-                ctx = held[k - 1][at - 1] if k > 1 else np.zeros(len(at), np.uint64)
-                suffix = held[k - 1][at] if k > 1 else np.zeros(len(at), np.uint64)
+                ctx = shorter[at - 1] if k > 1 else np.zeros(len(at), np.uint64)
+                suffix = shorter[at] if k > 1 else np.zeros(len(at), np.uint64)
                 own = at > c.first[owner[at]] if k == 1 else np.ones(len(at), bool)  # the leading space isn't predicted
-                by_order[k].append((h[own], ctx[own], suffix[own], uses[owner[at]][own]))
-        grams = {}
-        for k, parts in by_order.items():
-            if not parts:
-                grams[k] = (np.zeros(0, np.uint64),) * 3 + (np.zeros(0),)
-                continue
-            h, ctx, suf, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            u, one, inv = np.unique(h, return_index=True, return_inverse=True)
-            grams[k] = (u, ctx[one], suf[one], np.bincount(inv, n))
+                shorter = np.zeros(len(c.chars), np.uint64)
+                shorter[at] = h
+                u0, c0, s0, n0 = grams[k]
+                u, one, inv = np.unique(np.concatenate((u0, h[own])), return_index=True, return_inverse=True)
+                grams[k] = (u, np.concatenate((c0, ctx[own]))[one], np.concatenate((s0, suffix[own]))[one], np.bincount(inv, np.concatenate((n0, uses[owner[at]][own]))))
         counts.append(grams)
     gains: list[tuple] = []
     for j, grams in enumerate(counts):
@@ -246,8 +240,10 @@ def fit(texts: dict[str, list[str]], order: int = ORDER, max_keys: int = MAX_KEY
     directory = np.concatenate((np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), [len(keys)]))
     model = Model(langs, order, keys, gain, back, root, directory, 64 - bits, np.full(m, UNSEEN, np.float32), np.zeros(m))
     for j, lang in enumerate(langs):
-        e, n = model.entropies(texts[lang])
-        own = e[(n > 0) & (e.argmin(1) == j), j]
+        own = []
+        for lo in range(0, len(texts[lang]), 50):
+            e, n = model.entropies(texts[lang][lo : lo + 50])
+            own += e[(n > 0) & (e.argmin(1) == j), j].tolist()
         if len(own):
             model.reach[j] = np.quantile(own, 0.999)
     return model

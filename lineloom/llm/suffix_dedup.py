@@ -3,10 +3,11 @@
 Pointers are the starts of `length`-byte strings within documents. Initial buckets are q-grams: a string falls into the
 bucket of its leftmost smallest q-gram by hash, which depends on its bytes alone, so equal strings share a bucket. Runs of
 neighbouring pointers with one such q-gram are a unit. Buckets with a single unit are singletons and drop out. The rest
-are refined: units whose whole extent is alike are equal in all their strings, and need no more; in buckets where
-extents differ, one unit of each extent is opened up, and its pointers are refined by the bucket identifiers (q-gram hashes) at
-the later offsets q, 2q, ... and length - q, which together spell the string. Identifiers found for one level serve the next,
-so that only the edges of repeated passages are ever looked at byte by byte. A refined bucket with two pointers is a repeat.
+are refined: units whose whole extent is alike are equal in all their strings, and need no more. In buckets where
+extents differ, one unit of each extent is looked into. A bucket of few extents is sorted out at once by what these share before
+and after the q-gram, as suffix sorters do with small buckets. In one of many, ranges of pointers are refined by the identifiers
+of what all their strings share, level by level: those that no other has drop out, those that are alike as a whole
+are repeats, and the rest are cut finer, down to single pointers. Each level sees only what the one before left open.
 
 Identifiers are 64-bit hashes, compared only within a bucket of the level above.
 
@@ -31,6 +32,10 @@ from lineloom.llm.rows import per_batch
 from lineloom.llm.store import materialize
 
 LENGTH, Q = 200, 64
+#: Extents up to which a bucket is sorted out at once, in one row of some SMALL * 2 * LENGTH bytes.
+SMALL = 64
+#: Cells of pointers at the levels of a large bucket.
+WIDTHS = (32, 8, 1)
 #: Documents whose pointers or spans are broadcast to the texts, and those pointers or spans in all; beyond either, texts are shuffled to them.
 BROADCAST_DOCS, BROADCAST_SPANS = 500_000, 2_000_000
 
@@ -106,35 +111,161 @@ def with_lists(docs: DataFrame, lists: DataFrame, n_spans: int, how: str) -> Dat
     return docs.join(lists, list(KEY), how)
 
 
-def opened(docs: DataFrame, reps: DataFrame, length: int, q: int) -> DataFrame:
-    """(bucket, refined, alone, d, t, pointer) of every pointer of the written units reps (d, t, at, bucket, alone)."""
-    lists = materialize(reps.groupBy(*KEY).agg(F.collect_list(F.struct("at", "bucket", "alone")).alias("units")), "suffix-opened")
+def anchors(grams: np.ndarray, last: np.ndarray, bucket: np.ndarray, reach: int) -> np.ndarray:
+    """Where the bucket's q-gram stands first at or after each unit's last pointer."""
+    out = np.empty(len(last), np.int64)
+    for lo in range(0, len(last), 4096):
+        at = last[lo : lo + 4096, None] + np.arange(reach)
+        out[lo : lo + 4096] = (grams[np.minimum(at, len(grams) - 1)] == bucket[lo : lo + 4096, None]).argmax(1)
+    return last + out
+
+
+def _listed(b: pa.RecordBatch, s: tb.Slice, done: int) -> tuple[pa.StructArray, np.ndarray, np.ndarray, np.ndarray]:
+    """The units listed for a slice's documents, their documents, first pointers and numbers of pointers."""
+    lists = b.column(3).slice(done, s.n)
+    flat = lists.flatten()
+    at = np.asarray(flat.field(0))
+    return flat, np.repeat(np.arange(s.n), np.asarray(pc.list_value_length(lists))), at >> 32, at & 0xFFFFFFFF
+
+
+def contexts(docs: DataFrame, lists: DataFrame, n_units: int, length: int, q: int) -> DataFrame:
+    """(bucket, alone, d, t, first, left, extent): the bytes of each listed unit's extent; left: those before the q-gram."""
+
+    def make(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for s in tb.slices(b.column(2)):
+            flat, doc, first, count = _listed(b, s, done)
+            if len(doc):
+                start = s.edges[doc] + first
+                at = np.arange(len(s.data) - q + 1)
+                grams = tb.span_hash(tb.prefix_hash(s.data), at, at + q)
+                left = anchors(grams, start + count - 1, np.asarray(flat.field(1)).view(np.uint64), length - q + 1) - start
+                data = s.data.tobytes()
+                extent = [data[i:j] for i, j in zip(start.tolist(), (start + count - 1 + length).tolist(), strict=True)]
+                take = pa.array(doc + done)
+                yield pa.RecordBatch.from_arrays([flat.field(1), flat.field(2), b.column(0).take(take), b.column(1).take(take), pa.array(first), pa.array(left), pa.array(extent, pa.binary())], names=["bucket", "alone", "d", "t", "first", "left", "extent"])
+            done += s.n
+
+    wanted = with_lists(keyed(docs).select("d", "t", "text"), lists, n_units, "inner").select("d", "t", "text", "units")
+    return per_batch(wanted, make, "bucket long, alone boolean, d long, t int, first long, left long, extent binary")
+
+
+def sorted_out(small: DataFrame, length: int) -> DataFrame:
+    """(d, t, start, end) of what the lone units of small buckets repeat, by the lengths they share with each other on either side of the q-gram."""
+
+    def make(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for members in b.column(1).to_pylist():
+            n = len(members)
+            left = np.array([m["left"] for m in members])
+            size = np.array([len(m["extent"]) for m in members])
+            before, after = int(left.max()), int((size - left).max())
+            x = np.full((n, before), 256, np.int16)  # bytes before the q-gram, nearest first
+            y = np.full((n, after), 256, np.int16)
+            for i, m in enumerate(members):
+                e = np.frombuffer(m["extent"], np.uint8)
+                x[i, : left[i]] = e[: left[i]][::-1]
+                y[i, : size[i] - left[i]] = e[left[i] :]
+            for i, m in enumerate(members):
+                if not m["alone"]:
+                    continue
+                shared_left = np.logical_and.accumulate((x == x[i]) & (x != 256), axis=1).sum(1)
+                shared_right = np.logical_and.accumulate((y == y[i]) & (y != 256), axis=1).sum(1)
+                ok = shared_left + shared_right >= length
+                ok[i] = False
+                if ok.any():
+                    a = m["first"] + m["left"]
+                    rows.append((m["d"], m["t"], a - int(shared_left[ok].max()), a + int(shared_right[ok].max())))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["d", "t", "start", "end"])
+
+    return per_batch(small.groupBy("bucket").agg(F.collect_list(F.struct("alone", "d", "t", "first", "left", "extent")).alias("members")), make, "d long, t int, start long, end long")
+
+
+CELL = "bucket long, base int, core long, lo int, hi int, extent long, alone boolean, d long, t int, anchor long"
+
+
+def cells(docs: DataFrame, lists: DataFrame, n_units: int, length: int, q: int, width: int) -> DataFrame:
+    """The listed ranges of pointers cut into cells of `width`.
+
+    A pointer goes by the number of bytes between it and its q-gram (the anchor). core: a hash of the bytes that all strings of a whole
+    cell share, which no string of the cell can be repeated without; extent: of all bytes of the cell's own pointers, lo to hi.
+    """
 
     def make(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        column, done = b.column(2), 0
-        for s in tb.slices(column):
+        done = 0
+        for s in tb.slices(b.column(2)):
             lists_ = b.column(3).slice(done, s.n)
             flat = lists_.flatten()
-            doc = np.repeat(np.arange(s.n), np.asarray(pc.list_value_length(lists_)))
-            at = np.asarray(flat.field(0))
-            first, count = at >> 32, at & 0xFFFFFFFF
-            row = np.repeat(np.arange(len(at)), count)
-            pointer = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            start = s.edges[doc[row]] + pointer
-            h = tb.prefix_hash(s.data)
-            refined = np.zeros(len(start), np.uint64)
-            for offset in [*range(0, length - q, q), length - q]:  # identifiers of the first level at later offsets
-                refined = tb.mix(refined * np.uint64(0x9E3779B97F4A7C15) + tb.span_hash(h, start + offset, start + offset + q))
-            take = pa.array(doc[row] + done)
-            yield pa.RecordBatch.from_arrays([flat.field(1).take(pa.array(row)), pa.array(refined.view(np.int64)), flat.field(2).take(pa.array(row)), b.column(0).take(take), b.column(1).take(take), pa.array(pointer)], names=["bucket", "refined", "alone", "d", "t", "pointer"])
+            if len(flat):
+                doc = np.repeat(np.arange(s.n), np.asarray(pc.list_value_length(lists_)))
+                anchor, lo, hi = (np.asarray(flat.field(k)).astype(np.int64) for k in range(3))
+                n = hi // width - lo // width + 1
+                row = np.repeat(np.arange(len(n)), n)
+                base = (lo[row] // width + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * width
+                low, high = np.maximum(lo[row], base), np.minimum(hi[row], base + width - 1)
+                at = s.edges[doc[row]] + anchor[row]
+                h = tb.prefix_hash(s.data)
+                core = tb.span_hash(h, at - base, at + length - base - width + 1)
+                extent = tb.span_hash(h, at - high, at + length - low)
+                take, own = pa.array(doc[row] + done), pa.array(row)
+                yield pa.RecordBatch.from_arrays([flat.field(3).take(own), pa.array(base.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(extent.view(np.int64)), flat.field(4).take(own), b.column(0).take(take), b.column(1).take(take), pa.array(anchor[row])], names=[x.split()[0] for x in CELL.split(", ")])
             done += s.n
 
-    n = reps.count()
-    wanted = with_lists(keyed(docs).select("d", "t", "text"), lists, n, "inner").select("d", "t", "text", "units")
-    return per_batch(wanted, make, "bucket long, refined long, alone boolean, d long, t int, pointer long")
+    wanted = with_lists(keyed(docs).select("d", "t", "text"), lists, n_units, "inner").select("d", "t", "text", "ranges")
+    return per_batch(wanted, make, CELL)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
+def anchored(docs: DataFrame, lists: DataFrame, n_units: int, length: int, q: int) -> DataFrame:
+    """(d, t, ranges) of the listed units: anchor, lo and hi, bucket, alone."""
+    one = pa.struct([("anchor", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("bucket", pa.int64()), ("alone", pa.bool_())])
+
+    def make(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for s in tb.slices(b.column(2)):
+            flat, doc, first, count = _listed(b, s, done)
+            if len(doc):
+                start = s.edges[doc] + first
+                at = np.arange(len(s.data) - q + 1)
+                grams = tb.span_hash(tb.prefix_hash(s.data), at, at + q)
+                anchor = anchors(grams, start + count - 1, np.asarray(flat.field(1)).view(np.uint64), length - q + 1) - s.edges[doc]
+                ranges = pa.StructArray.from_arrays([pa.array(anchor), pa.array((anchor - first - count + 1).astype(np.int32)), pa.array((anchor - first).astype(np.int32)), flat.field(1), flat.field(2)], fields=list(one))
+                cut = np.searchsorted(doc, np.arange(s.n + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, s.n), b.column(1).slice(done, s.n), pa.ListArray.from_arrays(pa.array(cut), ranges)], names=["d", "t", "ranges"])
+            done += s.n
+
+    wanted = with_lists(keyed(docs).select("d", "t", "text"), lists, n_units, "inner").select("d", "t", "text", "units")
+    return per_batch(wanted, make, "d long, t int, ranges array<struct<anchor:long,lo:int,hi:int,bucket:long,alone:boolean>>")
+
+
+def refined(docs: DataFrame, lists: DataFrame, n_units: int, length: int, q: int, widths: tuple[int, ...] = WIDTHS) -> list[DataFrame]:
+    """(d, t, start, end) of what the lone units of large buckets repeat, found level by level.
+
+    At each level the pointers of a bucket are refined by the identifier of their cell's core: cells that no other shares drop
+    out; cells whose whole extent another shares are repeats; the others are cut finer. At width 1 core and extent are the string.
+    """
+    span = [(F.col("anchor") - F.col("hi")).alias("start"), (F.col("anchor") + length - F.col("lo")).alias("end")]
+    ranges, n, out = materialize(anchored(docs, lists, n_units, length, q), "suffix-ranges"), n_units, []
+    for width in widths:
+        level = materialize(cells(docs, ranges, n, length, q, width), "suffix-cells")
+        core = ["bucket", "base", "core"]
+        live = level.groupBy(*core).agg(F.count(F.lit(1)).alias("n"), F.count_if("alone").alias("lone")).filter("n > 1 and lone > 0").select(*core)
+        kept = materialize(level.join(materialize(live, "suffix-live"), core), "suffix-kept")
+        if width == 1:
+            out.append(kept.filter("alone").select(*KEY, *span))
+            break
+        whole = [*core, "lo", "hi", "extent"]
+        groups = materialize(kept.groupBy(*whole).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "t", "anchor", "alone")).alias("rep")), "suffix-groups")
+        out.append(kept.filter("alone").join(groups.filter("n > 1").select(*whole), whole).select(*KEY, *span))
+        left = groups.groupBy("rep.d", "rep.t").agg(F.collect_list(F.struct("rep.anchor", "lo", "hi", "bucket", (F.col("rep.alone") & (F.col("n") == 1)).alias("alone"))).alias("ranges"))
+        ranges = materialize(left, "suffix-ranges")
+        n = ranges.agg(F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()[0]
+        if not n:
+            break
+    return out
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q, small: int = SMALL) -> DataFrame:
     """(d, t, start, end) of repeated strings; spans of a document may overlap."""
     all_units = materialize(unit_table(docs, length, q), "suffix-units")
     buckets = all_units.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("extent").alias("low"), F.max("extent").alias("high")).filter("n > 1")
@@ -145,11 +276,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
     mixed = shared.filter("not pure")
     extents = materialize(mixed.groupBy("bucket", "extent").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "t", "at")).alias("rep")), "suffix-extents")
     again = mixed.join(extents.filter("n > 1").select("bucket", "extent"), ["bucket", "extent"]).select(*KEY, *span)
-    reps = extents.select("rep.*", "bucket", (F.col("n") == 1).alias("alone"))
-    pointers = materialize(opened(docs, reps, length, q), "suffix-pointers")
-    twice = materialize(pointers.groupBy("bucket", "refined").count().filter("count > 1").select("bucket", "refined"), "suffix-twice")
-    edges = pointers.filter("alone").join(twice, ["bucket", "refined"]).select(*KEY, F.col("pointer").alias("start"), (F.col("pointer") + length).alias("end"))
-    return whole.unionByName(again).unionByName(edges)
+    # buckets with a lone extent are left: few extents are sorted out at once, many are refined pointer by pointer
+    kinds = extents.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("lone")).filter("lone > 0").select("bucket", (F.col("kinds") <= small).alias("small"))
+    reps = extents.select("rep.*", "bucket", (F.col("n") == 1).alias("alone")).join(materialize(kinds, "suffix-kinds"), "bucket")
+    listed = reps.groupBy("small", *KEY).agg(F.collect_list(F.struct("at", "bucket", "alone")).alias("units"))
+    listed = materialize(listed, "suffix-listed")
+    n_units = {r["small"]: r["n"] for r in listed.groupBy("small").agg(F.sum(F.size("units")).alias("n")).collect()}
+    parts = [whole, again]
+    if True in n_units:
+        lists = listed.filter("small").drop("small")
+        parts.append(sorted_out(contexts(docs, lists, n_units[True], length, q), length))
+    if False in n_units:
+        lists = listed.filter("not small").drop("small")
+        parts += refined(docs, lists, n_units[False], length, q)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,10 +303,23 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return a[new], b[np.append(np.flatnonzero(new)[1:] - 1, len(b) - 1)]
 
 
+def runs_of(spans: DataFrame) -> DataFrame:
+    """(d, t, starts, ends): the maximal runs of each document's spans, in order. A document's spans are bound by its length."""
+
+    def make(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out = [merged(np.asarray(x.values), np.asarray(y.values)) for x, y in zip(b.column(2), b.column(3), strict=True)]
+        cut = pa.array(np.concatenate(([0], np.cumsum([len(x) for x, _ in out]))).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate([r[k] for r in out]))) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=["d", "t", "starts", "ends"])
+
+    gathered = spans.groupBy(*KEY).agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    return per_batch(gathered, make, "d long, t int, starts array<long>, ends array<long>")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, keep_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start and end pairs); keep_text: kept, the remaining bytes, too."""
     spans = repeated_spans(docs, length, q)
-    lists = materialize(spans.distinct().groupBy(*KEY).agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "suffix-spans")
+    lists = materialize(runs_of(spans), "suffix-spans")
     n = lists.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
 
     def make(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -171,7 +327,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, keep_text:
         for doc_id, text, starts, ends in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2), b.column(3), strict=True):
             kept, runs = text, []
             if starts.is_valid:
-                x, y = merged(np.asarray(starts.values), np.asarray(ends.values))
+                x, y = np.asarray(starts.values), np.asarray(ends.values)
                 cut = [0, *np.stack((x, y), 1).ravel().tolist(), len(text)]
                 runs = cut[1:-1]
                 kept = b"".join(text[i:j] for i, j in zip(cut[::2], cut[1::2], strict=True))

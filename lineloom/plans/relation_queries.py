@@ -148,8 +148,8 @@ def q_effects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_follow_declared(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
-    declared = s.select((F.col("k") % 60).alias("left"), (F.col("k") % 60).alias("right"), ((F.col("k") % 60) + 1).alias("left_target"), ((F.col("k") % 60) + 1).alias("right_target"))
+    k = F.col("n_nationkey").cast("long")
+    declared = table(spark, d, "nation").select(k.alias("left"), k.alias("right"), (k + 1).alias("left_target"), (k + 1).alias("right_target"))
     odd = spark.createDataFrame([(10, 10, 12, 13), (20, 20, 99, 98)], "left long, right long, left_target long, right_target long")
     return graphs.follow_declared(declared.unionByName(odd).distinct(), spark.createDataFrame([(0, 0)], "left long, right long"))
 
@@ -233,7 +233,7 @@ ORACLE_SQL = {
     "q_group_by_view": "SELECT p_brand AS view, array_to_string(list_sort(list(DISTINCT p_name)), '|') AS formats FROM part GROUP BY 1",
     "q_conflicting": "SELECT p_brand, p_name, count(DISTINCT p_type) AS n_targets FROM part GROUP BY ALL HAVING n_targets > 1",
     "q_effects": "WITH o AS (SELECT 'v' || o_custkey % 3 AS view, o_custkey::VARCHAR AS format, CASE WHEN o_orderkey % 31 = 0 THEN 'unknown' WHEN o_orderkey % 2 = 0 AND o_custkey % 3 <> o_custkey % 4 THEN 'switch:v' || o_custkey % 4 ELSE 'stay' END AS e FROM orders) SELECT view, format, CASE WHEN count(*) FILTER (e = 'unknown') = 0 AND count(DISTINCT e) = 1 THEN min(e) END AS effect FROM o GROUP BY ALL",
-    "q_follow_declared": "WITH RECURSIVE e AS (SELECT DISTINCT s_suppkey % 60 AS l, s_suppkey % 60 AS r, s_suppkey % 60 + 1 AS lt, s_suppkey % 60 + 1 AS rt FROM supplier UNION ALL VALUES (10, 10, 12, 13), (20, 20, 99, 98)), f AS (SELECT 0::BIGINT AS l, 0::BIGINT AS r UNION SELECT lt, rt FROM f JOIN e ON e.l = f.l AND e.r = f.r WHERE lt <> 12) SELECT l AS \"left\", r AS \"right\" FROM f",
+    "q_follow_declared": "WITH RECURSIVE e AS (SELECT n_nationkey::BIGINT AS l, n_nationkey::BIGINT AS r, n_nationkey::BIGINT + 1 AS lt, n_nationkey::BIGINT + 1 AS rt FROM nation UNION ALL VALUES (10, 10, 12, 13), (20, 20, 99, 98)), f AS (SELECT 0::BIGINT AS l, 0::BIGINT AS r UNION SELECT lt, rt FROM f JOIN e ON e.l = f.l AND e.r = f.r WHERE lt <> 12) SELECT l AS \"left\", r AS \"right\" FROM f",
     "q_example_fixpoint": "WITH RECURSIVE s AS (SELECT CASE WHEN s_suppkey % 10 > 0 THEN 'c' || (s_suppkey // 2) END AS parent, 'c' || s_suppkey AS child, 'v' || s_nationkey AS v FROM supplier), k AS (SELECT child AS command, 'entry' AS view FROM s WHERE parent IS NULL UNION SELECT s.child, s.v FROM k JOIN s ON s.parent = k.command) SELECT * FROM k",
     "q_semantic_lookup": "SELECT o_orderkey, r_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE o_orderkey % 10 = 0 AND r_name <> 'ASIA'",
     "q_rule_exists": f"SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING {_CAP_RULE}",
