@@ -5,11 +5,11 @@ sentence) are typed placeholders. Windows of such templates are hash-joined betw
 hits are grouped by diagonal, and a document holds an item if its windows cover enough of the item's words. The values that stand
 in the placeholders are then held against each other: where the item repeats a value the document must repeat one too, so
 a question with other numbers or names is caught as re-parameterised, and a chance likeness of form is not. Windows are
-also joined as they stand, so that a plain copy is found whatever its capitals.
+also joined as they stand, so that a plain copy is found whatever its capitals, and whatever its templates would match besides.
 
 Defined results: null or empty text, and items of fewer words than a window, match nothing. Rows that share doc_id and text
 give the same pairs once. Items with a null text are left out; items that share an item_id are one. Other columns are ignored.
-Ties don't arise: every pair is judged by itself.
+Every pair is judged by itself; of several places of an item in a document a plain copy goes first, then the widest coverage, then the first.
 """
 
 from __future__ import annotations
@@ -127,7 +127,7 @@ def windows(rows: DataFrame, width: int, min_literal: int, known: Filter | None
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = MIN_COVERAGE, gap: int = MERGE_GAP, min_literal: int = MIN_LITERAL) -> DataFrame:
-    """Pairs found: doc_id, item_id, coverage, first_word, last_word, n_slots, reparameterised."""
+    """Pairs found: doc_id, item_id, coverage, first_word, last_word, n_slots, reparameterised (not a plain copy, and a slot holds another value)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.lit(0).cast("long").alias("text_hash"), F.col("text").cast("string").alias("text")).filter("id is not null and text is not null").dropDuplicates(["id"])
     held = materialize(windows(items, width, min_literal), "decontaminate-items")
     known = None
@@ -139,19 +139,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     joined = x.join(y, "window").filter("kinds = item_kinds")
     # values of the placeholders: (item's, document's), and where in the item
     slot = F.filter(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.struct((F.col("item_pos") + i).alias("at"), F.call_function("shiftright", F.col("kinds"), i * 4).bitwiseAND(F.lit(15).cast("long")).alias("kind"), F.get("item_values", i).alias("item"), F.get("values", i).alias("doc"))), lambda z: z["kind"] != 0)
-    hits = joined.select(F.col("id").alias("doc_id"), "text_hash", "item_id", "item_words", "item_pos", "pos", slot.alias("slots"))
+    hits = joined.select(F.col("id").alias("doc_id"), "text_hash", "item_id", "item_words", "item_pos", "pos", (F.col("kinds") == 0).alias("plain"), slot.alias("slots"))
     key = ["doc_id", "text_hash", "item_id", "item_words"]
-    votes = hits.groupBy(*key, (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.collect_set("item_pos").alias("held"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    votes = hits.groupBy(*key, (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.collect_set("item_pos").alias("held"), F.collect_set(F.when(F.col("plain"), F.col("item_pos"))).alias("held_plain"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     by = Window.partitionBy(*key).orderBy("diagonal")
     runs = votes.withColumn("run", F.sum(F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > gap).cast("int"), F.lit(1))).over(by))
-    merged = runs.groupBy(*key, "run").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("held")))).alias("held"), F.min("lo").alias("first_word"), (F.max("hi") + (width - 1)).alias("last_word"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
+    all_of = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    merged = runs.groupBy(*key, "run").agg(all_of("held"), all_of("held_plain"), F.min("lo").alias("first_word"), (F.max("hi") + (width - 1)).alias("last_word"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-width).cast("long").alias("last"))
     step = lambda a, p: F.struct((a["n"] + F.least(F.lit(width).cast("long"), p - a["last"])).alias("n"), p.alias("last"))
-    share = F.aggregate("held", zero, step, lambda a: a["n"]) / F.col("item_words")
+    share = lambda c: F.aggregate(c, zero, step, lambda a: a["n"]) / F.col("item_words")
     # one document's value for each of the item's values
     pairs = F.array_distinct(F.transform("slots", lambda z: F.struct(z["kind"], z["item"], z["doc"])))
     consistent = F.size(F.array_distinct(F.transform(pairs, lambda z: F.struct(z["kind"], z["item"])))) == F.size(pairs)
     changed = F.exists("slots", lambda z: z["item"] != z["doc"])
-    found = merged.select(*key, share.alias("coverage"), "first_word", "last_word", F.size(F.array_distinct(F.transform("slots", lambda z: z["at"]))).alias("n_slots"), consistent.alias("consistent"), changed.alias("reparameterised")).filter(f"coverage >= {coverage} and consistent")
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", (-F.col("first_word")).alias("r"), "last_word", "n_slots", "reparameterised")).alias("b"))
+    plain = share("held_plain") >= coverage
+    found = merged.select(*key, share("held").alias("coverage"), "first_word", "last_word", F.size(F.array_distinct(F.transform("slots", lambda z: z["at"]))).alias("n_slots"), plain.alias("plain"), consistent.alias("consistent"), (~plain & changed).alias("reparameterised")).filter(f"coverage >= {coverage} and (plain or consistent)")
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("plain", "coverage", (-F.col("first_word")).alias("r"), "last_word", "n_slots", "reparameterised")).alias("b"))
     return best.select("doc_id", "item_id", "b.coverage", (-F.col("b.r")).alias("first_word"), "b.last_word", "b.n_slots", "b.reparameterised")

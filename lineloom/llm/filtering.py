@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lineloom.llm.rows import per_batch
 from lineloom.llm.store import materialize
 
-#: Ids, or spans, are broadcast up to so many rows; beyond, documents are shuffled to them.
+#: Ids, or spans with their documents, are broadcast up to so many in all; beyond, documents are shuffled to them.
 BROADCAST_IDS, BROADCAST_SPANS = 2_000_000, 500_000
 
 
@@ -28,12 +28,15 @@ def blank_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     Where rows share a doc_id, spans of each are blanked in all of them. A null doc_id keeps its text.
     """
-    one = spans.groupBy(F.col("doc_id").cast("long").alias("span_id")).agg(F.flatten(F.collect_list("spans")).alias("blank_spans"))
-    one = materialize(one.filter("span_id is not null"), "blank-spans")
-    if one.count() <= BROADCAST_SPANS:
+    one = spans.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    one = materialize(one.filter("doc_id is not null"), "blank-spans")
+    if (one.agg(F.sum(F.size("spans") + 1)).first()[0] or 0) <= BROADCAST_SPANS:
         one = F.broadcast(one)
-    joined = docs.join(one, docs["doc_id"] == one["span_id"], "left").drop("span_id")
     names = docs.columns
+    extra = "spans"
+    while extra in names:
+        extra += "_"
+    joined = docs.join(one, docs["doc_id"] == one["doc_id"], "left").select(*(docs[n] for n in names), one["spans"].alias(extra))
 
     def make(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         held = b.column(len(names))
@@ -51,4 +54,4 @@ def blank_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return per_batch(joined.select(*(docs[n] for n in names), "blank_spans"), make, schema)
+    return per_batch(joined, make, schema)

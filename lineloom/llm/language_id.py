@@ -270,28 +270,33 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, list[str]]:
     return out
 
 
-def identify(docs: DataFrame, model: Model | None = None, keep: bool = False) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score, rejected. keep: its other columns too."""
-    picked = docs.withColumn("lang", F.col("lang").cast("string")).withColumn("text", F.col("text").cast("string"))
-    model = model or fit(sample(picked))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """One row per document: doc_id, held_out, lang_pred, score, rejected."""
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model or fit(sample(picked)))
 
     def make(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        m, done = shared.value, 0
-        column = b.column(b.schema.names.index("text"))
+        m, done, column = shared.value, 0, b.column(2)
         for s in tb.slices(column):
             pred, score, rejected = m.predict(column.slice(done, s.n).to_pylist())
-            rest = [c.slice(done, s.n) for c in b.columns] if keep else [b.column(0).slice(done, s.n), b.column(1).slice(done, s.n)]
-            names = list(b.schema.names) if keep else ["doc_id", "held_out"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(done, s.n), b.column(1).slice(done, s.n), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
             done += s.n
 
-    more = "lang_pred string, score double, rejected boolean"
-    if keep:
-        clash = {"lang_pred", "score", "rejected"} & set(docs.columns)
-        if clash:
-            raise ValueError(f"columns {sorted(clash)} would be overwritten")
-        schema = ", ".join(f"`{n}` {t}" for n, t in picked.dtypes)
-        return per_batch(picked, make, f"{schema}, {more}")
-    ids = picked.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return per_batch(ids, make, f"doc_id long, held_out boolean, {more}")
+    return per_batch(picked.select("doc_id", held_out().alias("held_out"), "text"), make, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+
+
+def in_known_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The documents that aren't rejected, with all their columns as they are."""
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model or fit(sample(picked)))
+    at = docs.columns.index("text")
+
+    def make(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for s in tb.slices(b.column(at)):
+            rows = b.slice(done, s.n)
+            _, _, rejected = shared.value.predict(rows.column(at).to_pylist())
+            yield rows.filter(pa.array(~rejected))
+            done += s.n
+
+    return per_batch(docs, make, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))
