@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lineloom.llm.decontaminate import contaminated
 from lineloom.llm.filtering import blank_spans, without_ids
-from lineloom.llm.language_id import identify
+from lineloom.llm.language_id import in_known_language
 from lineloom.llm.near_dedup import near_duplicates
 from lineloom.llm.packing import pack
 from lineloom.llm.query_op5 import tokenizer_path
@@ -22,7 +22,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those that language identification rejects go."""
-    return identify(docs, keep=True).filter("not rejected").select(*docs.columns)
+    return in_known_language(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
