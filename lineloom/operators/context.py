@@ -6,30 +6,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineloom.parser import nested
+
 
 def parents(rows: DataFrame) -> DataFrame:
-    """Adds parent_line to rows (config_id, line_no, indent, command): the nearest earlier line that is indented less.
+    """Adds parent_line to rows (config_id, line_no, indent, command): the line each stands under.
 
-    A # clears the stack; blank lines have no parent and are none.
+    A configuration is bound by its file and is one group here. Where the texts themselves are at hand, configuration_lines()
+    finds the same without a shuffle.
     """
 
     def stack(g: pd.DataFrame) -> pd.DataFrame:
-        open_: list[tuple[int, int]] = []
-        out = []
         g = g.sort_values("line_no")
-        for n, depth, command in zip(g.line_no, g.indent, g.command, strict=True):
-            if not command:
-                out.append(None)
-                continue
-            if command.startswith("#"):
-                open_ = []
-                out.append(None)
-                continue
-            while open_ and open_[-1][0] >= depth:
-                open_.pop()
-            out.append(open_[-1][1] if open_ else None)
-            open_.append((depth, n))
-        return g.assign(parent_line=pd.array(out, dtype="Int64"))[["config_id", "line_no", "parent_line"]]
+        numbers = g.line_no.tolist()
+        found = [None if p is None else numbers[p] for p, _ in nested(zip(g.indent, g.command.fillna(""), strict=True))]
+        return g.assign(parent_line=pd.array(found, dtype="Int64"))[["config_id", "line_no", "parent_line"]]
 
     kind = dict(rows.dtypes)["config_id"]
     found = rows.select("config_id", F.col("line_no").cast("long").alias("line_no"), F.col("indent").cast("long").alias("indent"), "command").groupBy("config_id").applyInPandas(stack, f"config_id {kind}, line_no long, parent_line long")

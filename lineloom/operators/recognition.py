@@ -149,7 +149,7 @@ def automaton_results(commands: DataFrame, formats: list[Format], retain_all: bo
                         at, want = n, [lead[n]]
                     else:
                         o = recognize(programs[i], command)
-                        at, want = o.furthest, o.expected
+                        at, want = len(command[: o.furthest].split()), [w[1:-1] if w[0] == w[-1] == "'" else w for w in o.expected]
                         for p in o.accepted:
                             owners[id(p)] = texts[i]
                             paths.append(p)

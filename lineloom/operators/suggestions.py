@@ -7,132 +7,21 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lineloom.grammar.formats import Slot, Word, parse
-from lineloom.grammar.program import MANY_COMMIT, MANY_ENTER, MANY_NEXT, SET_COMMIT, SET_ENTER, SET_NEXT, SPLIT, VALUE, WORD, Program
-from lineloom.grammar.values import INVALID, REGISTRY, VALID, fold
-
-MISSING_WORD, MISSING_VALUE, EXTRA, SWAPPED = 900, 750, 900, 400
-VALUE_COST = {VALID: 100, INVALID: 350}
-OTHER_COST = 900
-MOST, PER_FORMAT, IN_ALL = 5, 600, 20_000
-WORST_WORD = 450
-
-
-def distance(a: str, b: str) -> int:
-    """Optimal string alignment: a swap of neighbours is one edit, and no part is edited twice."""
-    before, last = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            best = min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y))
-            if before is not None and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, before[j - 2] + 1)
-            now.append(best)
-        before, last = last, now
-    return last[-1]
-
-
-def word_cost(a: str, b: str) -> int:
-    """Thousandths of the longer word that differ, rounded half to even."""
-    return round(1000 * distance(a, b) / max(len(a), len(b), 1))
-
-
-def near_root(a: str, b: str) -> bool:
-    """Whether a first word may be meant for another."""
-    most = 1 if len(b) <= 4 else 2 if len(b) <= 8 else 3
-    return distance(a, b) <= most and word_cost(a, b) <= WORST_WORD
-
-
-def best_cost(program: Program, words: list[str], budget: int = PER_FORMAT) -> tuple[int, str] | None:
-    """The cheapest alignment of the words with any line of the program, and that line; None beyond the budget."""
-    import heapq
-
-    heap = [(0, 0, program.start, 0, (), ())]
-    seen, serial = {}, 0
-
-    def push(cost, pc, at, frames, said):
-        nonlocal serial
-        k = (pc, at, frames)
-        if k not in seen or cost < seen[k]:
-            seen[k] = cost
-            serial += 1
-            heapq.heappush(heap, (cost, serial, pc, at, frames, said))
-
-    while heap and budget:
-        cost, _, pc, at, frames, said = heapq.heappop(heap)
-        budget -= 1
-        s = program.steps[pc]
-        if s.kind == WORD:
-            if at < len(words):
-                push(cost + word_cost(fold(words[at]), s.word), s.ways[0], at + 1, frames, (*said, s.word))
-                if at + 1 < len(words) and fold(words[at + 1]) == s.word and program.steps[s.ways[0]].kind == WORD and program.steps[s.ways[0]].word == fold(words[at]):
-                    push(cost + SWAPPED, program.steps[s.ways[0]].ways[0], at + 2, frames, (*said, s.word, fold(words[at])))
-                push(cost + EXTRA, pc, at + 1, frames, said)
-            push(cost + MISSING_WORD, s.ways[0], at, frames, (*said, s.word))
-        elif s.kind == VALUE:
-            d = s.slot.declared
-            if at < len(words):
-                push(cost + VALUE_COST.get(REGISTRY.types[d.type_id].test(d, words[at]).status, OTHER_COST), s.ways[0], len(words) if d.takes_rest else at + 1, frames, (*said, words[at]))
-                push(cost + EXTRA, pc, at + 1, frames, said)
-            push(cost + MISSING_VALUE, s.ways[0], at, frames, (*said, d.text))
-        elif s.kind == SPLIT:
-            for w in s.ways:
-                push(cost, w, at, frames, said)
-        elif s.kind in (SET_ENTER, MANY_ENTER):
-            push(cost, s.ways[0], at, (*frames, (0, at)), said)
-        elif s.kind == SET_NEXT:
-            used, _ = frames[-1]
-            if used or s.optional:
-                push(cost, s.skip, at, frames[:-1], said)
-            for i, w in enumerate(s.ways):
-                if not used >> i & 1:
-                    push(cost, w, at, (*frames[:-1], (used, at)), said)
-        elif s.kind == MANY_NEXT:
-            n, _ = frames[-1]
-            if n >= s.low:
-                push(cost, s.skip, at, frames[:-1], said)
-            if n < s.high:
-                push(cost, s.ways[0], at, (*frames[:-1], (n, at)), said)
-        elif s.kind == SET_COMMIT:
-            used, _ = frames[-1]
-            push(cost, s.ways[0], at, (*frames[:-1], (used | 1 << s.which, -1)), said)
-        elif s.kind == MANY_COMMIT:
-            n, _ = frames[-1]
-            push(cost, s.ways[0], at, (*frames[:-1], (n + 1, -1)), said)
-        elif at == len(words):
-            return cost, " ".join(said)
-        else:
-            push(cost + EXTRA, pc, at + 1, frames, said)
-    return None
+from lineloom.grammar.formats import first, parse
+from lineloom.grammar.program import Program
+from lineloom.grammar.suggesting import MOST, suggestions
 
 
 def suggest(commands: DataFrame, formats: list[str], limit: int = MOST) -> DataFrame:
-    """(command, rank, format, score, text) of the best alignments for each distinct command, by score, then the format's place."""
+    """(command, rank, score, text) of the best formats for each distinct command, by score, then the format's place."""
     shared = commands.sparkSession.sparkContext.broadcast(list(dict.fromkeys(formats)))
-    schema = pa.schema([("command", pa.string()), ("rank", pa.int32()), ("format", pa.string()), ("score", pa.int32()), ("text", pa.string())])
+    schema = pa.schema([("command", pa.string()), ("rank", pa.int32()), ("score", pa.int32()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = [(t, parse(t)) for t in shared.value]
-        programs = [(t, Program(x), [fold(x.items[0].text)] if isinstance(x.items[0], Word) else None if isinstance(x.items[0], Slot) else []) for t, x in trees]
+        sources = [(i, t, Program(x), first(x)[0]) for i, (t, x) in enumerate(trees)]
         for b in batches:
-            rows = []
-            for command in b.column(0).to_pylist():
-                words, found, budget = command.split(), [], IN_ALL
-                for i, (t, p, lead) in enumerate(programs):
-                    if not words or lead and not near_root(fold(words[0]), lead[0]):
-                        continue
-                    if budget <= 0:
-                        break
-                    budget -= PER_FORMAT
-                    if (best := best_cost(p, words)) is not None:
-                        score = round(best[0] / max(len(words), 1))
-                        if score <= 600:
-                            found.append((score, i, t, best[1]))
-                said = set()
-                for score, _, t, text in sorted(found):
-                    if text not in said and len(said) < limit:
-                        said.add(text)
-                        rows.append({"command": command, "rank": len(said), "format": t, "score": score, "text": text})
+            rows = [{"command": c, "rank": k, "score": score[0], "text": text} for c in b.column(0).to_pylist() for k, (score, _, text) in enumerate(suggestions(c, sources, limit), 1)]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return commands.select("command").distinct().mapInArrow(run, "command string, rank int, format string, score int, text string")
+    return commands.select("command").distinct().mapInArrow(run, "command string, rank int, score int, text string")

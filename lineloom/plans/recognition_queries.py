@@ -160,6 +160,6 @@ ORACLE_SQL = {
         count(*) FILTER (s > 1 AND o NOT IN ('unique', 'ambiguous')) AS n_errors, count(*) FILTER (s > 1 AND o = 'ambiguous') AS n_ambiguous FROM x GROUP BY config_id""",
     "q_suggest_top5": """WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS word FROM part), c AS (SELECT DISTINCT word[1:1] || word[3:] AS command FROM w),
         s AS (SELECT command, f, damerau_levenshtein(command, f) AS dist, i FROM c, (VALUES ('anvil', 0), ('bolt', 1), ('gear', 2), ('gizmo', 3), ('plate', 4), ('ring', 5), ('rod', 6), ('widget', 7)) v(f, i)
-          WHERE dist <= CASE WHEN length(f) <= 4 THEN 1 WHEN length(f) <= 8 THEN 2 ELSE 3 END AND round_even(1000.0 * dist / greatest(length(command), length(f)), 0) <= 450)
+          WHERE dist <= CASE WHEN length(command) <= 4 THEN 1 WHEN length(command) <= 8 THEN 2 ELSE 3 END AND round_even(1000.0 * dist / greatest(length(command), length(f)), 0) <= 450)
         SELECT command, (row_number() OVER (PARTITION BY command ORDER BY round_even(1000.0 * dist / greatest(length(command), length(f)), 0), i))::INT AS rank, f AS text FROM s QUALIFY rank <= 5""",
 }

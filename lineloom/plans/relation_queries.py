@@ -225,9 +225,10 @@ ORACLE_SQL = {
     "q_coverage_division": "WITH c AS (SELECT c_nationkey AS v, c_mktsegment AS f, count(*) AS n FROM customer GROUP BY ALL HAVING n > 8), p AS (SELECT x.v, o.v AS other, CASE WHEN y.n IS NULL THEN FALSE WHEN y.n > 12 THEN TRUE END AS ok FROM c x JOIN (SELECT DISTINCT v FROM c) o ON o.v <> x.v LEFT JOIN c y ON y.v = o.v AND y.f = x.f), s AS (SELECT v, other, CASE WHEN bool_or(NOT coalesce(ok, TRUE)) THEN 'partial' WHEN bool_or(ok IS NULL) THEN 'unknown' ELSE 'covered' END AS status FROM p GROUP BY ALL) SELECT v AS view, status, count(*) AS n FROM s GROUP BY ALL",
     "q_reachable": f"WITH RECURSIVE e AS {_SUP}, r AS (SELECT 5::BIGINT AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 40) SELECT node, min(depth) AS depth FROM r GROUP BY node",
     "q_trim_reach": f"WITH RECURSIVE e AS {_TRIM}, f AS (SELECT 1::BIGINT AS node UNION SELECT dst FROM f JOIN e ON src = node), b AS (SELECT unnest([50, 60])::BIGINT AS node UNION SELECT src FROM b JOIN e ON dst = node) SELECT src, dst FROM e WHERE src IN (FROM f) AND src IN (FROM b) AND dst IN (FROM f) AND dst IN (FROM b)",
-    "q_context_stack": """WITH r AS (SELECT conv_id, turn, turn * 7 % 5 AS i, turn % 6 = 5 AS sep FROM conversations)
-        SELECT conv_id AS config_id, turn AS line_no, CASE WHEN NOT sep THEN (SELECT max(p.turn) FROM r p WHERE p.conv_id = r.conv_id AND p.turn < r.turn AND p.i < r.i AND NOT p.sep
-            AND p.turn > coalesce((SELECT max(s.turn) FROM r s WHERE s.conv_id = r.conv_id AND s.turn < r.turn AND s.sep), -1)) END AS parent_line FROM r""",
+    "q_context_stack": """WITH r AS (SELECT conv_id, turn, turn * 7 % 5 AS i, turn % 6 = 5 AS sep, lead(turn % 6 = 5) OVER (PARTITION BY conv_id ORDER BY turn) AS closed FROM conversations),
+        p AS (SELECT r.conv_id, r.turn, o.turn AS above, o.i FROM r JOIN r o ON o.conv_id = r.conv_id AND o.turn < r.turn AND o.i < r.i AND NOT o.sep AND NOT o.closed AND NOT r.sep),
+        ok AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM r k WHERE k.conv_id = p.conv_id AND k.turn > p.above AND k.turn < p.turn AND k.i <= p.i))
+        SELECT r.conv_id AS config_id, r.turn AS line_no, max(above) AS parent_line FROM r LEFT JOIN ok ON ok.conv_id = r.conv_id AND ok.turn = r.turn GROUP BY ALL""",
     "q_child_context": "WITH o AS (SELECT o_custkey, CASE WHEN o_orderkey % 20 > 0 THEN o_orderstatus END AS c FROM orders), g AS (SELECT o_custkey, count(*) FILTER (c IS NULL) AS u, count(DISTINCT c) AS k, min(c) AS c FROM o GROUP BY 1) SELECT o_custkey, CASE WHEN u = 0 AND k = 1 THEN c END AS child, CASE WHEN u > 0 THEN 'unresolved_transition' WHEN k > 1 THEN 'ambiguous_transition' END AS issue FROM g",
     "q_prompt_transition": "SELECT conv_id, turn, role AS from_prompt, nxt AS to_prompt FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) WHERE nxt <> role",
     "q_group_by_view": "SELECT p_brand AS view, array_to_string(list_sort(list(DISTINCT p_name)), '|') AS formats FROM part GROUP BY 1",

@@ -8,65 +8,28 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineloom.grammar.catalog import CatalogError, read, read_v1, strict_json
 from lineloom.operators.recognition import Format
 
+__all__ = ["CatalogError", "catalog_rows", "corpus_pages", "export_by_view", "pilot_sample", "read_formats", "record_at", "strict_json", "write_report"]
 
-class CatalogError(ValueError):
-    """A catalog that doesn't keep to the schema."""
-
-
-def strict_json(text: str):
-    """JSON whose objects name no key twice."""
-
-    def once(pairs):
-        out = dict(pairs)
-        if len(out) < len(pairs):
-            raise CatalogError(f"an object names a key twice: {[k for k, _ in pairs]}")
-        return out
-
-    return json.loads(text, object_pairs_hook=once)
-
-
-def read_catalog(document: dict) -> tuple[list[Format], dict]:
-    """The formats of a flat or grouped catalog in source order, and its header. A missing child is one that stays, an unresolved one is ''."""
-    if not isinstance(document, dict):
-        raise CatalogError("a catalog is an object")
-    kind = document.get("type", "flat")
-    if kind not in ("flat", "grouped"):
-        raise CatalogError(f"no such type: {kind!r}")
-    views = {"": document.get("commands")} if kind == "flat" else document.get("views")
-    if not isinstance(views, dict) or not all(isinstance(v, list) for v in views.values()):
-        raise CatalogError("commands must be an array" if kind == "flat" else "views must be an object of arrays")
-    if kind == "grouped" and document.get("entry_view") not in views:
-        raise CatalogError("entry_view names no view")
-    if document.get("global_view") is not None and document["global_view"] not in views:
-        raise CatalogError("global_view names no view")
-    out: list[Format] = []
-    for view, records in views.items():
-        for r in records:
-            r = {"format": r} if isinstance(r, str) else r
-            text = r.get("format") if isinstance(r, dict) else None
-            if not isinstance(text, str) or not text.strip() or "\n" in text or "\r" in text:
-                raise CatalogError(f"{view or 'commands'}[{len(out)}]: a format is one line of text")
-            child = r.get("switch_to_view")
-            if isinstance(child, dict):
-                child = ""
-            if child and kind == "grouped" and child not in views:
-                raise CatalogError(f"{text!r} leads to {child!r}, which is no view")
-            out.append(Format(len(out), text, view, child))
-    return out, {k: v for k, v in document.items() if k not in ("commands", "views")}
-
-
-def catalog_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(source_index, view, index_in_view, format, child) of a catalog file that Spark reads."""
+
+def read_formats(document: dict) -> list[Format]:
+    """The formats of a flat or grouped catalog in source order. A child is None where it isn't known."""
+    return [Format(c.index, c.format, c.view or "", c.child) for c in read(document).commands]
+
+
+def catalog_rows(spark: SparkSession, path: str, *, strict: bool = False) -> DataFrame:
+    """(source_index, view, index_in_view, format, child, record) of a catalog file that Spark reads. strict: as the matcher takes it."""
     text = spark.read.text(path, wholetext=True).first()[0]
-    formats, _ = read_catalog(strict_json(text))
-    seen: dict[str, int] = {}
-    rows = []
-    for f in formats:
-        rows.append((f.index, f.view, seen.get(f.view, 0), f.text, f.child))
-        seen[f.view] = seen.get(f.view, 0) + 1
-    return spark.createDataFrame(rows, "source_index int, view string, index_in_view int, format string, child string")
+    catalog = (read_v1 if strict else read)(strict_json(text))
+    rows = [(c.index, c.view, c.index_in_view, c.format, c.child, json.dumps(dict(c.record))) for c in catalog.commands]
+    return spark.createDataFrame(rows, "source_index int, view string, index_in_view int, format string, child string, record string")
+
+
+def record_at(document: dict, view: str | None, index: int):
+    """The record at a place of a catalog."""
+    return (document["commands"] if view is None else document["views"][view])[index]
 
 
 def corpus_pages(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:

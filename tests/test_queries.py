@@ -80,25 +80,6 @@ def test_tiers_agree(spark):
     assert got == want
 
 
-def test_catalogs():
-    from lineloom.sources.catalogs import CatalogError, read_catalog, strict_json
-
-    formats, head = read_catalog({"type": "grouped", "entry_view": "root", "views": {"root": ["a", {"format": "b", "switch_to_view": "in"}], "in": ["c"]}})
-    assert [(f.view, f.text, f.child) for f in formats] == [("root", "a", None), ("root", "b", "in"), ("in", "c", None)] and head["entry_view"] == "root"
-    for bad in ({"type": "odd"}, {"commands": [5]}, {"type": "grouped", "entry_view": "x", "views": {}}, {"commands": ["a\nb"]}):
-        with pytest.raises(CatalogError):
-            read_catalog(bad)
-    with pytest.raises(CatalogError):
-        strict_json('{"a": 1, "a": 2}')
-
-
-def test_distance_and_suggestions():
-    from lineloom.operators.suggestions import distance, word_cost
-
-    assert (distance("ab", "ba"), distance("ca", "abc"), distance("", "abc")) == (1, 3, 3)
-    assert word_cost("abcd", "abxd") == 250
-
-
 def test_entry_without_the_corpus_part(tmp_path):
     """The rest imports and lists its queries when the corpus operators are taken out."""
     import os
