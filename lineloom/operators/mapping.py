@@ -33,7 +33,7 @@ _PAIR_ARROW = pa.schema([("device", pa.string()), ("document", pa.string()), ("s
 
 @dataclass
 class Side:
-    """A catalog's records and trees. records: (id, k, view, index_in_view, source_index, record); k names the format and its types."""
+    """A catalog's records and trees. records: (id, k, format, view, index_in_view, source_index, switch, target, record); k names the format and its types."""
 
     catalog: cat.Catalog
     trees: dict
@@ -81,8 +81,16 @@ def side(spark: SparkSession, doc: Mapping, *, documents: bool, follow: bool) ->
     if wrong:
         raise FormatError("; ".join(wrong))
     ids = [f"doc:{x.index}" for x in c.commands] if documents else cat.pattern_ids([x.format for x in c.commands])
-    records = [(i, key_of(x.format, x.types), x.format, x.view, x.index_in_view, x.index, json.dumps(dict(x.record))) for i, x in zip(ids, c.commands, strict=True)]
-    return Side(c, trees, spark.createDataFrame(list(rows.values()), KEY), spark.createDataFrame(records, "id string, k string, format string, view string, index_in_view int, source_index int, record string"))
+    records = [(i, key_of(x.format, x.types), x.format, x.view, x.index_in_view, x.index, *transition(x.record), json.dumps(dict(x.record))) for i, x in zip(ids, c.commands, strict=True)]
+    return Side(c, trees, spark.createDataFrame(list(rows.values()), KEY), spark.createDataFrame(records, "id string, k string, format string, view string, index_in_view int, source_index int, switch string, target string, record string"))
+
+
+def transition(record: Mapping) -> tuple[str, str | None]:
+    """absent, stay, unresolved, or switch and its target: what a record says of where it leads."""
+    if "switch_to_view" not in record:
+        return "absent", None
+    to = record["switch_to_view"]
+    return ("stay", None) if to is None else ("unresolved", None) if to == cat.UNRESOLVED else ("switch", to)
 
 
 def structural(spark: SparkSession, pairs: DataFrame, left: Side, right: Side, ordered: bool) -> DataFrame:
