@@ -84,6 +84,34 @@ def distinct_words(texts: list[str | None], digits: bool = False) -> Chars:
     return Chars(chars, first, doc, word, len(texts))
 
 
+def runs(texts: list[str | None], most: int = tb.SLICE_BYTES // 2) -> Iterator[slice]:
+    """Runs of texts of at most `most` characters together, or one longer text."""
+    lo = size = 0
+    for hi, t in enumerate(texts):
+        n = len(t or "")
+        if hi > lo and size + n > most:
+            yield slice(lo, hi)
+            lo, size = hi, 0
+        size += n
+    if lo < len(texts):
+        yield slice(lo, len(texts))
+
+
+def all_distinct_words(texts: list[str | None], digits: bool = False) -> Chars:
+    """distinct_words of many texts, a run at a time, so that no more than a run's characters are held at once."""
+    place: dict[bytes, int] = {}
+    docs, words = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for r in runs(texts):
+        c = distinct_words(texts[r], digits)
+        edges = (4 * c.first).tolist()
+        raw = c.chars.tobytes()
+        own = np.array([place.setdefault(raw[a:b], len(place)) for a, b in zip(edges[:-1], edges[1:], strict=True)], np.int32)
+        docs.append((c.doc + r.start).astype(np.int32))
+        words.append(own[c.word] if len(own) else np.zeros(0, np.int32))
+    first = np.concatenate(([0], np.cumsum([len(w) // 4 for w in place], dtype=np.int64)))
+    return Chars(np.frombuffer(b"".join(place), np.uint32), first, np.concatenate(docs), np.concatenate(words), len(texts))
+
+
 def gram_hashes(c: Chars, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(k, position of the last character, hash) of all k-grams within words, k = 1..order. The leading space is context only."""
     inner = np.arange(len(c.chars)) - np.repeat(c.first[:-1], np.diff(c.first))

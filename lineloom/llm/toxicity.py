@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineloom.llm import textbytes as tb
-from lineloom.llm.language_id import Chars, distinct_words, held_out
+from lineloom.llm.language_id import Chars, all_distinct_words, distinct_words, held_out, runs
 from lineloom.llm.rows import per_batch, texts
 
 #: Expected labelled rows of each class that the model is fitted on: the bound of the sample.
@@ -39,27 +39,30 @@ DECAY = 0.01
 #: N-grams that stand in fewer of the texts learned from have no vector: they'd be learned by heart.
 MIN_TEXTS = 8
 MODULUS, REMAINDER = 5, 0
+#: Characters whose n-grams are hashed at once.
+BLOCK = 1 << 18
 
 
 def subwords(c: Chars, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, distinct word) of every character n-gram of ' word ', and of the word itself."""
     size = np.diff(c.first)
-    owner = np.repeat(np.arange(len(size)), size)
-    left = np.repeat(c.first[1:], size) - np.arange(len(c.chars))  # characters from here to the word's end
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    left = (np.repeat(c.first[1:], size) - np.arange(len(c.chars))).astype(np.int32)  # characters from here to the word's end
     ids, words = [], []
     for k in GRAMS:
-        at = np.flatnonzero(left >= k)
-        g = np.zeros(len(at), np.uint64)
-        for i in range(k):
-            g = g * np.uint64(0x100000001B3) + (c.chars[at + i].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        ids.append((tb.mix(g + np.uint64(k)) % np.uint64(buckets)).astype(np.int64))
-        words.append(owner[at])
+        for lo in range(0, len(left), BLOCK):
+            at = lo + np.flatnonzero(left[lo : lo + BLOCK] >= k)
+            g = np.zeros(len(at), np.uint64)
+            for i in range(k):
+                g = g * np.uint64(0x100000001B3) + (c.chars[at + i].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            ids.append((tb.mix(g + np.uint64(k)) % np.uint64(buckets)).astype(np.int32))
+            words.append(owner[at])
     if len(size):
         p, inv = tb.powers(len(c.chars) + 1)
         h = np.concatenate((np.zeros(1, np.uint64), np.cumsum((c.chars.astype(np.uint64) + np.uint64(1)) * p[:-1])))
         whole = tb.mix((h[c.first[1:]] - h[c.first[:-1]]) * inv[c.first[:-1]] + np.uint64(77))
-        ids.append((whole % np.uint64(buckets)).astype(np.int64))
-        words.append(np.arange(len(size)))
+        ids.append((whole % np.uint64(buckets)).astype(np.int32))
+        words.append(np.arange(len(size), dtype=np.int32))
     return np.concatenate(ids), np.concatenate(words)
 
 
@@ -71,7 +74,7 @@ def windows(doc: np.ndarray, n_docs: int, window: int = WINDOW, stride: int = ST
     d = np.repeat(np.arange(n_docs), n_win)
     k = np.arange(n_win.sum()) - np.repeat(np.cumsum(n_win) - n_win, n_win)
     start = of[d] + k * stride
-    return start, np.minimum(start + window, of[d + 1]), d
+    return start.astype(np.int32), np.minimum(start + window, of[d + 1]).astype(np.int32), d.astype(np.int32)
 
 
 @dataclass
@@ -118,10 +121,10 @@ def fit(examples: list[str], toxic: np.ndarray, epochs: int = EPOCHS, rate: floa
     if min(toxic[held].min(initial=1), toxic[~held].min(initial=1)) or not toxic[held].max(initial=0) or not toxic[~held].max(initial=0):
         held = np.zeros(len(toxic), bool)
     fitted = np.flatnonzero(~held)
-    c = distinct_words([examples[i] for i in fitted], digits=True)
+    c = all_distinct_words([examples[i] for i in fitted], digits=True)
     ids, words = subwords(c, buckets)
     n = len(c.first) - 1
-    in_texts = np.bincount(np.unique(c.doc * n + c.word) % max(n, 1), minlength=n)
+    in_texts = np.bincount(np.unique(c.doc.astype(np.int64) * n + c.word) % max(n, 1), minlength=n)
     known = np.bincount(ids, in_texts[words], buckets) >= min(min_texts, 1 + len(fitted) // 20)
     share = 1.0 / np.bincount(words, minlength=n)
     start, end, d = windows(c.doc, c.n_docs)
@@ -159,7 +162,8 @@ def fit(examples: list[str], toxic: np.ndarray, epochs: int = EPOCHS, rate: floa
         _adagrad(w, grad_w, seen_w, rate)
     model = Model(e @ w, float(b[0]), 1.0, 0.0)
     judged = np.flatnonzero(held) if held.any() else fitted
-    x, toxic = model.logits([examples[i] for i in judged]), toxic[judged]
+    apart = [examples[i] for i in judged]
+    x, toxic = np.concatenate([model.logits(apart[r]) for r in runs(apart)]), toxic[judged]
     model.empty = float(np.median(x[toxic == 0]))
     scale = max(float(x.std()), 1e-6)
     v, a, k = x / scale, np.zeros(1), np.ones(1)
