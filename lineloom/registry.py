@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name -> function of session and folder) and ORACLE_SQL (name -> DuckDB SQL).
-MODULES: tuple[str, ...] = ("text_queries", "recognition_queries", "relation_queries")
+MODULES: tuple[str, ...] = ("text_queries", "recognition_queries", "relation_queries", "configuration_queries")
 
 
 def _each(attribute: str) -> dict:
