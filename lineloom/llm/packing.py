@@ -12,12 +12,14 @@ repeated pieces. Other columns are ignored. A very long text holds its own ids i
 
 from __future__ import annotations
 
+import codecs
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -27,87 +29,107 @@ CAPACITY = 4096
 END_ID = 2
 #: The pool is packed once it holds POOL pieces, down to half of that.
 POOL = 512
-#: Distinct words whose ids a worker keeps; beyond, it starts anew.
-CACHE_WORDS = 300_000
-
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-_BEYOND = regex.compile(r"[^\x21-ɏ]|İ")
-_ODD = regex.compile(r"[\x1c-\x1f]|<\|")
-
-
-class WordEncoder:
-    """Ids of whole texts as little-endian uint32 bytes, equal to the tokenizer's own, from ids kept by word.
-
-    The vocabulary's pre-tokenizer never joins across white space and normalises words apart from each other,
-    so a text's ids are those of its white-space words in order. Texts with separators on which Python and
-    the tokenizer differ, or with special tokens, go to the tokenizer whole.
+#: Distinct parts whose ids a worker keeps, some 200 bytes each; beyond, it starts anew.
+CACHE_PARTS = 500_000
+
+#: Letters and digits up to U+024F without İ, in lower case (some of which lie beyond): what the fast path reads.
+_LETTER, _DIGIT = "a-zªµºß-öø-ʯⱥⱦ", "0-9²³¹¼½¾"
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_DIGIT}{_LETTER}]+")
+_BEYOND = re.compile("[^\x00-ɏ]|İ")
+_ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+#: The vocabulary's characters for bytes: printable ones stand for themselves, the others from U+0100 on. A space stays, between parts.
+_PRINTABLE = {*range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_OTHERS = [b for b in range(0x100) if b not in _PRINTABLE or b == 0x20]
+_BYTES = "".join(chr(b) if b in _PRINTABLE else chr(0x100 + _OTHERS.index(b)) for b in range(0x100))
+
+
+def _beyond(text: str) -> bool:
+    """Whether a text has a character that the fast path doesn't read."""
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _BEYOND.search(text) is not None
+    return False
+
+
+class PartEncoder:
+    """Ids of whole texts as little-endian uint32 bytes, equal to the tokenizer's own, from ids kept by part.
+
+    The vocabulary's pre-tokenizer cuts a text into parts that are merged each by itself, and never joins across white space. Texts
+    of characters up to U+024F, which its normaliser only lower-cases, are cut here in the same way; words with others
+    go to the tokenizer by themselves; and texts with separators on which Python and the tokenizer differ, or with special tokens, go
+    there whole.
     """
 
-    def __init__(self, path: str, limit: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
+    #: Texts whose new parts are looked up together.
+    CHUNK = 64
+
+    def __init__(self, path: str, limit: int = CACHE_PARTS):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
-        self.words: dict[str, bytes] = {}
+        self.merger = Tokenizer(self.tokenizer.model)
+        self.merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.parts: dict[str, bytes] = {}
         self.limit = limit
 
     def whole(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_parts(self, missing: list[str]) -> None:
+    def _learn(self, missing: list[str]) -> None:
         for lo in range(0, len(missing), 2000):
             some = missing[lo : lo + 2000]
-            at, held, ends = 0, [], self.ends
-            for i in self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids:
-                held.append(i)
-                if i in ends:
-                    self.parts[some[at]] = b"".join([x.to_bytes(4, "little") for x in held])
-                    held, at = [], at + 1
-            if at != len(some) or held:
-                raise ValueError("the tokenizer doesn't end each word with one end-of-word id")
-
-    def _learn(self, missing: list[str]) -> None:
-        if len(self.words) + len(missing) > self.limit:
-            self.words.clear()
-        split = {}
-        for w in missing:
-            if _BEYOND.search(w):
-                self.words[w] = self.whole(w)
+            text, _ = codecs.charmap_decode(" ".join(some).encode(), "strict", _BYTES)
+            ids = np.array(self.merger.encode(text, add_special_tokens=False).ids, "<u4")
+            cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cut) != len(some) or cut[-1] != 4 * len(ids):
+                raise ValueError("the tokenizer doesn't end each part with one end-of-word id")
+            raw = ids.tobytes()
+            self.parts.update(zip(some, [raw[a:b] for a, b in zip([0, *cut], cut, strict=False)], strict=True))
+
+    def _cut(self, text: str) -> list[str]:
+        """The parts of a text; of a word beyond the fast path the whole word, which encode() has looked up."""
+        if not _beyond(text):
+            return _PARTS.findall(text.lower())
+        out: list[str] = []
+        for w in text.split():
+            if not _beyond(w):
+                out += _PARTS.findall(w.lower())
             else:
-                split[w] = _PARTS.findall(w.lower())
-        if new := {p for ps in split.values() for p in ps}.difference(self.parts):
-            if len(self.parts) + len(new) > self.limit:
-                self.parts.clear()
-                new = {p for ps in split.values() for p in ps}
-            self._learn_parts(sorted(new))
-        parts = self.parts
-        for w, ps in split.items():
-            self.words[w] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
+                # such a word is no part, as it has a character that no part has
+                if w not in self.parts:
+                    self.odd[w] = self.whole(w)
+                out.append(w)
+        return out
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            if not text:
-                yield b""
-                continue
-            if _ODD.search(text):
-                yield self.whole(text)
-                continue
-            words = text.split()
-            if missing := set(words).difference(self.words):
-                if len(self.words) + len(missing) > self.limit:
-                    missing = set(words)
-                self._learn(sorted(missing))
-            yield b"".join([self.words[w] for w in words])
+        for lo in range(0, len(texts), self.CHUNK):
+            some = texts[lo : lo + self.CHUNK]
+            self.odd: dict[str, bytes] = {}
+            cut = [None if not t or any(o in t for o in _ODD) else self._cut(t) for t in some]
+            new = set().union(*(c for c in cut if c)).difference(self.parts, self.odd)
+            if len(self.parts) + len(new) + len(self.odd) > self.limit:
+                kept = set().union(*(c for c in cut if c))
+                self.parts = {k: v for k, v in self.parts.items() if k in kept}
+            self._learn(sorted(new))
+            self.parts.update(self.odd)
+            ids = self.parts.__getitem__
+            for t, c in zip(some, cut, strict=True):
+                yield b"" if not t else self.whole(t) if c is None else b"".join(map(ids, c))
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, PartEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> PartEncoder:
     """The worker's encoder of this vocabulary."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = PartEncoder(path)
     return _ENCODERS[path]
 
 

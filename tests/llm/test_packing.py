@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from lineloom.llm.packing import Packer, WordEncoder, best_fill, pack
+from lineloom.llm.packing import Packer, PartEncoder, best_fill, pack
 from lineloom.llm.query_op5 import tokenizer_path
 
 from .helpers import CLASHES
@@ -61,11 +61,18 @@ def test_encoder_is_the_tokenizer(tokenizer, sf_dir):
 
     texts = [*ODD, *pq.read_table(f"{sf_dir}/documents.parquet")["text"].to_pylist()]
     for limit in (300_000, 50):
-        enc = WordEncoder(tokenizer_path(), limit)
+        enc = PartEncoder(tokenizer_path(), limit)
         for t, got in zip(texts, enc.encode(texts), strict=True):
             assert got == b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(t or "", add_special_tokens=False).ids), t
 
 
+def test_encoder_over_every_character(tokenizer):
+    """Each character up to U+0500, by itself and between letters, digits and marks, and control characters among them."""
+    texts = [f"{a}{chr(c)}{b}" for c in range(1, 0x500) for a, b in (("", ""), ("a", "b"), ("É", "9"), ("'", "s"), ("¾", "-"), (" ", "ß"))]
+    for t, got in zip(texts, PartEncoder(tokenizer_path()).encode(texts), strict=True):
+        assert got == b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(t, add_special_tokens=False).ids), repr(t)
+
+
 def test_best_fill_is_the_best(rng):
     for _ in range(200):
         lengths = dict(Counter(rng.randint(1, 30) for _ in range(rng.randint(1, 8))))
