@@ -16,6 +16,7 @@ from lineloom.llm.query_op5 import tokenizer_path
 from lineloom.llm.secret_scan import scan_secrets
 from lineloom.llm.rows import table
 from lineloom.llm.store import materialize
+from lineloom.shipping import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -62,6 +63,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over all documents, each one's result written and read again."""
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}", zstd=True)

@@ -21,13 +21,13 @@ def _other() -> Column:
     return _out("not_applicable")
 
 
+def _number(bound) -> Column:
+    """A bound, stated or a column, as a wide decimal; null where there is none."""
+    return (bound if isinstance(bound, Column) else F.lit(None if bound is None else str(bound))).cast("decimal(38,0)")
+
+
 def _bounds(n: Column, low, high, normal: Column, under: str, over: str) -> Column:
-    out = F.when(F.lit(False), _other())
-    if low is not None:
-        out = out.when(n < F.lit(str(low)).cast("decimal(38,0)"), _out("invalid", code=under))
-    if high is not None:
-        out = out.when(n > F.lit(str(high)).cast("decimal(38,0)"), _out("invalid", code=over))
-    return out.otherwise(_out("valid", normal))
+    return F.when(n < _number(low), _out("invalid", code=under)).when(n > _number(high), _out("invalid", code=over)).otherwise(_out("valid", normal))
 
 
 def integer(raw: Column, low=None, high=None) -> Column:
@@ -35,7 +35,8 @@ def integer(raw: Column, low=None, high=None) -> Column:
     digits = F.regexp_replace(raw, r"^[+-]?0*(?=[0-9])", "")
     wide = F.length(digits) > 38
     n = F.when(~wide, raw.try_cast("decimal(38,0)"))
-    beyond = F.when(raw.startswith("-"), _out("invalid", code="below_minimum") if low is not None else _out("valid", F.concat(F.lit("-"), digits))).otherwise(_out("invalid", code="above_maximum") if high is not None else _out("valid", digits))
+    small = raw.startswith("-")
+    beyond = F.when(small & _number(low).isNotNull(), _out("invalid", code="below_minimum")).when(~small & _number(high).isNotNull(), _out("invalid", code="above_maximum")).otherwise(_out("valid", F.concat(F.when(small, "-").otherwise(""), digits)))
     return F.when(~raw.rlike(r"^[+-]?[0-9]+$"), _other()).when(wide, beyond).otherwise(_bounds(n, low, high, n, "below_minimum", "above_maximum"))
 
 
@@ -48,19 +49,23 @@ def hexadecimal(raw: Column, low=None, high=None) -> Column:
     return F.when(~raw.rlike(r"^(0[xX])?[0-9A-Fa-f]+$"), _other()).when(F.length(digits) > 30, _out("invalid", code="above_maximum")).otherwise(_bounds(n, low, high, n, "below_minimum", "above_maximum"))
 
 
-def sized(raw: Column, low=None, high=None) -> Column:
-    out = F.when((raw == "") | raw.rlike(r"(?U)\s"), _out("invalid", code="invalid_token"))
+def _length(raw: Column, low, high) -> Column:
     n = F.length(raw)
-    if low is not None:
-        out = out.when(n < low, _out("invalid", code="too_short"))
-    if high is not None:
-        out = out.when(n > high, _out("invalid", code="too_long"))
-    return out.otherwise(_out("valid", raw))
+    return F.when(n < _number(low), _out("invalid", code="too_short")).when(n > _number(high), _out("invalid", code="too_long")).otherwise(_out("valid", raw))
+
+
+def sized(raw: Column, low=None, high=None) -> Column:
+    return F.when((raw == "") | raw.rlike(r"(?U)\s"), _out("invalid", code="invalid_token")).otherwise(_length(raw, low, high))
 
 
 def rest(raw: Column, low=None, high=None) -> Column:
-    n = F.length(raw)
-    return F.when(n < (low or 0), _out("invalid", code="too_short")).when(F.lit(high is not None) & (n > (high or 0)), _out("invalid", code="too_long")).otherwise(_out("valid", raw))
+    return _length(raw, low, high)
+
+
+def enum_of(raw: Column, choices: Column) -> Column:
+    """enum() with the choices in an array column."""
+    at = F.array_position(F.transform(choices, fold), fold(raw))
+    return F.when(at > 0, _out("valid", F.element_at(choices, F.greatest(at, F.lit(1)).cast("int")))).otherwise(_other())
 
 
 def enum(raw: Column, choices: tuple[str, ...]) -> Column:
@@ -124,3 +129,22 @@ def probe(d: Declared, raw: Column) -> Column:
     if d.type_id == "named":
         return _out("valid", raw)
     return _by_registry(d.type_id)(raw)
+
+
+#: Types whose test isn't a built-in expression.
+BY_FUNCTION = tuple(t for t in REGISTRY.types if t.startswith("ipv6"))
+
+
+def probe_each(type_id: Column, low: Column, high: Column, choices: Column, raw: Column) -> Column:
+    """The test of declarations in columns: one expression a type, however many declarations there are. BY_FUNCTION types give null."""
+    bounded = {"integer": integer, "hex": hexadecimal, "string": sized, "passwordex": sized, "text": rest}
+    out = F.when(type_id == "enum", enum_of(raw, choices)).when(type_id == "named", _out("valid", raw)).when(type_id == "mac", mac(raw)).when(type_id == "ipv4-address", ipv4(raw))
+    for t, test in bounded.items():
+        out = out.when(type_id == t, test(raw, low, high))
+    for t, how in CALENDAR.items():
+        out = out.when(type_id == t, _calendar(raw, *how))
+    return out
+
+
+def by_function(type_id: str, raw: Column) -> Column:
+    return _by_registry(type_id)(raw)

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lineloom.functions.probes import probe
+from lineloom.functions.probes import BY_FUNCTION, by_function, probe_each
 from lineloom.functions.text import body, fold, indent, lines, tokens
 from lineloom.grammar.formats import Slot, Word, first, is_linear, key, leading_words, parse
 from lineloom.grammar.program import Program, recognize, resolve
@@ -74,23 +75,32 @@ def distinct_commands(rows: DataFrame, *by: str) -> DataFrame:
     return kept.withColumn("tokens", tokens("command")).withColumn("folded", F.transform("tokens", fold))
 
 
+SLOT = "struct<at:int,type_id:string,low:decimal(38,0),high:decimal(38,0),choices:array<string>,takes_rest:boolean>"
+
+
 def linear_matches(commands: DataFrame, formats: list[Format]) -> DataFrame:
-    """Tier 1: (…, format, ranks, rejected, values) for each command that a linear format reads to its end."""
-    trees = {t: tree for t, tree in parsed(formats).items() if is_linear(tree)}
-    out: DataFrame | None = None
+    """Tier 1: (…, format, arity, takes_rest, ranks, slots) for each command that a linear format reads to its end.
+
+    By the first word where a format has one; formats that begin with a value meet every command, and their arity decides.
+    """
     rows = []
-    for text, tree in trees.items():
+    for text, tree in parsed(formats).items():
+        if not is_linear(tree):
+            continue
         items = tree.items
-        words = [[i, fold_word(x.text)] for i, x in enumerate(items) if isinstance(x, Word)]
-        rest = isinstance(items[-1], Slot) and items[-1].declared.takes_rest
-        rows.append((text, fold_word(items[0].text) if isinstance(items[0], Word) else None, len(items), rest, words, [0 if isinstance(x, Word) else x.declared.rank for x in items]))
+        words = [(i, fold_word(x.text)) for i, x in enumerate(items) if isinstance(x, Word)]
+        values = [(i, x.declared) for i, x in enumerate(items) if isinstance(x, Slot)]
+        rest = bool(values) and values[-1][1].takes_rest
+        wide = lambda n: None if n is None else Decimal(n)
+        slots = [(i, d.type_id, wide(d.low), wide(d.high), list(d.choices), d.takes_rest) for i, d in values]
+        rows.append((text, words[0][1] if words and words[0][0] == 0 else None, len(items), rest, rest and len(items) == 1, words, [0 if isinstance(x, Word) else x.declared.rank for x in items], slots))
     spark = commands.sparkSession
-    table = F.broadcast(spark.createDataFrame(rows, "format string, lead string, arity int, takes_rest boolean, words array<struct<at:int,word:string>>, ranks array<int>"))
+    table = F.broadcast(spark.createDataFrame(rows, f"format string, lead string, arity int, takes_rest boolean, remark boolean, words array<struct<at:int,word:string>>, ranks array<int>, slots array<{SLOT}>"))
     by_word = commands.join(table.filter("lead is not null"), F.col("folded")[0] == F.col("lead"))
-    by_value = commands.join(table.filter("lead is null"), F.size("folded") > 0)
-    out = by_word.unionByName(by_value)
+    by_value = commands.join(table.filter("lead is null and not takes_rest"), F.size("folded") == F.col("arity")).unionByName(commands.join(table.filter("lead is null and takes_rest"), F.size("folded") >= F.col("arity")))
     fits = F.when(F.col("takes_rest"), F.size("folded") >= F.col("arity")).otherwise(F.size("folded") == F.col("arity"))
-    return out.filter(fits & F.forall("words", lambda w: F.get("folded", w["at"]) == w["word"])).drop("lead", "words")
+    said = F.forall("words", lambda w: F.get("folded", w["at"]) == w["word"])
+    return by_word.unionByName(by_value).filter(fits & said & (~F.col("remark") | F.col("command").startswith("!"))).drop("lead", "words", "remark")
 
 
 def fold_word(s: str) -> str:
@@ -99,25 +109,31 @@ def fold_word(s: str) -> str:
     return fold_text(s)
 
 
-def linear_probed(matches: DataFrame, formats: list[Format]) -> DataFrame:
-    """Adds probes: the test of each value's token, in order, and status: valid, invalid or strange."""
-    trees = {t: tree for t, tree in parsed(formats).items() if is_linear(tree)}
-    none = F.array().cast("array<struct<status:string,normal:string,code:string>>")
-    tests: Column | None = None
-    for text, tree in trees.items():
-        found = []
-        for i, x in enumerate(tree.items):
-            if isinstance(x, Slot):
-                raw = F.array_join(F.slice("tokens", i + 1, F.greatest(F.size("tokens") - i, F.lit(0))), " ") if x.declared.takes_rest else F.get("tokens", F.lit(i))
-                found.append(probe(x.declared, raw))
-        value = F.array(*found) if found else none
-        tests = F.when(F.col("format") == text, value) if tests is None else tests.when(F.col("format") == text, value)
-    probed = matches.withColumn("probes", F.coalesce(tests, none) if tests is not None else none)
+def _value_at(slot: Column) -> Column:
+    """The token that a slot reads; of one that takes the rest, the rest of the command as it stands."""
+    place = F.concat(F.lit(r"^(?U)(?:[^\s\x1c-\x1f]+[\s\x1c-\x1f]+){"), slot["at"].cast("string"), F.lit("}"))
+    return F.when(slot["takes_rest"], F.regexp_replace(F.col("command"), place, F.lit(""))).otherwise(F.get("tokens", slot["at"]))
+
+
+def linear_probed(matches: DataFrame) -> DataFrame:
+    """Adds probes: the test of each value's token, in order, and status: valid, invalid or strange.
+
+    One expression a type tests the slots of all formats. Types that need a function are tested on their distinct tokens.
+    """
+    odd = lambda s: s["type_id"].isin(*BY_FUNCTION)
+    asked = matches.filter(F.exists("slots", odd)).select("command", "format", "tokens", F.explode(F.filter("slots", odd)).alias("s")).select("command", "format", "s", _value_at(F.col("s")).alias("token"))
+    once = asked.select(F.col("s.type_id").alias("type_id"), "token").distinct()
+    tested = None
+    for t in BY_FUNCTION:
+        part = once.filter(F.col("type_id") == t).select("type_id", "token", by_function(t, F.col("token")).alias("p"))
+        tested = part if tested is None else tested.unionByName(part)
+    held = asked.withColumn("type_id", F.col("s.type_id")).join(tested, ["type_id", "token"]).groupBy("command", "format").agg(F.map_from_entries(F.collect_list(F.struct(F.col("s.at"), "p"))).alias("by_function"))
+    probe = lambda s: F.coalesce(F.try_element_at("by_function", s["at"]), probe_each(s["type_id"], s["low"], s["high"], s["choices"], _value_at(s)))
+    probed = matches.join(held, ["command", "format"], "left").withColumn("probes", F.transform("slots", probe)).drop("by_function", "slots")
     bad = lambda s: F.exists("probes", lambda p: p["status"] == s)
     return probed.withColumn("status", F.when(bad("not_applicable"), "strange").when(bad("invalid"), "invalid").otherwise("valid"))
 
 
-CANDIDATES = "command string, format string, valid boolean, strange boolean, ranks array<int>, decisions array<int>, captured array<struct<slot:string,type:string,raw:string,normal:string,start:int,stop:int,iterations:string>>, rejected array<struct<declaration:string,raw:string,status:string,code:string>>"
 RESULTS = "command string, outcome string, formats array<string>, readings int, furthest int, expected array<string>"
 
 

@@ -43,7 +43,7 @@ def q_status(spark: SparkSession, d: str) -> DataFrame:
 
 def q_linear_match(spark: SparkSession, d: str) -> DataFrame:
     rows = _names(spark, d)
-    found = R.linear_probed(R.linear_matches(R.distinct_commands(rows), LINEAR), LINEAR).select("command", "format", "status")
+    found = R.linear_probed(R.linear_matches(R.distinct_commands(rows), LINEAR)).select("command", "format", "status")
     return rows.join(found, "command").select("p_partkey", "format", "status")
 
 
