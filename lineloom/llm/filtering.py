@@ -36,14 +36,13 @@ def blank_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     extra = "spans"
     while extra in names:
         extra += "_"
-    joined = docs.join(one, docs["doc_id"] == one["doc_id"], "left").select(*(docs[n] for n in names), one["spans"].alias(extra))
+    # documents without spans don't leave the JVM
+    whole = docs.join(one, docs["doc_id"] == one["doc_id"], "left_anti")
+    joined = docs.join(one, docs["doc_id"] == one["doc_id"]).select(*(docs[n] for n in names), one["spans"].alias(extra))
 
     def make(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         held = b.column(len(names))
         at = names.index("text")
-        if held.null_count == len(held):
-            yield pa.RecordBatch.from_arrays(b.columns[: len(names)], names=names)
-            return
         out = []
         for text, found in zip(b.column(at).to_pylist(), held.to_pylist(), strict=True):
             for s in found or () if text else ():
@@ -54,4 +53,4 @@ def blank_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return per_batch(joined, make, schema)
+    return whole.unionByName(per_batch(joined, make, schema))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from lineloom.llm import textbytes as tb
 from lineloom.llm.rows import per_batch
+from lineloom.llm.store import materialize
 
 ORDER = 4
 #: Expected labelled rows of each language that the model is fitted on: the bound of the sample.
@@ -313,18 +314,32 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return per_batch(picked.select("doc_id", held_out().alias("held_out"), "text"), make, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
+#: Rejected texts are broadcast as two hashes each up to so many; beyond, documents are shuffled to them.
+BROADCAST_TEXTS = 1_000_000
+
+
 def in_known_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The documents that aren't rejected, with all their columns as they are."""
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    """The documents that aren't rejected, with all their columns as they are.
+
+    Whether a text is rejected hangs on nothing else, so only hashes of rejected texts leave Python, and the documents are filtered
+    natively. Documents of one rejected text go together; null texts go.
+    """
+    text = F.col("text").cast("string")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(sample(picked)))
-    at = docs.columns.index("text")
 
     def make(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         done = 0
-        for s in tb.slices(b.column(at)):
+        for s in tb.slices(b.column(2)):
             rows = b.slice(done, s.n)
-            _, _, rejected = shared.value.predict(rows.column(at).to_pylist())
-            yield rows.filter(pa.array(~rejected))
+            _, _, rejected = shared.value.predict(rows.column(2).to_pylist())
+            yield rows.select([0, 1]).filter(pa.array(rejected))
             done += s.n
 
-    return per_batch(docs, make, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))
+    h1, h2 = F.xxhash64(text), F.xxhash64(F.lit("second"), text)
+    whole = docs.filter(text.isNotNull())
+    gone = per_batch(whole.select(h1.alias("h1"), h2.alias("h2"), text.alias("text")), make, "h1 long, h2 long").distinct()
+    gone = materialize(gone, "rejected-texts")
+    if gone.count() <= BROADCAST_TEXTS:
+        gone = F.broadcast(gone)
+    return whole.join(gone, (h1 == gone["h1"]) & (h2 == gone["h2"]), "left_anti")
