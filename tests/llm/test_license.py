@@ -26,7 +26,7 @@ TEXTS = [
     "general public general public license apache license",
     "GENERAL\nPUBLIC\tLICENSE ÀMIT License mit É license",
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "Redistribution and also use in source and binary forms, without modification, are permitted provided that the conditions are met",
+    "Redistribution and also use in source and binary forms, with or without modification, are permitted provided that following conditions are met",
     "Permission is hereby granted, free of charge, to any person",
     "nothing to see",
     "mit license " * 20_000,
