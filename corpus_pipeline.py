@@ -23,21 +23,25 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those that language identification rejects go."""
+    ship(spark)
     return in_known_language(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest doc_id."""
+    ship(spark)
     return without_ids(docs, near_duplicates(docs).filter("not kept").select("doc_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
+    ship(spark)
     return without_ids(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, live-looking credentials blanked out of the text."""
+    ship(spark)
     live = F.filter("judged", lambda x: x["verdict"] == "live")
     found = scan_secrets(docs).select("doc_id", F.transform(live, lambda x: F.struct(x["start"], x["end"])).alias("spans"))
     return blank_spans(docs, found.filter(F.size("spans") > 0))
@@ -45,6 +49,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a packed sequence."""
+    ship(spark)
     return pack(docs, tokenizer_path())
 
 
@@ -63,7 +68,6 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over all documents, each one's result written and read again."""
-    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}", zstd=True)
