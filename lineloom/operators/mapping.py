@@ -272,3 +272,55 @@ def replayed(parsed: DataFrame, m: Mapped) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in range(4)), pa.array(ways, pa.int32()), pa.array(found, bound)], names=["config_id", "line_no", "pattern_id", "document_id", "way", "bindings"])
 
     return todo.mapInArrow(run, f"config_id {kind}, line_no int, pattern_id string, document_id string, way int, bindings array<struct<document:string,device:string,raw:string,normalized:string,iterations:string>>")
+
+
+SCHEMA_VERSION = 1
+
+
+def _document(s: Side) -> dict:
+    """A catalog's document again, from its header and records."""
+    out, c = dict(s.catalog.header), s.catalog
+    if not c.grouped:
+        return out | {"commands": [dict(x.record) for x in c.commands]}
+    return out | {"views": {v: [dict(x.record) for x in c.commands if x.view == v] for v in c.views}}
+
+
+def save_mapping(m: Mapped, path: str) -> None:
+    """Tables devices and pairs as Parquet below path, and the catalogs beside them. Spark's committer makes each whole or absent."""
+    spark = m.pairs.sparkSession
+    m.devices.write.parquet(f"{path}/devices")
+    m.pairs.write.parquet(f"{path}/pairs")
+    head = [(SCHEMA_VERSION, json.dumps(_document(m.device)), json.dumps(_document(m.documentation)))]
+    spark.createDataFrame(head, "schema_version int, device string, documentation string").coalesce(1).write.parquet(f"{path}/catalogs")
+
+
+def load_mapping(spark: SparkSession, path: str) -> Mapped:
+    """A saved mapping; its pairs must name records that its catalogs have."""
+    head = spark.read.parquet(f"{path}/catalogs").first()
+    if head is None or head["schema_version"] != SCHEMA_VERSION:
+        raise cat.CatalogError(f"no mapping of schema version {SCHEMA_VERSION}")
+    x = side(spark, json.loads(head["device"]), documents=False, follow=False)
+    y = side(spark, json.loads(head["documentation"]), documents=True, follow=False)
+    pairs = spark.read.parquet(f"{path}/pairs")
+    strange = pairs.join(x.records, "id", "left_anti").select("id").unionByName(pairs.join(y.records.select(F.col("id").alias("document_id")), "document_id", "left_anti").select("id"))
+    if not strange.isEmpty():
+        raise cat.CatalogError("pairs name records that the catalogs haven't")
+    return Mapped(x, y, spark.read.parquet(f"{path}/devices"), pairs)
+
+
+def flat_catalog(formats: list, source: str) -> dict:
+    """A flat catalog of formats, or of records, under a plain header."""
+    return {"schema_version": 1, "source": source, "vendor": "-", "device": "-", "model_type": "-", "type": "flat", "commands": [{"format": f} if isinstance(f, str) else f for f in formats]}
+
+
+def map_formats(spark: SparkSession, targets: list, documents: list, syntax: str = "device", steps: int = MAX_STEPS) -> Mapped:
+    """Match formats without views. syntax: whether the targets declare values as devices do, or name them as documents do."""
+    if syntax not in ("device", "document"):
+        raise ValueError("syntax must be device or document")
+    return map_catalogs(spark, flat_catalog(targets, "device" if syntax == "device" else "documentation"), flat_catalog(documents, "documentation"), steps=steps)
+
+
+def compare(document: str, device: str, types: Mapping[str, str] | None = None, steps: int = MAX_STEPS) -> str:
+    """How the language of one documented format stands to that of a device's: equivalent, …, or unknown."""
+    t = cat.with_types(parse(document, DOCUMENT, policy=False), dict(types or {}))
+    return relation(t, parse(device), steps) or "unknown"

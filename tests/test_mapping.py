@@ -162,3 +162,33 @@ def test_rules_of_parsed_lines(spark, mapped):
     out = {(r.line_no, r.document_id): (r.status, json.loads(r.rules)) for r in applications(parse_configurations(rows, DEVICE), mapped, rules).collect()}
     assert out[1, "doc:2"][0] == "applied" and len(out[1, "doc:2"][1][0][1]) == 1  # of the round that has a last
     assert out[2, "doc:0"][0] == "inactive" and out[3, "doc:3"][0] == "applied"
+
+
+def test_saved_mappings(spark, mapped, tmp_path):
+    path = f"file://{tmp_path}/m"
+    M.save_mapping(mapped, path)
+    back = M.load_mapping(spark, path)
+    assert sorted(map(repr, back.pairs.collect())) == sorted(map(repr, mapped.pairs.collect())) and back.documentation.trees.keys() == mapped.documentation.trees.keys()
+    assert H.mapping_document(back) == H.mapping_document(mapped)
+
+
+def test_formats_without_views(spark):
+    m = M.map_formats(spark, ["a <x> b", "c"], ["a <y> b", "c d"], syntax="document")
+    assert {r.format: (r.status, r.stage) for r in m.devices.collect()} == {"a <x> b": ("matched", "exact"), "c": ("unmatched", None)}
+    assert M.compare("c <id> a", "c INTEGER<1-100> b", {"id": "integer"}) == "prefix_only" and M.compare("a [ b ]", "a", steps=1) == "unknown"
+    from lineloom.operators.corpus import self_matches
+
+    own = M.map_formats(spark, ["a <x>", "a <x>", "b"], ["a <x>", "a <x>", "b"], syntax="document")
+    assert tuple(self_matches(own).first()) == (3, 3, 3, 2)
+
+
+def test_command_line(tmp_path, capsys):
+    from lineloom.__main__ import main
+
+    (tmp_path / "c.json").write_text(json.dumps({"commands": ["keep INTEGER<1-9>"]}))
+    (tmp_path / "good.txt").write_text("keep 5\n")
+    (tmp_path / "bad.txt").write_text("keep 5\nkepe\n")
+    args = ["parse", "--patterns", str(tmp_path / "c.json"), "--config"]
+    assert main([*args, str(tmp_path / "good.txt")]) == 0 and json.loads(capsys.readouterr().out)["summary"]["commands"] == 1
+    assert main([*args, str(tmp_path / "bad.txt")]) == 1
+    assert main([*args, str(tmp_path / "none.txt")]) == 2
