@@ -243,7 +243,9 @@ def refined(docs: DataFrame, lists: DataFrame, n_units: int, length: int, q: int
 
     At each level the pointers of a bucket are refined by the identifier of their cell's core: cells that no other shares drop
     out; cells whose whole extent another shares are repeats; the others are cut finer. At width 1 core and extent are the string.
+    Widths at which the strings of a cell needn't share any bytes are passed over, as a core there would tell equal strings apart.
     """
+    widths = tuple(w for w in widths if w <= length - q + 1)
     span = [(F.col("anchor") - F.col("hi")).alias("start"), (F.col("anchor") + length - F.col("lo")).alias("end")]
     ranges, n, out = materialize(anchored(docs, lists, n_units, length, q), "suffix-ranges"), n_units, []
     for width in widths:
