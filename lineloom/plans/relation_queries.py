@@ -54,6 +54,15 @@ def q_prefix_compat(spark: SparkSession, d: str) -> DataFrame:
     return matching.prefix_candidates(x, y)
 
 
+def q_prefix_compat_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same of all parts on both sides."""
+    t = table(spark, d, "part")
+    first = F.substring_index("p_name", " ", 1)
+    x = t.select(F.col("p_name").alias("format"), F.array(F.split("p_name", " ")).alias("prefixes")).distinct()
+    y = t.select(first.alias("format"), F.array(F.array(first)).alias("prefixes")).distinct()
+    return matching.prefix_candidates(x, y)
+
+
 def q_scope_partition(spark: SparkSession, d: str) -> DataFrame:
     r = lambda mod: table(spark, d, "nation").select(F.when(F.col("n_nationkey") > mod, F.col("n_name")).alias("view"), (F.col("n_nationkey") % 5 == 1).alias("is_entry"), (F.col("n_nationkey") % 7 == 2).alias("is_global"))
     return context.scope_pairs(r(0).filter("view is not null"), r(2).distinct())
@@ -161,7 +170,16 @@ def q_example_fixpoint(spark: SparkSession, d: str) -> DataFrame:
 
 def q_semantic_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Matches to devices to documents to records, in a scope."""
-    match = table(spark, d, "orders").filter("o_orderkey % 10 = 0").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    return _semantic_lookup(spark, d, table(spark, d, "orders").filter("o_orderkey % 10 = 0"))
+
+
+def q_semantic_lookup_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same of all orders."""
+    return _semantic_lookup(spark, d, table(spark, d, "orders"))
+
+
+def _semantic_lookup(spark: SparkSession, d: str, orders: DataFrame) -> DataFrame:
+    match = orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
     device = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
     document = table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("r_regionkey"))
     record = table(spark, d, "region").filter("r_name <> 'ASIA'")
