@@ -2,7 +2,8 @@
 
 Candidates are found in every whole text. Each candidate value is hashed, and the hashes are counted over
 distinct owners (the source column) and distinct documents of the whole table. A value that many owners
-hold is a copied example; one that a single owner or few hold, and that looks random, is live.
+hold is a copied example; one that a single owner or few hold, and that looks random, is live. The value of a private key is its body, however its lines are broken; a BEGIN line
+without a body has an empty value, and is weak.
 
 Defined results: null or empty text has no spans (the digest is that of the empty string). A null source is
 an owner of its own. Each row counts by itself; equal rows get equal results. Other columns are ignored.
@@ -30,12 +31,20 @@ MIN_ENTROPY = 2.5
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: What stands between the lines of a key: line ends, written out too, indents, quotes and comment marks.
+BETWEEN = r"""(?:\\[nrt]|[\s"'>#*|,\\])"""
+#: A private key through its END line; where that is missing, through the end of its base64 body. The group is the body.
+PEM = (
+    r"-----BEGIN ([A-Z ]{0,20}PRIVATE KEY)-----(?:((?:(?!-----)[\s\S])*+)-----END \1-----|"
+    rf"((?:{BETWEEN}++(?:Proc-Type|DEK-Info):[^\n\\]*+)*+(?:{BETWEEN}++[A-Za-z0-9+/]{{16,}}+={{0,2}})*+(?:(?<=[A-Za-z0-9+/=]{{16}}){BETWEEN}++[A-Za-z0-9+/]{{1,15}}+={{0,2}}(?=[\"',\x20\t\r]*+(?:\n|\\n|\Z)))?))"
+)
+APART = re.compile(BETWEEN)
 #: Kinds beyond the base ones: (kind, a string that must stand in the text, pattern).
 MORE = [
     ("bearer", "earer ", re.compile(r"(?ai:bearer)\x20+([A-Za-z0-9._~+/-]{20,}=*)")),
     ("github", "gh", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")),
     ("jwt", "eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
-    ("pem", "PRIVATE KEY", re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")),
+    ("pem", "PRIVATE KEY", re.compile(PEM)),
     ("slack", "xox", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}")),
 ]
 BASE = ("assign", "access", "hex")
@@ -52,7 +61,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     out += [(m.start(), m.end(), "hex", m[0]) for m in HEX.finditer(text)]
     for kind, mark, pattern in MORE:
         if mark in text:
-            out += [(m.start(), m.end(), kind, m[m.lastindex or 0]) for m in pattern.finditer(text)]
+            out += [(m.start(), m.end(), kind, APART.sub("", m[m.lastindex]) if kind == "pem" else m[m.lastindex or 0]) for m in pattern.finditer(text)]
     return sorted(out, key=lambda x: (x[0], ORDER[x[2]]))
 
 

@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from lineloom.llm.secret_scan import scan_secrets
+from lineloom.llm.secret_scan import find, scan_secrets
 
 from .helpers import CLASHES, rows_of
 
@@ -60,6 +60,47 @@ def test_ownership(spark):
     assert out[20].verdict == "weak" and out[21].verdict == "live" and out[21].n_owners == 2
 
 
+def _body(seed, n=200):
+    import random
+
+    return "".join(random.Random(seed).choices("ABCDEFGHabcdefgh0123456789+/", k=n))
+
+
+def _key(body, end=True, line="\n"):
+    lines = [body[i : i + 64] for i in range(0, len(body), 64)]
+    return line.join(["-----BEGIN RSA PRIVATE KEY-----", *lines, *(["-----END RSA PRIVATE KEY-----"] if end else [])])
+
+
+def test_a_private_key_is_found_whole():
+    for line in ("\n", "\r\n", "\\n", "\n    ", "\n> ", " ", '",\n"'):
+        for end in (True, False):
+            key = _key(_body(1), end, line)
+            a, b, _, value = next(x for x in find("text before\n" + key + "\nand prose after") if x[2] == "pem")
+            assert (a, b, value) == (12, 12 + len(key), _body(1)), (line, end)
+    head = "-----BEGIN RSA PRIVATE KEY-----"
+    assert [x[:2] for x in find(head + " is how a key begins") if x[2] == "pem"] == [(0, 31)]
+    two = _key(_body(1), False) + "\n" + _key(_body(2))
+    assert [x[3] for x in find(two) if x[2] == "pem"] == [_body(1), _body(2)]
+    locked = head + "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n" + _body(3)
+    assert [x[:2] for x in find(locked) if x[2] == "pem"] == [(0, len(locked))]
+    find(head * 5000)
+    find(head + " A" * 300_000)
+
+
+def test_each_private_key_is_a_value_of_its_own(spark):
+    """Many owners' different keys are live and blanked whole; one key that many hold, however wrapped, is an example."""
+    from lineloom.llm.filtering import blank_spans
+
+    rows = [(i, _key(_body(i)), "en", f"o{i}", 0) for i in range(8)]
+    rows += [(10 + i, _key(_body(99), line="\n" if i % 2 else "\r\n"), "en", f"o{i}", 0) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: [j for j in r.judged if j.end - j.start > 200] for r in scan_secrets(docs).collect()}
+    assert all(out[i][0].verdict == "live" for i in range(8)) and all(out[10 + i][0].verdict == "example" for i in range(5))
+    spans = scan_secrets(docs).selectExpr("doc_id", "transform(filter(judged, x -> x.verdict = 'live'), x -> struct(x.start, x.end)) spans")
+    text = dict(rows_of(blank_spans(docs, spans), "doc_id", "text"))
+    assert all(set(text[i]) == {"*"} for i in range(8))
+
+
 def test_without_a_source_column(spark):
     out = scan_secrets(spark.createDataFrame([(1, "token=Rt5Wq8Nb3Vc6")], "doc_id long, text string")).collect()
     assert out[0].judged[0].n_owners == 1 and out[0].n_live == 1
