@@ -39,7 +39,7 @@ PEM = (
     rf"((?:{BETWEEN}++(?:Proc-Type|DEK-Info):[^\n\\]*+)*+(?:{BETWEEN}++[A-Za-z0-9+/]{{16,}}+={{0,2}})*+(?:(?<=[A-Za-z0-9+/=]{{16}}){BETWEEN}++[A-Za-z0-9+/]{{1,15}}+={{0,2}}(?=[\"',\x20\t\r]*+(?:\n|\\n|\Z)))?))"
 )
 APART = re.compile(BETWEEN)
-#: Kinds beyond the base ones: (kind, a string that must stand in the text, pattern).
+#: Kinds beyond the base ones: (kind, a string that must stand in the text (for bearer in any case), pattern).
 MORE = [
     ("bearer", "earer ", re.compile(r"(?ai:bearer)\x20+([A-Za-z0-9._~+/-]{20,}=*)")),
     ("github", "gh", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")),
@@ -59,8 +59,9 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     if "AKIA" in text:
         out += [(m.start(), m.end(), "access", m[0]) for m in ACCESS.finditer(text)]
     out += [(m.start(), m.end(), "hex", m[0]) for m in HEX.finditer(text)]
+    lowered = text.lower()
     for kind, mark, pattern in MORE:
-        if mark in text:
+        if mark in (lowered if kind == "bearer" else text):
             out += [(m.start(), m.end(), kind, APART.sub("", m[m.lastindex]) if kind == "pem" else m[m.lastindex or 0]) for m in pattern.finditer(text)]
     return sorted(out, key=lambda x: (x[0], ORDER[x[2]]))
 

@@ -101,6 +101,11 @@ def test_each_private_key_is_a_value_of_its_own(spark):
     assert all(set(text[i]) == {"*"} for i in range(8))
 
 
+def test_bearer_in_any_case():
+    for word in ("bearer", "Bearer", "BEARER", "bEARer"):
+        assert [x[:3] for x in find(f"Authorization: {word} abcdefghijklmnopqrstuvwx")] == [(15, 22 + 24, "bearer")]
+
+
 def test_without_a_source_column(spark):
     out = scan_secrets(spark.createDataFrame([(1, "token=Rt5Wq8Nb3Vc6")], "doc_id long, text string")).collect()
     assert out[0].judged[0].n_owners == 1 and out[0].n_live == 1
