@@ -3,7 +3,7 @@
 Texts become sequences of lower-cased words in which numbers, units after numbers, and names (capitalised words within a
 sentence) are typed placeholders. Windows of such templates are hash-joined between documents and benchmark items;
 hits are grouped by diagonal, and a document holds an item if its windows cover enough of the item's words. The values that stand
-in the placeholders are then held against each other: where the item repeats a value the document must repeat one too, so
+in the placeholders, of each place those nearest to the heaviest diagonal, are then held against each other: where the item repeats a value the document must repeat one too, so
 a question with other numbers or names is caught as re-parameterised, and a chance likeness of form is not. Windows are
 also joined as they stand, so that a plain copy is found whatever its capitals, and whatever its templates would match besides.
 
@@ -145,7 +145,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     by = Window.partitionBy(*key).orderBy("diagonal")
     runs = votes.withColumn("run", F.sum(F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > gap).cast("int"), F.lit(1))).over(by))
     all_of = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    merged = runs.groupBy(*key, "run").agg(all_of("held"), all_of("held_plain"), F.min("lo").alias("first_word"), (F.max("hi") + (width - 1)).alias("last_word"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
+    merged = runs.groupBy(*key, "run").agg(all_of("held"), all_of("held_plain"), F.min("lo").alias("first_word"), (F.max("hi") + (width - 1)).alias("last_word"))
+    # of each of the item's places the slot on the diagonal nearest to the run's main one: a phrase that recurs nearby hits others too
+    held_here = F.size("held")
+    main = F.max(F.struct(held_here.alias("size"), (-F.col("diagonal")).alias("r"))).over(Window.partitionBy(*key, "run"))
+    each = runs.select(*key, "run", "diagonal", held_here.alias("size"), (-main["r"]).alias("main"), F.explode("slots").alias("s"))
+    nearest = F.struct(F.abs(F.col("diagonal") - F.col("main")).alias("far"), (-F.col("size")).alias("r"), "diagonal", F.col("s").alias("slot"))
+    aligned = each.groupBy(*key, "run", F.col("s.at").alias("at")).agg(F.min(nearest).alias("x")).groupBy(*key, "run").agg(F.collect_list("x.slot").alias("slots"))
+    no_slots = F.array().cast(dict(votes.dtypes)["slots"])
+    merged = merged.join(aligned, [*key, "run"], "left").withColumn("slots", F.coalesce("slots", no_slots))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-width).cast("long").alias("last"))
     step = lambda a, p: F.struct((a["n"] + F.least(F.lit(width).cast("long"), p - a["last"])).alias("n"), p.alias("last"))
     share = lambda c: F.aggregate(c, zero, step, lambda a: a["n"]) / F.col("item_words")

@@ -143,6 +143,16 @@ def test_random_texts(spark, make_docs, seed):
     assert found(contaminated(make_docs(docs), spark.createDataFrame(items, "item_id long, text string"))) == brute(docs, items)
 
 
+def test_phrases_that_recur_nearby(spark, make_docs):
+    """A template window that recurs hits neighbouring diagonals, which say nothing of the slots."""
+    form = "She bought {} red apples and she bought {} red apples and she bought {} red apples in all at {} shops."
+    items = [(1, form.format(3, 4, 5, 6)), (2, form.format(3, 3, 5, 6))]
+    docs = [form.format(30, 40, 50, 60), form.format(30, 30, 50, 60), items[0][1]]
+    out = {(r.doc_id, r.item_id): r.reparameterised for r in contaminated(make_docs(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    # different values of the item may become one; one value can't become two; (2, 2) has 20 of 21 words as they stand
+    assert out == {(0, 1): True, (1, 1): True, (1, 2): True, (2, 1): False, (2, 2): False}
+
+
 def test_empty_tables(spark, make_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert contaminated(make_docs(DOCS), none).collect() == []
