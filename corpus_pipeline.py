@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineloom.llm.decontaminate import contaminated
-from lineloom.llm.filtering import blank_spans, without_ids
+from lineloom.llm.filtering import blank_spans, hashed, without
 from lineloom.llm.language_id import in_known_language
-from lineloom.llm.near_dedup import near_duplicates
+from lineloom.llm.near_dedup import one_of_each
 from lineloom.llm.packing import pack
 from lineloom.llm.query_op5 import tokenizer_path
 from lineloom.llm.secret_scan import scan_secrets
@@ -21,34 +21,55 @@ from lineloom.shipping import ship
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+# In every stage rows are judged by their texts: a null doc_id, or one that several texts share, is no way around it.
+# Other columns pass as they are, whatever their names; an empty table gives an empty one.
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those that language identification rejects go."""
+    """Documents in a known language; those that language identification rejects go.
+
+    Null texts and texts without a letter are rejected. Equal texts, very long ones too, get one verdict. Ties go to the first language by name,
+    and reject nothing.
+    """
     ship(spark)
     return in_known_language(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest doc_id."""
+    """One document of each group of near copies: that of the smallest doc_id; null ids come last.
+
+    Null texts and texts without a word are linked with nothing and stay. Of repeated rows one stays. A very long text is compared by its whole set.
+    """
     ship(spark)
-    return without_ids(docs, near_duplicates(docs).filter("not kept").select("doc_id"))
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item.
+
+    Null and empty texts hold none and stay. Equal texts go together. Whichever of several items a text holds, it goes.
+    """
     ship(spark)
-    return without_ids(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    whole, key = hashed(docs)
+    by_text = whole.select(F.col(key).alias("doc_id"), "text").filter("text is not null")
+    return without(whole, key, contaminated(by_text, table(spark, sf_dir, "benchmark")).select("doc_id")).drop(key)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, live-looking credentials blanked out of the text."""
+    """All documents, live-looking credentials blanked out of the text.
+
+    Null and empty texts stay as they are. Each row counts where owners are counted; equal texts are blanked alike. Spans that overlap are blanked as one.
+    """
     ship(spark)
     live = F.filter("judged", lambda x: x["verdict"] == "live")
-    found = scan_secrets(docs).select("doc_id", F.transform(live, lambda x: F.struct(x["start"], x["end"])).alias("spans"))
+    whole, key = hashed(docs)
+    by_text = whole.select(F.col(key).alias("doc_id"), "text", *(["source"] if "source" in docs.columns else []))
+    found = scan_secrets(by_text).select(F.col("doc_id").alias("text_hash"), F.transform(live, lambda x: F.struct(x["start"], x["end"])).alias("spans"))
     return blank_spans(docs, found.filter(F.size("spans") > 0))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a packed sequence."""
+    """One row per piece of a packed sequence. A null text is empty: its document is the closing id alone. Repeated rows are packed each."""
     ship(spark)
     return pack(docs, tokenizer_path())
 

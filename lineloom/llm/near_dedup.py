@@ -6,17 +6,19 @@ differ in at most M * (E + 1) - 1 symbols have a chunk with at most E = 1 differ
 chunk in turn enumerates these errors, so such a pair shares a key. At K = 40, M = 8, E = 1 all pairs within 15
 symbols are met, and a pair at similarity 0.8 is missed with a chance of 2e-5, at 0.85 of 6e-7.
 
-Beside it a class has a parity sketch of 1024 bits: each shingle flips one. Two sketches differ in no more bits than the sets
-differ in shingles, so a pair whose sketches differ too much is ruled out for certain.
-
-Classes that share a key aren't paired with each other but with a few heads of the key. Candidate pairs are held to a
-bound on the distance of 128 one-bit minhashes, and confirmed on the full sets. Then keys whose members still lie in
-more than one component are taken up again: every member outside the key's main component meets every member of another
-component. So no pair that shares a key goes unseen unless its two are known to be connected.
+Classes that share a key aren't paired with each other but with a few heads of the key: the one that shares most keys with others,
+which stands in the middle of its copies, and some by chance. Candidate pairs are held to a bound on the distance of 128 one-bit
+minhashes, and confirmed on the full sets. Classes of a key whose members then still lie in more than one component are open. Among
+open classes the keys are split further: a pair at the threshold shares one of the rarest shingles of each (as many as a set may lack,
+and one), so a hot key falls apart into the few shingles that tell its members apart. Pairs across components that share such a
+shingle are held to a parity sketch of 1024 bits (each shingle flips one; sketches differ in no more bits than the sets differ in
+shingles, so what this rules out is ruled out for certain), and confirmed. So no pair that shares a key and reaches the threshold goes unseen
+unless its two are known to be connected.
 
 Defined results: null or empty text, or text without a word, has an empty set and is linked with nothing. Fewer than `width`
-words are one shingle, the whole sequence. Rows that share a doc_id are a document each, linked as their sets are. A null doc_id
-never stands for others. Other columns are ignored. A very long text holds its own set in memory, and no more.
+words are one shingle, the whole sequence. Rows that share a doc_id but not their text, and rows without one, are documents of their
+own, linked as their sets are; component_id is the smallest doc_id of the component, null if it has none. Of ties for a head the largest id is taken; components don't hang on it. An empty table gives no rows. Other columns are
+ignored. A very long text holds its own set in memory, and no more.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 
 from lineloom.llm import textbytes as tb
 from lineloom.llm.components import components
-from lineloom.llm.rows import per_batch, texts
+from lineloom.llm.filtering import without
+from lineloom.llm.rows import bound_batches, per_batch, texts
 from lineloom.llm.store import materialize
 
 WIDTH = 5
@@ -39,11 +42,16 @@ CHUNKS, CHUNK = 8, 5
 BITS = 128
 #: One-bit minhashes that a pair may differ in: a pair at 0.8 differs in 12.8 of 128, more than 33 at a chance of 1e-7.
 MOST_BITS = 33
-HEADS = 3
+#: Heads of a key taken by chance, beside the one that shares most keys.
+HEADS = 2
 PARITY = 1024
+#: Bytes of texts whose sketches are made at once.
+SET_BYTES = 1 << 18
 SKETCH = [f"s{i}" for i in range(PARITY // 64)]
 #: Ids of sets to fetch are broadcast up to so many (8 bytes each); beyond, texts are shuffled to them.
 BROADCAST_IDS = 2_000_000
+#: Pairs of a head that one task confirms; those of a head with more are spread.
+BLOCK = 256
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(1, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,12 +78,33 @@ def sets_of(s: tb.Slice, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.concatenate(([0], np.cumsum(sizes)))
 
 
+#: Numbers given to documents that share a doc_id or have none lie from here on.
+GIVEN = 1 << 62
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The documents with a number each in the column `name`: doc_id, or where it is null or another text has it, one made of doc_id and text."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    t = F.xxhash64(text)
+    odd = docs.select(doc_id.alias("odd_id"), t.alias("t")).groupBy("odd_id").agg(F.min("t").alias("low"), F.max("t").alias("high")).filter("odd_id is null or low <> high")
+    odd = materialize(odd, "near-odd")
+    if odd.isEmpty():
+        return docs.withColumn(name, doc_id)
+    columns = [docs[c] for c in docs.columns]
+    # null ids are spread by their texts
+    joined = docs.join(odd.filter("odd_id is not null"), F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))) == odd["odd_id"], "left")
+    own = docs["doc_id"].cast("long")
+    keeps = own.isNotNull() & (odd["odd_id"].isNull() | (F.xxhash64(docs["text"].cast("string")) == odd["low"]))
+    given = F.xxhash64(F.lit("given"), own, docs["text"].cast("string")).bitwiseAND(F.lit(GIVEN - 1)).bitwiseOR(F.lit(GIVEN))
+    return joined.select(*columns, F.when(keeps, own).otherwise(given).alias(name))
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (a hash of the set), symbols (16 bits each), bits_a and bits_b, and the parity sketch."""
+    """Of documents (id, doc_id, text): id, doc_id, n_shingles, set_a and set_b (a hash of the set), symbols (16 bits each), bits_a and bits_b."""
 
     def make(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         done = 0
-        for s in tb.slices(b.column(1)):
+        for s in tb.slices(b.column(2)):
             g, of = sets_of(s, width)
             n = np.diff(of)
             some = np.flatnonzero(n)
@@ -87,19 +116,17 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     low[some, j] = np.minimum.reduceat(g * _MULTIPLY[j] + _ADD[j], first)
                 sums[some, 0] = np.add.reduceat(tb.mix(g + np.uint64(1)), first)
                 sums[some, 1] = np.add.reduceat(tb.mix(g ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
-            flips = np.bincount(np.repeat(np.arange(s.n), n) * PARITY + (tb.mix(g) & np.uint64(PARITY - 1)).astype(np.int64), minlength=s.n * PARITY) & 1
-            sketch = np.packbits(flips.astype(np.uint8).reshape(s.n, PARITY), axis=1).view(np.int64)
             low = tb.mix(low)
             symbols = np.ascontiguousarray((low[:, : CHUNKS * CHUNK] & np.uint64(0xFFFF)).astype("<u2"))
             bits = np.packbits((low >> np.uint64(33) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
             rows = symbols.view(f"V{2 * CHUNKS * CHUNK}").ravel()
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(done, s.n), pa.array(n), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(bits[:, 0]), pa.array(bits[:, 1]), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "symbols", "bits_a", "bits_b", *SKETCH],
+                [b.column(0).slice(done, s.n), b.column(1).slice(done, s.n), pa.array(n), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(bits[:, 0]), pa.array(bits[:, 1])],
+                names=["id", "doc_id", "n_shingles", "set_a", "set_b", "symbols", "bits_a", "bits_b"],
             )
             done += s.n
 
-    return per_batch(texts(docs), make, "doc_id long, n_shingles long, set_a long, set_b long, symbols binary, bits_a long, bits_b long, " + ", ".join(f"{c} long" for c in SKETCH))
+    return per_batch(docs, make, "id long, doc_id long, n_shingles long, set_a long, set_b long, symbols binary, bits_a long, bits_b long")
 
 
 def chunk_keys(symbols: np.ndarray) -> np.ndarray:
@@ -140,64 +167,154 @@ def may_differ(x: str, y: str, percent: int):
     return flips * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent)
 
 
-def ordered(x, y) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, label: str) -> DataFrame:
-    """Those of the written pairs (a, b) whose full sets are alike."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{label}-ids")
+def sets_of_ids(docs: DataFrame, ids: DataFrame, width: int, label: str) -> DataFrame:
+    """(id, n, shingles, sketch) of the documents among the written ids; shingles are sorted as unsigned numbers."""
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
 
     def make(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         done = 0
-        for s in tb.slices(b.column(1)):
+        for s in tb.slices(b.column(1), SET_BYTES):
             g, of = sets_of(s, width)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(done, s.n), pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), pa.array(g.view(np.int64)))], names=["id", "shingles"])
+            n = np.diff(of)
+            at = np.repeat(np.arange(s.n, dtype=np.int64) * PARITY, n) + (tb.mix(g) & np.uint64(PARITY - 1)).astype(np.int64)
+            flips = (np.bincount(at, minlength=s.n * PARITY) & 1).astype(np.uint8).reshape(s.n, PARITY)
+            sketch = np.packbits(flips, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).slice(done, s.n), pa.array(n), pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), pa.array(g.view(np.int64))), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)],
+                names=["id", "n", "shingles", *SKETCH],
+            )
             done += s.n
 
-    sets = materialize(per_batch(texts(docs).join(ids, "doc_id", "left_semi"), make, "id long, shingles array<long>"), f"{label}-sets")
-    x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(x, "a").join(y, "b")
-    same = F.size(F.array_intersect("sa", "sb"))
-    return materialize(both.filter(100 * same >= percent * (F.size("sa") + F.size("sb") - same)).select("a", "b").distinct(), f"{label}-links")
-
-
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, n_links (of its class with other classes)."""
+    schema = "id long, n long, shingles array<long>, " + ", ".join(f"{c} long" for c in SKETCH)
+    return materialize(per_batch(docs.select("id", "text").join(ids, "id", "left_semi"), make, schema), f"{label}-sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are alike.
+
+    The partners of an `a` lie behind its set in one stream, in blocks: its set is copied once a block, not once a pair, and no
+    task holds more than one set beside that at hand.
+    """
+    many = materialize(pairs.groupBy("a").count().filter(f"count > {BLOCK}").select("a", F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks")), f"{label}-many")
+    block = F.coalesce(F.pmod(F.xxhash64("b"), F.col("blocks")), F.lit(0).cast("long")).alias("block")
+    blocked = materialize(pairs.join(many, "a", "left").select("a", block, "b"), f"{label}-blocked")
+    own = sets.select("id", "shingles")
+    firsts = blocked.select("a", "block").distinct().join(own, F.col("a") == F.col("id")).select("a", "block", F.lit(None).cast("long").alias("b"), "shingles")
+    others = blocked.join(own, F.col("b") == F.col("id")).select("a", "block", "b", "shingles")
+    stream = firsts.unionByName(others).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.uint64)
+        for batch in batches:
+            a, b, lists = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
+            values, of = np.asarray(lists.flatten()).view(np.uint64), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            found = []
+            for i, y in enumerate(b):
+                x = values[of[i] : of[i + 1]]
+                if y is None:
+                    held = x.copy()
+                    continue
+                few, more = (x, held) if len(x) < len(held) else (held, x)
+                at = np.searchsorted(more, few)
+                same = int((more[np.minimum(at, len(more) - 1)] == few).sum()) if len(more) else 0
+                if 100 * same >= percent * (len(x) + len(held) - same):
+                    found.append((a[i], y))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    bound_batches(sets.sparkSession)
+    return materialize(stream.mapInArrow(run, "a long, b long"), f"{label}-links")
+
+
+def mixed(members: DataFrame, label: str) -> DataFrame:
+    """(key, main): the keys whose members (key, component, ...) lie in more than one component, and the one with most of them."""
+    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    return materialize(sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("key", F.col("main.component").alias("main")), label)
+
+
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, key): of each set the shingles, in an order that all sets share and in which those of few sets come first, one of which any set alike
+    must hold too: all that may be missing from it, and one. Shingles of a single set take such places but needn't be told.
+    """
+    each = sets.select("id", "n", F.explode("shingles").alias("key"))
+    held = materialize(each.groupBy("key").count().filter("count > 1"), "near-shingles")
+    known = each.join(held, "key").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("count", "key"))).alias("known"))
+    places = F.size("known") - F.ceil(F.col("n") * percent / 100.0 - 1e-9).cast("int") + 1
+    return known.filter(places > 0).select("id", F.explode(F.slice("known", F.lit(1), places)).alias("k")).select("id", "k.key")
+
+
+def met_again(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of open classes (id, component) that lie in different components, share a rare shingle, and may be alike."""
+    members = materialize(rare_shingles(sets, percent).join(open_, "id"), "near-rare")
+    main = mixed(members, "near-rare-main")
+    split = materialize(members.join(main, "key").join(sets.select("id", "n", *SKETCH), "id"), "near-split")
+    x, y = split.filter("component <> main").alias("x"), split.alias("y")
+    sizes = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+    # of two that both lie outside the main component, one suffices
+    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & sizes & may_differ("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of documents (id, doc_id, text), written: id, doc_id, n_shingles, component: the smallest id of the component."""
     sigs = materialize(signatures(docs, width), "near-signatures")
-    by_set = sigs.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", F.col("n_shingles").alias("n"))
-    classes = materialize(by_set.agg(F.min("doc_id").alias("id"), F.first("symbols").alias("symbols"), F.first("bits_a").alias("bits_a"), F.first("bits_b").alias("bits_b"), *(F.first(c).alias(c) for c in SKETCH)), "near-classes")
+    by_set = sigs.filter("n_shingles > 0").groupBy("set_a", "set_b", F.col("n_shingles").alias("n"))
+    classes = materialize(by_set.agg(F.min("id").alias("id"), F.first("symbols").alias("symbols"), F.first("bits_a").alias("bits_a"), F.first("bits_b").alias("bits_b")), "near-classes")
     # keys that more than one class has, and their members
     keys = keyed(classes)
-    shared = materialize(keys.groupBy("key").count().filter("count > 1").select("key"), "near-keys")
+    shared = materialize(keys.groupBy("key").count().filter("count > 1"), "near-keys")
     members = materialize(keys.join(shared, "key"), "near-members")
-    # round 1: each member against the heads of its key
-    rank = lambda j: F.min(F.struct(F.xxhash64(F.lit(j), "id").alias("r"), "id", "n", "bits_a", "bits_b")).alias(f"h{j}")
-    heads = materialize(members.groupBy("key").agg(*(rank(j) for j in range(HEADS))), "near-heads")
-    head = F.explode(F.array(*(F.struct(*(f"h{j}.{c}" for c in ("id", "n", "bits_a", "bits_b"))) for j in range(HEADS)))).alias("h")
-    met = members.join(heads, "key").select(F.struct("id", "n", "bits_a", "bits_b").alias("m"), head)
-    first = materialize(met.filter((F.col("m.id") != F.col("h.id")) & alike("m", "h", percent)).select(*ordered(F.col("m.id"), F.col("h.id"))).distinct(), "near-first")
-    links = confirmed(first, docs, width, percent, "near-first")
+    # first each member against the heads of its key
+    popular = materialize(members.groupBy("id").agg(F.sum("count").alias("met")), "near-popular")
+    fields = ("id", "n", "bits_a", "bits_b")
+    rank = lambda j: F.min(F.struct(F.xxhash64(F.lit(j), "id").alias("r"), *fields)).alias(f"h{j}")
+    heads = materialize(members.join(popular, "id").groupBy("key").agg(F.max(F.struct("met", *fields)).alias("top"), *(rank(j) for j in range(HEADS))), "near-heads")
+    head = F.explode(F.array(*(F.struct(*(f"{h}.{c}" for c in fields)) for h in ("top", *(f"h{j}" for j in range(HEADS)))))).alias("h")
+    met = members.join(heads, "key").select(F.struct(*fields).alias("m"), head)
+    first = materialize(met.filter((F.col("m.id") != F.col("h.id")) & alike("m", "h", percent)).select(F.col("h.id").alias("a"), F.col("m.id").alias("b")).distinct(), "near-first")
+    ids = materialize(first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-first-ids")
+    links = confirmed(first, sets_of_ids(docs, ids, width, "near-first"), percent, "near-first")
     found = components(links, "near-first")
-    # round 2: keys whose members lie in several components
-    placed = materialize(members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "near-placed")
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    main = materialize(sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("key", F.col("main.component").alias("main")), "near-main")
-    if not main.isEmpty():
-        mixed = materialize(placed.join(main, "key").join(classes.select("id", *SKETCH), "id"), "near-mixed")
-        x, y = mixed.filter("component <> main").alias("x"), mixed.alias("y")
-        apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & alike("x", "y", percent) & may_differ("x", "y", percent)).select(*ordered(F.col("x.id"), F.col("y.id"))).distinct()
-        second = materialize(apart.join(first, ["a", "b"], "left_anti"), "near-second")
+    # then the classes of keys whose members lie in several components
+    placed = materialize(members.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "near-placed")
+    open_ = materialize(placed.join(mixed(placed, "near-main").select("key"), "key", "left_semi").select("id", "component").distinct(), "near-open")
+    if not open_.isEmpty():
+        sets = sets_of_ids(docs, open_.select("id"), width, "near-open")
+        second = materialize(met_again(open_, sets, percent).join(first, ["a", "b"], "left_anti"), "near-second")
         if not second.isEmpty():
-            links = materialize(links.unionByName(confirmed(second, docs, width, percent, "near-second")).distinct(), "near-links")
+            links = materialize(links.unionByName(confirmed(second, sets, percent, "near-second")), "near-links")
             found = components(links, "near-second")
     # back to the documents, by way of the classes
-    n_links = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    of_class = classes.select("set_a", "set_b", "n", "id").join(found.withColumnRenamed("node", "id"), "id", "left").join(n_links, "id", "left")
-    of_class = materialize(of_class.select("set_a", "set_b", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"), "n_links"), "near-placed-classes")
-    own = sigs.select("doc_id", "n_shingles", "set_a", "set_b")
-    component = F.coalesce("component", "doc_id")
-    return own.join(of_class, ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_class = classes.select("set_a", "set_b", "n", "id").join(found.withColumnRenamed("node", "id"), "id", "left")
+    of_class = materialize(of_class.select("set_a", "set_b", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component")), "near-placed-classes")
+    own = sigs.select("id", "doc_id", "n_shingles", "set_a", "set_b")
+    return own.join(of_class, ["set_a", "set_b", "n_shingles"], "left").select("id", "doc_id", "n_shingles", F.coalesce("component", "id").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    rows = grouped(numbered(texts(docs), "id").select("id", "doc_id", "text"), width, percent)
+    if rows.filter(f"id >= {GIVEN}").isEmpty():
+        rows = rows.withColumnRenamed("component", "component_id")
+    else:
+        rows = materialize(rows, "near-rows")
+        names = materialize(rows.groupBy("component").agg(F.min("doc_id").alias("component_id")), "near-names")
+        rows = rows.join(names, "component")
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The documents, with all their columns, less all but one of each component: the one with the smallest doc_id stays, of repeated rows any one."""
+    name = "row_number"
+    while name in docs.columns:
+        name += "_"
+    whole = numbered(docs, name)
+    rows = materialize(grouped(whole.select(F.col(name).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), width, percent).filter("n_shingles > 0"), "near-rows")
+    left = without(whole, name, rows.filter("id <> component").select("id"))
+    # repeated rows share a number
+    again = materialize(rows.filter("id = component").groupBy("id").count().filter("count > 1").select("id"), "near-again")
+    if not again.isEmpty():
+        one = left.join(again, left[name] == again["id"], "left_semi").dropDuplicates([name])
+        left = left.join(again, left[name] == again["id"], "left_anti").unionByName(one)
+    return left.drop(name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -35,9 +37,17 @@ def per_batch(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[pa.Record
         for b in batches:
             if b.num_rows:
                 yield from make(b)
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker that is kept for later tasks holds what the largest of them took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def is_null(column: pa.Array) -> "np.ndarray":  # noqa: F821
     return column.is_null().to_numpy(zero_copy_only=False)

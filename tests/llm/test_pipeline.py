@@ -90,8 +90,25 @@ def test_filters_by_either_join(spark, make_docs, monkeypatch, broadcast):
     if not broadcast:
         monkeypatch.setattr(filtering, "BROADCAST_IDS", -1)
         monkeypatch.setattr(filtering, "BROADCAST_SPANS", -1)
-    docs = make_docs(["abcdef", "ghi", (None, "jkl"), (1, "again")], extra=CLASHES)
+    docs = make_docs(["abcdef", "ghi", (None, "jkl"), (1, "again"), (7, None)], extra=CLASHES)
     ids = spark.createDataFrame([(1,), (1,), (None,), (99,)], "doc_id long")
-    assert rows_of(filtering.without_ids(docs, ids), "doc_id", "text") == [(0, "abcdef"), (None, "jkl")]
-    spans = spark.createDataFrame([(0, [(1, 3)]), (0, [(2, 5)]), (1, [(0, 1)]), (None, [(0, 1)])], "doc_id long, spans array<struct<start:long,end:long>>")
-    assert rows_of(filtering.blank_spans(docs, spans), "doc_id", "text") == [(0, "a****f"), (1, "*gain"), (1, "*hi"), (None, "jkl")]
+    assert rows_of(filtering.without(docs, "doc_id", ids), "doc_id", "text") == [(0, "abcdef"), (7, None), (None, "jkl")]
+    hashes = {r.text: r.h for r in docs.select("text", filtering.text_hash().alias("h")).collect()}
+    spans = spark.createDataFrame([(hashes["abcdef"], [(1, 3), (2, 5)]), (hashes["abcdef"], [(1, 3), (2, 5)]), (hashes["again"], [(0, 1)]), (hashes["jkl"], [(2, 9)])], "text_hash long, spans array<struct<start:long,end:long>>")
+    assert rows_of(filtering.blank_spans(docs, spans), "doc_id", "text") == [(0, "a****f"), (1, "*gain"), (1, "ghi"), (7, None), (None, "jk*")]
+
+
+def test_rows_without_an_id_of_their_own(spark, make_docs, sf_dir, words):
+    """Null and shared ids: one of each group stays, whoever holds the id."""
+    t, u = words(120), words(90)
+    docs = make_docs([(5, t), (None, t), (None, t), (5, u), (3, u + " end"), (9, u), (9, u), (None, "alone " + words(40)), (8, words(60)), (8, words(60))], extra=CLASHES)
+    same = [(8, docs.filter("doc_id = 8").first().text)] * 2
+    assert corpus_pipeline.near_dedup(spark, docs, sf_dir).filter("doc_id = 8").count() == 2
+    kept = rows_of(corpus_pipeline.near_dedup(spark, docs.filter("doc_id <> 8 or doc_id is null"), sf_dir), "doc_id", "text")
+    assert sorted((k[0] is None, k[0] or 0) for k in kept) == [(False, 3), (False, 5), (True, 0)] and (5, t) in kept
+    assert len(corpus_pipeline.near_dedup(spark, make_docs([*same, (None, "")]), sf_dir).collect()) == 2
+    secret = "password=Xy7Kq9Lm2Pz4"
+    blanked = corpus_pipeline.secrets(spark, make_docs([(None, secret), (1, "no"), (1, secret)]), sf_dir)
+    assert rows_of(blanked, "doc_id", "text") == [(1, "*" * 21), (1, "no"), (None, "*" * 21)]
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    assert rows_of(corpus_pipeline.decontamination(spark, make_docs([(None, item), (2, item), (2, "clean words")]), sf_dir), "doc_id", "text") == [(2, "clean words")]
