@@ -9,53 +9,57 @@ from lineloom.llm.decontaminate import UNITS, contaminated
 from .helpers import CLASHES, rows_of
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-W, LEAST, COVER, GAP = 5, 3, 0.8, 8
+W, COVER, GAP = 5, 0.8, 8
+HOLDERS = ("NAME", "UNIT", "NUMBER")
 
 
 @functools.cache
 def canonical(text):
-    """(value, form) of every word; a form is the value, or NUMBER, UNIT or NAME."""
+    """(value, form, form with capitalised openings as names) of every word; a form is the value, or NUMBER, UNIT or NAME."""
     out, before, end = [], None, None
     for m in re.finditer("[0-9A-Za-z\u0080-\U0010ffff]+", text):
         raw, value = m[0], m[0].translate(UPPER)
         opens = end is None or re.search(r"[\n!.:;?]", text[end : m.start()])
         form = value
-        if not opens and re.match("[A-ZÀ-Þ]", raw) and len(re.findall("[A-Z]", raw)) <= 1:
+        capital = re.match("[A-ZÀ-Þ]", raw) and len(re.findall("[A-Z]", raw)) <= 1
+        if not opens and capital:
             form = "NAME"
         if before is not None and value in UNITS and re.fullmatch("[0-9]+", before):
             form = "UNIT"
         if re.fullmatch("[0-9]+", raw):
             form = "NUMBER"
-        out.append((value, form))
+        out.append((value, form, "NAME" if capital and form == value else form))
         before, end = value, m.end()
     return out
 
 
 @functools.cache
-def windows(text):
-    return list(_windows(text))
+def windows(text, width):
+    return list(_windows(text, width))
 
 
-def _windows(text):
+def _windows(text, width):
     c = canonical(text)
-    for i in range(len(c) - W + 1):
-        w = c[i : i + W]
-        yield i, ("plain", *(v for v, _ in w))
-        literal = sum(f not in ("NAME", "UNIT", "NUMBER") for _, f in w)
-        if LEAST <= literal < W:
-            yield i, ("form", *(f if f in ("NAME", "UNIT", "NUMBER") else v for v, f in w))
+    for i in range(len(c) - width + 1):
+        w = c[i : i + width]
+        yield i, ("plain", *(v for v, *_ in w))
+        forms = [[x[k] for x in w] for k in (1, 2)]
+        for k, form in enumerate(forms):
+            if 0 < sum(f in HOLDERS for f in form) < width and (k == 0 or form != forms[0]):
+                yield i, ("form", *form)
 
 
-def covered(at):
-    return len({p + k for p in at for k in range(W)})
+def covered(at, width):
+    return len({p + k for p in at for k in range(width)})
 
 
 def judge(text, item):
     a, b = canonical(text), canonical(item)
+    width = min(W, len(b))
     places = defaultdict(list)
-    for q, y in windows(item):
+    for q, y in windows(item, width):
         places[y].append(q)
-    hits = [(p - q, q, p, x[0]) for p, x in windows(text) for q in places.get(x, ())]
+    hits = [(p - q, q, p, x) for p, x in windows(text, width) for q in places.get(x, ())]
     runs = []
     for h in sorted(hits):
         if runs and h[0] - runs[-1][-1][0] <= GAP:
@@ -64,9 +68,20 @@ def judge(text, item):
             runs.append([h])
     found = []
     for run in runs:
-        share = covered({q for _, q, _, _ in run}) / len(b)
-        plain = covered({q for _, q, _, kind in run if kind == "plain"}) / len(b) >= COVER
-        slots = {(b[q + k][1], b[q + k][0], a[p + k][0]) for _, q, p, kind in run if kind == "form" for k in range(W) if b[q + k][1] in ("NAME", "UNIT", "NUMBER")}
+        share = covered({q for _, q, _, _ in run}, width) / len(b)
+        plain = covered({q for _, q, _, x in run if x[0] == "plain"}, width) / len(b) >= COVER
+        weight = defaultdict(set)
+        for d, q, _, _ in run:
+            weight[d].add(q)
+        main = max(weight, key=lambda d: (len(weight[d]), -d))
+        nearest = {}
+        for d, q, p, x in run:
+            if x[0] == "form":
+                for k in range(width):
+                    if x[1 + k] in HOLDERS:
+                        y = (abs(d - main), -len(weight[d]), d, x[1 + k], b[q + k][0], a[p + k][0])
+                        nearest[q + k] = min(nearest.get(q + k, y), y)
+        slots = {s[3:] for s in nearest.values()}
         consistent = len({s[:2] for s in slots}) == len(slots)
         if share >= COVER and (plain or consistent):
             found.append((plain, share, -min(p for *_, p, _ in run), not plain and any(s[1] != s[2] for s in slots)))
@@ -74,13 +89,13 @@ def judge(text, item):
 
 
 def brute(docs, items):
-    out = set()
+    out = {}
     for d, text in docs:
         for i, item in items:
-            best = judge(text or "", item or "") if d is not None and i is not None and len(canonical(item or "")) >= W else None
+            best = judge(text or "", item or "") if d is not None and i is not None and canonical(item or "") else None
             if best:
-                out.add((d, i, round(best[1], 9), -best[2], best[3]))
-    return sorted(out, key=repr)
+                out[d, i] = max(best, out.get((d, i), best))
+    return sorted(((*k, round(b[1], 9), -b[2], b[3]) for k, b in out.items()), key=repr)
 
 
 def found(df):
@@ -143,6 +158,19 @@ def test_random_texts(spark, make_docs, seed):
     assert found(contaminated(make_docs(docs), spark.createDataFrame(items, "item_id long, text string"))) == brute(docs, items)
 
 
+def test_short_items_and_windows_of_placeholders(spark, make_docs):
+    items = [(1, "capital of France today"), (2, "12 + 30 = 42 and 7 - 3 = 4"), (3, "Ann has 5 pens. Bob has 9 pens. Cy has 2 pens. How many pens are there in all?"), (4, "Zyzzyva"), (4, "another text of item four, of more words"), (5, "")]
+    docs = [
+        "What is the capital of France today, then?", "What is the capital of Spain today, then?", "the capital of a land today",
+        "See 15 + 31 = 46 and 9 - 2 = 7, said someone.", "See 15 + 15 = 30 and 9 - 2 = 7", "12 and 12 12 12 12",
+        "Well. Eve has 3 pens. Tom has 4 pens. Lee has 8 pens. How many pens are there in all?", "a zyzzyva flew", "It was another text of item four, of more words.", "Nothing of that. How many pens are there?",
+    ]
+    df = spark.createDataFrame([(*i, "x", 1) for i in items], "item_id long, text string, window string, kinds long")
+    out = contaminated(make_docs(docs), df)
+    assert found(out) == brute([*enumerate(docs)], items)
+    assert {(r.doc_id, r.item_id, r.reparameterised) for r in out.collect()} == {(0, 1, False), (1, 1, True), (3, 2, True), (4, 2, True), (6, 3, True), (7, 4, False), (8, 4, False)}
+
+
 def test_phrases_that_recur_nearby(spark, make_docs):
     """A template window that recurs hits neighbouring diagonals, which say nothing of the slots."""
     form = "She bought {} red apples and she bought {} red apples and she bought {} red apples in all at {} shops."
@@ -173,7 +201,7 @@ def test_documents(spark, sf_dir):
     """All documents that hold an item's words in a row, and no other."""
     from lineloom.llm.queries import queries
 
-    words = lambda t: " " + " ".join(v for v, _ in canonical(t or "")) + " "
+    words = lambda t: " " + " ".join(v for v, *_ in canonical(t or "")) + " "
     docs = [(r.doc_id, words(r.text)) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     items = [(r.item_id, words(r.text)) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     out = queries()["op2_decontamination"](spark, sf_dir)
