@@ -3,23 +3,28 @@
 One model a language, over lower-cased letters with a space on either side of a word. Counts of all orders
 are gathered from a bounded sample of labelled rows, turned into interpolated Kneser-Ney probabilities, and
 stored in one sorted array of n-gram hashes with a column a language. A text takes the language of the
-lowest cross-entropy a character. Texts whose cross-entropy lies beyond what that language's own training
-texts reach are rejected.
+lowest cross-entropy a character.
+
+Rejection is calibrated on labelled texts that the models haven't seen, a share of the sample chosen by a hash of the text. Their cross-entropy
+under their own language's model has a mean and a variance of two parts, one between texts and one that falls with a text's length; a text is rejected
+that lies further above the mean, in those units, than all but REJECT_SHARE of the calibration texts, by the factor REJECT_SLACK.
 
 Defined results: null text, and text without a letter, is `und` with score 0, and rejected. Ties go to the
 language first in sorted order. Rows are judged one by one; repeated rows get equal results. Columns lang, source
-and doc_id are never inputs of a prediction; others are ignored. Without labelled rows every text is `und`.
+and doc_id are never inputs of a prediction; others are ignored. Without labelled rows, as in an empty table, every text is `und`. A very
+long text is judged as a whole; as a row to learn from it is passed over if it alone exceeds the sample's bytes.
 """
 
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineloom.llm import textbytes as tb
@@ -27,12 +32,16 @@ from lineloom.llm.rows import per_batch
 from lineloom.llm.store import materialize
 
 ORDER = 4
-#: Expected labelled rows of each language that the model is fitted on: the bound of the sample.
-SAMPLE_ROWS = 1500
-#: N-grams of the highest order met but once in the sample are left out above this many keys.
-MAX_KEYS = 2_000_000
-#: Nats a character by which a long text must lie above nearly all (99.9 %) of its language's training texts to be rejected.
-REJECT_MARGIN = 0.3
+#: The bounds of the sample that the model is fitted on: expected labelled rows of each language, bytes of each language, and bytes of all together.
+SAMPLE_ROWS, SAMPLE_BYTES, TOTAL_BYTES = 1500, 8 << 20, 48 << 20
+#: One in so many sampled texts calibrates the rejection.
+CALIBRATE = 4
+#: Share of the calibration texts that may lie beyond the bound, and the factor by which it is then widened.
+REJECT_SHARE, REJECT_SLACK = 1e-3, 2.5
+#: Standard deviations that the bound holds at least before it is widened, however few texts calibrate it.
+LEAST_REACH = 4.0
+#: The least standard deviation of a text's cross-entropy in nats, between texts and for a single character.
+LEAST_BETWEEN, LEAST_WITHIN = 0.1, 2.0
 #: Posterior sharpness a character.
 TEMPERATURE = 25.0
 UNKNOWN = "und"
@@ -139,7 +148,10 @@ class Model:
     directory: np.ndarray
     shift: int
     floor: np.ndarray
-    reach: np.ndarray
+    mean: np.ndarray  # of each language: the cross-entropy of its texts,
+    between: np.ndarray  # its variance between texts,
+    within: np.ndarray  # its variance for a single character,
+    reach: np.ndarray  # and the standard deviations above which texts are rejected
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Index of each hash in keys, or len(keys)."""
@@ -183,7 +195,32 @@ class Model:
         n = np.bincount(c.doc, sizes[c.word], len(texts)).astype(np.int64)
         return -total / np.maximum(n, 1)[:, None], n
 
-    def predict(self, texts: list[str | None], sharpness: float = TEMPERATURE, margin: float = REJECT_MARGIN) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def deviations(self, e: np.ndarray, n: np.ndarray, language: np.ndarray | int) -> np.ndarray:
+        """Standard deviations by which texts of n characters lie above their language's mean."""
+        return (e - self.mean[language]) / np.sqrt(self.between[language] + self.within[language] / np.maximum(n, 1))
+
+    def calibrate(self, j: int, texts: list[str]) -> None:
+        """Set the rejection of language j from texts of it that the model hasn't seen."""
+        parts = [self.entropies(texts[r]) for r in runs(texts)]
+        if not parts:
+            return
+        every, n = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+        own = (n > 0) & (every.argmin(1) == j)  # the others are labelled wrongly, more likely than not
+        e, n = every[own, j], n[own]
+        if not len(e):
+            return
+        self.mean[j] = np.average(e, weights=np.minimum(n, 1000))
+        # squared distances are between + within / n: a line in 1 / n, fitted with weights for texts of many characters
+        x, y = 1.0 / n, (e - self.mean[j]) ** 2
+        weight = np.minimum(n, 1000.0)
+        mx, my = np.average(x, weights=weight), np.average(y, weights=weight)
+        spread = np.average((x - mx) ** 2, weights=weight)
+        slope = max(np.average((x - mx) * (y - my), weights=weight) / spread, 0.0) if spread > 1e-12 else 0.0
+        self.within[j] = max(slope, LEAST_WITHIN**2)
+        self.between[j] = max(my - slope * mx, LEAST_BETWEEN**2)
+        self.reach[j] = REJECT_SLACK * max(np.quantile(self.deviations(e, n, j), 1 - REJECT_SHARE), LEAST_REACH)
+
+    def predict(self, texts: list[str | None], sharpness: float = TEMPERATURE) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and rejection of each text."""
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
@@ -191,13 +228,18 @@ class Model:
         best = e.argmin(1)
         z = np.exp(-sharpness * (e - e.min(1, keepdims=True)))
         score = z.max(1) / z.sum(1)
-        # a short text's mean scatters more: its bound is wider
-        bound = self.reach[best] + margin * (1 + 20 / np.sqrt(np.maximum(n, 1)))
-        rejected = (n == 0) | (e[np.arange(len(texts)), best] > bound)
+        rejected = (n == 0) | (self.deviations(e[np.arange(len(texts)), best], n, best) > self.reach[best])
         return [UNKNOWN if k == 0 else self.langs[b] for k, b in zip(n, best, strict=True)], np.where(n == 0, 0.0, score), rejected
 
 
-def fit(texts: dict[str, list[str]], order: int = ORDER, max_keys: int = MAX_KEYS) -> Model:
+def learned(texts: dict[str, list[str]], order: int = ORDER) -> Model:
+    """Models fitted on some of each language's texts and calibrated on the others, or on all of them where there is nothing on one side."""
+    apart = {k: [zlib.crc32(t.encode("utf-8", "surrogatepass")) % CALIBRATE == 0 for t in v] for k, v in texts.items()}
+    pick = lambda k, side: [t for t, x in zip(texts[k], apart[k], strict=True) if x == side] or texts[k]
+    return fit({k: pick(k, False) for k in texts}, order, {k: pick(k, True) for k in texts})
+
+
+def fit(texts: dict[str, list[str]], order: int = ORDER, calibration: dict[str, list[str]] | None = None) -> Model:
     """Interpolated Kneser-Ney models of the languages from their texts, with absolute discounts n1 / (n1 + 2 n2)."""
     langs = sorted(texts)
     m = len(langs)
@@ -241,14 +283,9 @@ def fit(texts: dict[str, list[str]], order: int = ORDER, max_keys: int = MAX_KEY
             total = np.bincount(ci, n)
             kinds = np.bincount(ci)
             gains.append((j, k, u, np.maximum(n - d, 0) / total[ci], cu, d * kinds / total, n))
-    least = 1
-    while True:
-        kept = [np.concatenate((u[n >= least] if k == order else u, cu)) for _, k, u, _, cu, _, n in gains]
-        keys = np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.uint64)
-        keys = keys[keys != 0]
-        if len(keys) <= max_keys or least > 8:
-            break
-        least += 1
+    kept = [np.concatenate((u, cu)) for _, _, u, _, cu, *_ in gains]
+    keys = np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.uint64)
+    keys = keys[keys != 0]
     # the last row is for an n-gram or context never seen: nothing gained, full weight to the shorter context
     gain = np.zeros((len(keys) + 1, m), np.float32)
     back = np.ones((len(keys) + 1, m), np.float32)
@@ -267,14 +304,9 @@ def fit(texts: dict[str, list[str]], order: int = ORDER, max_keys: int = MAX_KEY
             root[j] = b[cu == 0][0]
     bits = max(1, min(20, len(keys).bit_length()))
     directory = np.concatenate((np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), [len(keys)]))
-    model = Model(langs, order, keys, gain, back, root, directory, 64 - bits, np.full(m, UNSEEN, np.float32), np.zeros(m))
+    model = Model(langs, order, keys, gain, back, root, directory, 64 - bits, np.full(m, UNSEEN, np.float32), np.zeros(m), np.ones(m), np.ones(m), np.full(m, np.inf))
     for j, lang in enumerate(langs):
-        own = []
-        for lo in range(0, len(texts[lang]), 50):
-            e, n = model.entropies(texts[lang][lo : lo + 50])
-            own += e[(n > 0) & (e.argmin(1) == j), j].tolist()
-        if len(own):
-            model.reach[j] = np.quantile(own, 0.999)
+        model.calibrate(j, (calibration or texts)[lang])
     return model
 
 
@@ -283,18 +315,23 @@ def held_out(modulus: int = 4, remainder: int = 2):
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(False))
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, list[str]]:
-    """Texts of labelled rows by language: all rows of a language with fewer, else a hash-chosen share of that expected size."""
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES, total: int = TOTAL_BYTES) -> dict[str, list[str]]:
+    """Texts of labelled rows by language: all rows of a language with fewer, else a hash-chosen share of that expected size, up to the bytes allowed."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
     counts = known.groupBy("lang").count().collect()
     if not counts:
         return {}
+    most = min(most, total // len(counts))
     share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col("lang") == r["lang"], min(1.0, rows / r["count"])).otherwise(share)
     draw = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    size = F.octet_length("text").cast("long")
+    drawn = known.filter((draw < share) & (size <= most)).select("lang", "text", F.xxhash64("doc_id", "text").alias("place"), size.alias("size"))
+    before = F.sum("size").over(Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    drawn = drawn.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") + F.col("size") <= most)
     out: dict[str, list[str]] = {}
-    for r in known.filter(draw < share).select("lang", "text").orderBy("lang", F.xxhash64("doc_id", "text")).collect():
+    for r in drawn.orderBy("lang", "place").select("lang", "text").toLocalIterator():
         out.setdefault(r["lang"], []).append(r["text"])
     return out
 
@@ -302,7 +339,7 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, list[str]]:
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, rejected."""
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model or fit(sample(picked)))
+    shared = docs.sparkSession.sparkContext.broadcast(model or learned(sample(picked)))
 
     def make(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         m, done, column = shared.value, 0, b.column(2)
@@ -326,7 +363,7 @@ def in_known_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     text = F.col("text").cast("string")
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model or fit(sample(picked)))
+    shared = docs.sparkSession.sparkContext.broadcast(model or learned(sample(picked)))
 
     def make(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         done = 0

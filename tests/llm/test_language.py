@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from lineloom.llm.language_id import fit, identify, in_known_language
+from lineloom.llm.language_id import fit, identify, in_known_language, learned, sample
 
 from .helpers import CLASHES, rows_of
 
@@ -105,6 +105,61 @@ def test_kept_rows_are_as_they_were(make_docs):
     assert rows_of(out) == rows_of(docs.filter("doc_id in (0, 2)"))
 
 
+def test_rejection_is_calibrated_on_texts_unseen(rng):
+    """Of new texts of the language next to none is rejected, of texts drawn from other letters nearly all; the bound widens for short texts."""
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 7)))
+    vocabulary = {k: [word(v) for _ in range(150)] for k, v in {"aa": "aeioubdt", "bb": "xyzqkwu"}.items()}
+    text = lambda k: " ".join(rng.choice(vocabulary[k]) for _ in range(rng.choice([3, 30, 300])))
+    model = learned({k: [text(k) for _ in range(300)] for k in vocabulary})
+    fresh = [text(k) for k in vocabulary for _ in range(300)]
+    assert model.predict(fresh)[2].mean() <= 0.005
+    other = [" ".join(word("ghjlmnprsvcf") for _ in range(40)) for _ in range(100)]
+    assert model.predict(other)[2].mean() >= 0.99
+    assert (model.reach < 40).all() and (model.within > 0).all()
+    # wrong labels don't widen the bound
+    mixed = learned({"aa": [text("aa") for _ in range(300)] + [text("bb") for _ in range(6)], "bb": [text("bb") for _ in range(300)]})
+    assert mixed.predict(other)[2].mean() >= 0.99
+
+
+def test_sample_is_bounded(make_docs, words):
+    docs = make_docs([words(200) for _ in range(60)], langs=["en", "fr", "de"] * 20)
+    held = {k: sum(len(t.encode()) for t in v) for k, v in sample(docs, total=9000).items()}
+    assert set(held) <= {"en", "fr", "de"} and all(0 < n <= 3000 for n in held.values())
+    assert sum(map(len, sample(docs).values())) == docs.filter("crc32(cast(doc_id as string)) % 4 <> 2").count()
+
+
+def test_query_is_the_plain_models(spark, sf_dir):
+    """Every prediction of the query against dictionaries fitted on the same labelled rows, gathered by plain Python."""
+    from lineloom.llm.queries import queries
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    texts = defaultdict(list)
+    for r in rows:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            texts[r.lang].append(r.text)
+    plain = {k: Plain([t for t in v if zlib.crc32(t.encode()) % 4] or v, 4) for k, v in texts.items()}
+    out = {r.doc_id: r for r in queries()["op3_language_id"](spark, sf_dir).collect()}
+    assert len(out) == len(rows)
+    for r in rows:
+        text = (r.text or "")[:3000]
+        if not words_of(text) or len(r.text) > 3000:
+            continue
+        e = sorted((p.entropy(text), k) for k, p in plain.items())
+        assert out[r.doc_id].lang_pred == e[0][1] or e[1][0] - e[0][0] < 1e-3
+        z = sum(math.exp(-25 * (x - e[0][0])) for x, _ in e)
+        assert out[r.doc_id].score == pytest.approx(1 / z, abs=0.02)
+
+
+def test_many_languages(make_docs):
+    """Each language has a column; repeated and clashing rows don't matter."""
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    langs = [f"l{a}{b}" for a in alphabet[:10] for b in alphabet[:6]]
+    text = {k: f"{k[1] * 3}{k[2]} {k[2] * 4}{k[1]} " * 6 for k in langs}
+    model = fit({k: [t, t] for k, t in text.items()})
+    pred, score, _ = model.predict([text[k] for k in langs])
+    assert pred == langs and ((0 <= score) & (score <= 1)).all()
+
+
 def test_held_out_accuracy(spark, sf_dir):
     from lineloom.llm.queries import queries
 

@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 
 import corpus_pipeline
-from lineloom.llm.language_id import fit, sample
+from lineloom.llm.language_id import learned, sample
 from lineloom.llm.query_op5 import tokenizer_path
 from lineloom.llm.secret_scan import entropy, find
 
@@ -31,7 +31,7 @@ def live_blanked(rows):
 def expected(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
-    rejected = fit(sample(docs)).predict([t for _, t, _ in rows])[2]
+    rejected = learned(sample(docs)).predict([t for _, t, _ in rows])[2]
     rows = [r for r, x in zip(rows, rejected, strict=True) if not x]
     kept = {d for d, _, _, k in grouped([r[:2] for r in rows], width=5) if k}
     rows = [r for r in rows if r[0] in kept]
