@@ -1,15 +1,16 @@
 """Toxicity by subword-bag embeddings.
 
 A word's vector is the mean of its character n-grams' vectors (hashed into buckets, the whole word being one
-of them); a window's is the mean of its words' vectors; a linear softmax over it tells toxic from not. The
-vectors and the softmax are trained together in numpy. Windows rather than whole texts are averaged, so that
-a few words tell in a long text as in a short one: a text's logit is that of its most toxic window, and a
-logistic curve over it, fitted on the same rows, gives the score. Spellings never seen share n-grams with those seen.
+of them); a bag's is the mean of its words' vectors; a linear softmax of two classes over it tells toxic from not, as a
+logit: the difference of the classes' weights. Vectors and softmax are trained together in numpy. The bags are windows of a
+text, since a few words among very many leave no trace in the mean of a whole text: a text's logit is that of its most toxic window, and a
+logistic curve over it, fitted on labelled rows that the vectors haven't seen, gives the score. Spellings never seen share n-grams with those seen.
 
 Defined results: null or empty text, or text without a letter or digit, is scored as the median clean text. Rows
-are judged one by one; repeated rows get equal scores. Of several labels of a doc_id the largest counts; rows
-with a null label or doc_id aren't learned from. Labels, lang, source and doc_id are never inputs of a
-score. Without both classes among the labels, every score is 0.
+are judged one by one; repeated rows get equal scores, and ties between windows don't matter. Of several labels of a doc_id the largest counts; rows
+with a null label or doc_id aren't learned from; of several texts of a labelled doc_id one, chosen by its hash, is. Labels, lang, source and doc_id are
+never inputs of a score. Without both classes among the labels, as in an empty table, every score is 0. Other columns of either table are ignored. A very
+long text is scored as a whole; as a row to learn from it is passed over if it alone exceeds the sample's bytes.
 """
 
 from __future__ import annotations
@@ -19,15 +20,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineloom.llm import textbytes as tb
 from lineloom.llm.language_id import Chars, all_distinct_words, distinct_words, held_out, runs
 from lineloom.llm.rows import per_batch, texts
 
-#: Expected labelled rows of each class that the model is fitted on: the bound of the sample.
-SAMPLE_ROWS = 2500
+#: The bounds of the sample that the model is fitted on: expected labelled rows of each class, and bytes in all.
+SAMPLE_ROWS, SAMPLE_BYTES = 2500, 24 << 20
 BUCKETS, DIM = 1 << 17, 4
 GRAMS = (3, 4, 5)
 WINDOW, STRIDE = 4, 2
@@ -36,8 +37,6 @@ EPOCHS, RATE = 20, 0.15
 SHARPEN, MOST_SHARP = 0.17, 3.0
 #: Pull of the vectors towards zero.
 DECAY = 0.01
-#: N-grams that stand in fewer of the texts learned from have no vector: they'd be learned by heart.
-MIN_TEXTS = 8
 MODULUS, REMAINDER = 5, 0
 #: Characters whose n-grams are hashed at once.
 BLOCK = 1 << 18
@@ -112,7 +111,7 @@ def _adagrad(p: np.ndarray, g: np.ndarray, seen: np.ndarray, rate: float) -> Non
     p -= rate * g / (np.sqrt(seen) + 1e-8)
 
 
-def fit(examples: list[str], toxic: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, buckets: int = BUCKETS, dim: int = DIM, min_texts: int = MIN_TEXTS, seed: int = 7) -> Model:
+def fit(examples: list[str], toxic: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, buckets: int = BUCKETS, dim: int = DIM, seed: int = 7) -> Model:
     """Train vectors and softmax together by full-batch Adagrad; in toxic texts the windows weigh by how toxic they look so far."""
     toxic = np.asarray(toxic, float)
     if not len(toxic) or toxic.min() == toxic.max():
@@ -124,15 +123,13 @@ def fit(examples: list[str], toxic: np.ndarray, epochs: int = EPOCHS, rate: floa
     c = all_distinct_words([examples[i] for i in fitted], digits=True)
     ids, words = subwords(c, buckets)
     n = len(c.first) - 1
-    in_texts = np.bincount(np.unique(c.doc.astype(np.int64) * n + c.word) % max(n, 1), minlength=n)
-    known = np.bincount(ids, in_texts[words], buckets) >= min(min_texts, 1 + len(fitted) // 20)
     share = 1.0 / np.bincount(words, minlength=n)
     start, end, d = windows(c.doc, c.n_docs)
     size = (end - start).astype(float)
     first = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
     y = toxic[fitted][d]
     rng = np.random.default_rng(seed)
-    e = rng.normal(0, 0.1, (buckets, dim)) * known[:, None]
+    e = rng.normal(0, 0.1, (buckets, dim))
     w = rng.normal(0, 0.5, dim)
     w /= np.linalg.norm(w)
     b = np.zeros(1)
@@ -156,7 +153,7 @@ def fit(examples: list[str], toxic: np.ndarray, epochs: int = EPOCHS, rate: floa
         np.add.at(step, end, -g / size)
         use = np.cumsum(step)[:-1]
         by_word = np.bincount(c.word, use, n) * share
-        by_id = np.bincount(ids, by_word[words], buckets) * known
+        by_id = np.bincount(ids, by_word[words], buckets)
         grad_w = by_id @ e
         _adagrad(e, by_id[:, None] * w[None] + DECAY * e, seen_e, rate * 4)
         _adagrad(w, grad_w, seen_w, rate)
@@ -176,7 +173,7 @@ def fit(examples: list[str], toxic: np.ndarray, epochs: int = EPOCHS, rate: floa
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
     """Texts and classes of rows to learn from: all of a class with fewer, else a hash-chosen share of that expected size."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(MODULUS, REMAINDER))
@@ -188,9 +185,12 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple
         share = F.when(F.col("toxic") == k, min(1.0, rows / n)).otherwise(share)
     drawn = known.filter(F.pmod(F.xxhash64(F.lit("toxicity sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30) < share)
     # at most some 2 * SAMPLE_ROWS rows of two numbers: bounded by the parameter
-    got = texts(docs).join(F.broadcast(drawn), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return [r["text"] for r in got], np.array([r["toxic"] for r in got], float)
+    got = texts(docs).join(F.broadcast(drawn), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").filter(F.octet_length("text") <= most)
+    one = got.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select("toxic", "x.text", F.xxhash64(F.lit("order"), "doc_id").alias("place"), F.octet_length("x.text").cast("long").alias("size"))
+    # the bytes are shared by both classes, rows in an order by chance
+    before = F.sum("size").over(Window.partitionBy("toxic").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    out = [(r["text"], r["toxic"]) for r in one.withColumn("upto", before).filter(F.col("upto") <= most // 2).orderBy("place", "text").select("text", "toxic").toLocalIterator()]
+    return [t for t, _ in out], np.array([y for _, y in out], float)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame | None = None, model: Model | None = None) -> DataFrame:
