@@ -3,12 +3,14 @@
 Each text's statistics are built-in expressions. The labelled rows' statistics are cut at quantiles and counted
 by cell and class in one aggregation; the number of cells is bounded by CUTS and the number of features,
 whatever the corpus. Sequential covering on these counts grows a conjunction of thresholds by information gain,
-prunes it on rows kept apart, and removes what it covers, until no rule holds up. The list becomes one
+prunes it on rows kept apart, and removes what it covers, until no rule holds up. Rules are for bad texts; where none holds up, one
+for good texts is grown, whose rows go, so that the next rule for bad texts may hold up among the rest: the order counts. The list becomes one
 conditional expression that Spark compiles.
 
 Defined results: null or empty text has no words and fails the base rule. Rows are judged one by one; repeated rows
 get equal results. Of several labels of a doc_id the smallest quality counts; a null label or doc_id isn't learned
-from. Without labels of both classes the list is empty and the base rule decides. Other columns are ignored.
+from. Ties go to the condition first in order of features and cuts. Without labels of both classes, as in an empty table, the list is empty and the base
+rule decides. Other columns of either table are ignored. A very long text is counted as a whole; its windows are held in one row.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from lineloom.llm.store import materialize
 CUTS = (0.02, 0.1, 0.5, 0.9, 0.98)
 FEATURES = ("mean_word", "symbols", "dup_lines", "repeats", "capitals", "bars")
 MAX_RULES, MAX_CONDITIONS = 12, 3
-#: A rule must be right on so many of the rows kept apart, and cover so many rows in all.
-MIN_PRECISION, MIN_COVER = 0.9, 10
+#: A rule for bad texts, or one for good texts, must be right on such a share both of the rows grown on and of those kept apart, and cover so many rows in all.
+MIN_PRECISION, MIN_COVER = (0.9, 0.98), 10
 MIN_WORDS = 50
 
 _SPACE = " \t\n\x0b\f\r"
@@ -46,25 +48,25 @@ def word_array(text: Column) -> Column:
 def repeat_words(words: Column, n: Column) -> Column:
     """Words within 3-word windows that the text has twice or more, each counted once.
 
-    A window is one long: its hash's upper bits, and below them its position. Sorted, equal windows stand side by side.
+    Windows are sorted by hash, equal ones side by side; neighbours of one hash are held against each other word by word.
     """
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(n.cast("long")))) - F.lit(1).cast("long")
 
-    def windows(m: Column) -> Column:
-        key = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(F.bitwise_not(m)).bitwiseOR(i.cast("long"))
-        return F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), key))
+    def windows() -> Column:
+        one = lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("at"))
+        return F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), one))
 
-    def same(a: Column, b: Column, m: Column) -> Column:
-        return F.coalesce(a.bitwiseXOR(b) <= m, F.lit(False)) & F.coalesce(a.bitwiseXOR(b) >= 0, F.lit(False))
+    def same(x: Column, y: Column) -> Column:
+        word = lambda k: F.get(words, x["at"] + k) == F.get(words, y["at"] + k)
+        return F.coalesce((x["h"] == y["h"]) & word(0) & word(1) & word(2), F.lit(False))
 
-    def covered(s: Column, m: Column) -> Column:
-        twice = F.filter(s, lambda x, i: same(x, F.get(s, i + 1), m) | same(x, F.get(s, i - 1), m))
-        at = F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(m)))
-        zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last"))
-        step = lambda a, p: F.struct((a["n"] + F.least(F.lit(3).cast("long"), p - a["last"])).alias("n"), p.alias("last"))
+    def covered(s: Column) -> Column:
+        twice = F.filter(s, lambda x, i: same(x, F.get(s, i + 1)) | same(x, F.get(s, i - 1)))
+        at = F.sort_array(F.transform(twice, lambda x: x["at"]))
+        zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last"))
+        step = lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last"))
         return F.aggregate(at, zero, step, lambda a: a["n"])
 
-    return F.when(n < 3, F.lit(0).cast("long")).otherwise(let(mask, lambda m: let(windows(m), lambda s: covered(s, m))))
+    return F.when(n < 3, F.lit(0).cast("long")).otherwise(let(windows(), covered))
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -116,52 +118,72 @@ class Condition:
         return x > self.threshold if self.above else x <= self.threshold
 
 
+@dataclass(frozen=True)
+class Rule:
+    """keep: what the list says of a text for which all conditions hold, and no earlier rule does."""
+
+    conditions: tuple[Condition, ...]
+    keep: bool
+
+    def column(self) -> Column:
+        out = self.conditions[0].column()
+        for c in self.conditions[1:]:
+            out = out & c.column()
+        return out
+
+
 #: A cell's counts: bad and good rows to grow on, bad and good rows to prune on.
 Cells = dict[tuple[int, ...], tuple[int, int, int, int]]
 
 
-def learn(cells: Cells, cuts: dict[str, list[float]]) -> list[list[Condition]]:
-    """Rules for bad texts, in order."""
+def learn(cells: Cells, cuts: dict[str, list[float]]) -> list[Rule]:
+    """The decision list: rules in order; what none of them decides is kept."""
     names = list(cuts)
     place = {f: i for i, f in enumerate(names)}
     every = [Condition(f, k, above, t) for f in names for k, t in enumerate(cuts[f]) for above in (True, False)]
-    rules: list[list[Condition]] = []
+    rules: list[Rule] = []
     left = dict(cells)
 
-    def count(rule: list[Condition], grow: bool) -> tuple[int, int]:
-        bad = good = 0
-        for cell, n in left.items():
-            if all(c.holds(cell, place[c.feature]) for c in rule):
-                bad += n[0 if grow else 2]
-                good += n[1 if grow else 3]
-        return bad, good
+    def covers(conditions, cell) -> bool:
+        return all(c.holds(cell, place[c.feature]) for c in conditions)
 
-    def worth(bad: int, good: int) -> float:
-        return (bad - good) / (bad + good) if bad + good else -1.0
+    def count(conditions, keep: bool, apart: bool) -> tuple[int, int]:
+        """Covered rows of the rule's class, and of the other."""
+        hit = [n for cell, n in left.items() if covers(conditions, cell)]
+        own, other = (2 * apart + keep, 2 * apart + (not keep))
+        return sum(n[own] for n in hit), sum(n[other] for n in hit)
 
-    while len(rules) < MAX_RULES:
+    def worth(own: int, other: int) -> float:
+        return (own - other) / (own + other) if own + other else -1.0
+
+    def grown(keep: bool) -> Rule | None:
         rule: list[Condition] = []
-        bad, good = count(rule, True)
-        while good and bad and len(rule) < MAX_CONDITIONS:
+        own, other = count(rule, keep, False)
+        while own and other and len(rule) < MAX_CONDITIONS:
             best, best_gain, best_n = None, 1e-9, (0, 0)
             for c in every:
                 if c in rule:
                     continue
-                b, g = count([*rule, c], True)
-                if b and (gain := b * (math.log2(b / (b + g)) - math.log2(bad / (bad + good)))) > best_gain:
-                    best, best_gain, best_n = c, gain, (b, g)
+                x, y = count([*rule, c], keep, False)
+                if x and (gain := x * (math.log2(x / (x + y)) - math.log2(own / (own + other)))) > best_gain:
+                    best, best_gain, best_n = c, gain, (x, y)
             if best is None:
                 break
             rule.append(best)
-            bad, good = best_n
-        while len(rule) > 1 and worth(*count(rule[:-1], False)) >= worth(*count(rule, False)):
+            own, other = best_n
+        while len(rule) > 1 and worth(*count(rule[:-1], keep, True)) >= worth(*count(rule, keep, True)):
             rule.pop()
-        b, g = count(rule, False)
-        gb, gg = count(rule, True)
-        if not rule or b + gb < MIN_COVER or b < MIN_PRECISION * (b + g) or gb < MIN_PRECISION * (gb + gg):
-            return rules
+        (x, y), (gx, gy) = count(rule, keep, True), count(rule, keep, False)
+        least = MIN_PRECISION[keep]
+        if not rule or x + gx < MIN_COVER or x < least * (x + y) or gx < least * (gx + gy):
+            return None
+        return Rule(tuple(rule), keep)
+
+    while len(rules) < MAX_RULES and (rule := grown(False) or grown(True)):
         rules.append(rule)
-        left = {cell: n for cell, n in left.items() if not all(c.holds(cell, place[c.feature]) for c in rule)}
+        left = {cell: n for cell, n in left.items() if not covers(rule.conditions, cell)}
+    while rules and rules[-1].keep:  # says what is said of the rest anyway
+        rules.pop()
     return rules
 
 
@@ -180,18 +202,15 @@ def labelled_cells(stats: DataFrame, labels: DataFrame) -> tuple[Cells, dict[str
     return {tuple(r[f] for f in FEATURES): (r["a"], r["b"], r["c"], r["d"]) for r in counted.collect()}, cuts
 
 
-def verdict(rules: list[list[Condition]]) -> Column:
-    """True unless a rule holds; the first that holds decides."""
+def verdict(rules: list[Rule]) -> Column:
+    """What the first rule that holds says; True where none does."""
     out: Column | None = None
     for rule in rules:
-        holds = rule[0].column()
-        for c in rule[1:]:
-            holds = holds & c.column()
-        out = F.when(holds, False) if out is None else out.when(holds, False)
+        out = F.when(rule.column(), rule.keep) if out is None else out.when(rule.column(), rule.keep)
     return F.lit(True) if out is None else out.otherwise(True)
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame | None = None, rules: list[list[Condition]] | None = None) -> DataFrame:
+def apply_rules(docs: DataFrame, labels: DataFrame | None = None, rules: list[Rule] | None = None) -> DataFrame:
     """One row per document: the counts, base_failed and kept."""
     stats = materialize(statistics(docs), "quality-statistics")
     if rules is None:
