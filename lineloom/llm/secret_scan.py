@@ -1,17 +1,21 @@
 """Secret scan with corpus-wide ownership frequency.
 
-Candidates are found in every whole text. Each candidate value is hashed, and the hashes are counted over
-distinct owners (the source column) and distinct documents of the whole table. A value that many owners
-hold is a copied example; one that a single owner or few hold, and that looks random, is live. The value of a private key is its body, however its lines are broken; a BEGIN line
-without a body has an empty value, and is weak.
-
-Defined results: null or empty text has no spans (the digest is that of the empty string). A null source is
-an owner of its own. Each row counts by itself; equal rows get equal results. Other columns are ignored.
+Candidates are found in every whole text: those of known shapes, and generic ones, long tokens that look random and have no shape to go by.
+Each candidate value is hashed, and the hashes are counted over distinct owners (the source column) and distinct documents of the whole
+table. A value that many owners hold is a copied example; one that a single owner or few hold, and that looks random, is live.
+A generic candidate is a span only if it is live: its ownership alone tells a credential from a digest or an identifier that goes round. The
+value of a private key is its body, however its lines are broken; a BEGIN line without a body has an empty value, and is weak.
+
+Defined results: null or empty text has no spans (the digest is that of the empty string), and an empty table gives no rows. A null source is
+an owner of its own. Each row counts by itself; equal rows get equal results. Spans that tie on their start stand in the order of the kinds. Very
+long texts are searched as a whole. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -47,8 +51,11 @@ MORE = [
     ("pem", "PRIVATE KEY", re.compile(PEM)),
     ("slack", "xox", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}")),
 ]
+#: Tokens that may be generic candidates: of mixed case and with digits, and of so many bits a character.
+GENERIC = re.compile(r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+GENERIC_ENTROPY = 3.5
 BASE = ("assign", "access", "hex")
-ORDER = {k: i for i, k in enumerate((*BASE, *(m[0] for m in MORE)))}
+ORDER = {k: i for i, k in enumerate((*BASE, *(m[0] for m in MORE), "generic"))}
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
@@ -63,9 +70,21 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     for kind, mark, pattern in MORE:
         if mark in (lowered if kind == "bearer" else text):
             out += [(m.start(), m.end(), kind, APART.sub("", m[m.lastindex]) if kind == "pem" else m[m.lastindex or 0]) for m in pattern.finditer(text)]
+    loose = [m for m in GENERIC.finditer(text) if _mixed(m[0]) and entropy(m[0]) >= GENERIC_ENTROPY]
+    if loose:
+        taken = sorted((a, b) for a, b, *_ in out)
+        ends = list(itertools.accumulate((b for _, b in taken), max))
+        for m in loose:  # what a known shape holds or touches isn't told twice
+            k = bisect.bisect_left(taken, (m.end(),))
+            if not k or ends[k - 1] <= m.start():
+                out.append((m.start(), m.end(), "generic", m[0]))
     return sorted(out, key=lambda x: (x[0], ORDER[x[2]]))
 
 
+def _mixed(token: str) -> bool:
+    return token != token.lower() and token != token.upper()
+
+
 def entropy(value: str) -> float:
     """Bits a character."""
     n = len(value)
@@ -76,32 +95,31 @@ def _join(found) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k, _ in found)
 
 
-SPAN = "struct<start:long,end:long,kind:string,value_hash:string,entropy:double>"
-FOUND = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("value_hash", pa.string()), ("entropy", pa.float64())])
+SPAN = "struct<start:long,place:int,end:long,kind:string,value_hash:string,entropy:double>"
+FOUND = pa.struct([("start", pa.int64()), ("place", pa.int32()), ("end", pa.int64()), ("kind", pa.string()), ("value_hash", pa.string()), ("entropy", pa.float64())])
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, owner, base counts and digest, spans, and found: the candidates."""
+    """One row per document: doc_id, owner, base counts and digest, and found: the candidates."""
 
     def make(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {k: [] for k in BASE}
-        shas, spans, found = [], [], []
+        shas, found = [], []
         for text in b.column(2).to_pylist():
             f = find(text) if text else []
             base = [x for x in f if x[2] in BASE]
             for k in BASE:
                 counts[k].append(sum(x[2] == k for x in base))
             shas.append(hashlib.sha256(_join(base).encode()).hexdigest())
-            spans.append(_join(f))
-            found.append([{"start": a, "end": e, "kind": k, "value_hash": hashlib.sha256(v.encode()).hexdigest(), "entropy": entropy(v)} for a, e, k, v in f])
+            found.append([{"start": a, "place": ORDER[k], "end": e, "kind": k, "value_hash": hashlib.sha256(v.encode()).hexdigest(), "entropy": entropy(v)} for a, e, k, v in f])
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), *(pa.array(counts[k], pa.int64()) for k in BASE), pa.array(shas), pa.array(spans), pa.array(found, pa.list_(FOUND))],
-            names=["doc_id", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "found"],
+            [b.column(0), b.column(1), *(pa.array(counts[k], pa.int64()) for k in BASE), pa.array(shas), pa.array(found, pa.list_(FOUND))],
+            names=["doc_id", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "found"],
         )
 
     has_source = "source" in docs.columns
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("source") if has_source else F.lit(None)).cast("string").alias("owner"), F.col("text").cast("string").alias("text"))
-    return per_batch(picked, make, f"doc_id long, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<{SPAN}>")
+    return per_batch(picked, make, f"doc_id long, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<{SPAN}>")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -118,8 +136,11 @@ def scan_secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, min_entr
     counts = materialize(ownership(once), "secret-owners")
     verdict = F.when(F.col("n_owners") >= example_owners, "example").when(F.col("entropy") < min_entropy, "weak").otherwise("live")
     judged = each.join(counts, "value_hash").withColumn("verdict", verdict)
-    per_doc = judged.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "value_hash", "n_owners", "n_docs", "verdict"))).alias("judged"))
-    none = F.array().cast("array<struct<start:long,end:long,kind:string,value_hash:string,n_owners:long,n_docs:long,verdict:string>>")
+    per_doc = judged.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("start", "place", "end", "kind", "value_hash", "n_owners", "n_docs", "verdict"))).alias("judged"))
+    none = F.array().cast(per_doc.schema["judged"].dataType)
     out = held.join(per_doc, "row_no", "left").withColumn("judged", F.coalesce("judged", none))
-    live = F.size(F.filter("judged", lambda x: x["verdict"] == "live"))
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", live.cast("long").alias("n_live"), (F.size("judged") - live).cast("long").alias("n_other"), "judged")
+    # a generic candidate is a span only by its ownership
+    told = F.filter("judged", lambda x: (x["kind"] != "generic") | (x["verdict"] == "live"))
+    spans = F.array_join(F.transform(told, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    live = F.size(F.filter("judged", lambda x: x["verdict"] == "live")).cast("long")
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"), live.alias("n_live"), (F.size(told) - live).cast("long").alias("n_other"), "judged")
