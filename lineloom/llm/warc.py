@@ -9,7 +9,8 @@ length holds, and then decodes the HTTP block, chunked framing included. Whole r
 
 Defined results: a null html is an empty payload. A page whose payload another page with a smaller page_id
 has becomes a revisit record; rows that tie on the smallest page_id are all responses. A null page_id never
-is the smallest. Repeated rows are each written and each read back. Columns but page_id, url and html are
+is the smallest. Repeated rows are each written, under an identifier of their own (the row's number is part of it), and each read back. A very long
+page is cut into segments, which meet in one task: its own. An empty table gives an archive without records. Columns but page_id, url and html are
 ignored. A record's memory is bound by its payload, however long the archive.
 """
 
@@ -90,17 +91,17 @@ def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return VERSION + "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
 
-def page_records(page_id: int | None, url: str | None, html: str | None, first: int | None, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> Iterator[bytes]:
-    """The records of a page. first: the page that has the response of an equal payload, or null."""
+def page_records(row: int, page_id: int | None, url: str | None, html: str | None, first: int | None, first_row: int | None, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> Iterator[bytes]:
+    """The records of a page, which is row `row` of its table. first: the page that has the response of an equal payload, and its row, or null."""
     payload = (html or "").encode()
     digest = digest32(payload)
-    name = lambda page: f"<urn:lineloom:page:{'null' if page is None else page}:{digest}>"
-    common = [("WARC-Record-ID", name(page_id)), ("WARC-Date", "2020-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest}")]
+    name = lambda page, at: f"<urn:lineloom:page:{'null' if page is None else page}:{digest}:{at}>"
+    common = [("WARC-Record-ID", name(page_id, row)), ("WARC-Date", "2020-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest}")]
     common += [("WARC-Target-URI", _clean(url))] if url else []
     if first is not None and first != page_id:
         http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
         profile = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-        yield _record([("WARC-Type", "revisit"), *common, ("WARC-Profile", profile), ("WARC-Refers-To", name(first)), ("Content-Type", "application/http; msgtype=response")], http)
+        yield _record([("WARC-Type", "revisit"), *common, ("WARC-Profile", profile), ("WARC-Refers-To", name(first, first_row)), ("Content-Type", "application/http; msgtype=response")], http)
         return
     framing, body = (f"Content-Length: {len(payload)}", payload) if len(payload) <= chunk_bytes else ("Transfer-Encoding: chunked", chunked(payload, chunk_bytes))
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{framing}\r\n\r\n".encode() + body
@@ -115,29 +116,30 @@ def page_records(page_id: int | None, url: str | None, html: str | None, first:
             yield _record([*kind, ("WARC-Segment-Number", "1")], piece)
         else:
             total = [("WARC-Segment-Total-Length", str(len(block)))] if k == len(cuts) else []
-            own = f"<urn:lineloom:page:{'null' if page_id is None else page_id}:{digest}:segment:{k}>"
-            yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", own), ("WARC-Date", "2020-01-01T00:00:00Z"), ("WARC-Segment-Origin-ID", name(page_id)), ("WARC-Segment-Number", str(k)), *total], piece)
+            own = f"<urn:lineloom:page:{'null' if page_id is None else page_id}:{digest}:{row}:segment:{k}>"
+            yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", own), ("WARC-Date", "2020-01-01T00:00:00Z"), ("WARC-Segment-Origin-ID", name(page_id, row)), ("WARC-Segment-Number", str(k)), *total], piece)
 
 
 def first_pages(pages: DataFrame) -> DataFrame:
-    """(sha, first) of the payloads that more than one row has; written, so that a join with it can be split where it is skewed."""
-    sha = pages.select("page_id", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha"))
-    repeated = sha.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first")
+    """(sha, first, first_row) of the payloads that more than one row has; written, so that a join with it can be split where it is skewed."""
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))
+    repeated = pages.groupBy("sha").agg(F.min(named).alias("x"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", F.col("x.page_id").alias("first"), F.col("x.row").alias("first_row"))
     return materialize(repeated, "warc-first")
 
 
 def write_warc(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> None:
     """Write the pages as gzipped archives below path."""
-    picked = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    picked = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    picked = picked.withColumn("sha", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
     firsts = first_pages(picked)
     if firsts.count() <= BROADCAST_ROWS:
         firsts = F.broadcast(firsts)
-    known = picked.withColumn("sha", F.sha1(F.coalesce("html", F.lit("")).cast("binary"))).join(firsts, "sha", "left").select("page_id", "url", "html", "first")
+    known = picked.join(firsts, "sha", "left").select("row", "page_id", "url", "html", "first", "first_row")
 
     def make(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            for r in page_records(*row, segment_bytes, chunk_bytes):
+        for page in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for r in page_records(*page, segment_bytes, chunk_bytes):
                 out.append(r)
                 size += len(r)
             if size > 4 << 20:

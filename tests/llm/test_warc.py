@@ -4,7 +4,7 @@ import hashlib
 import pytest
 from .helpers import CLASHES
 
-from lineloom.llm.warc import WarcError, chunked, dechunk, page_records, read_warc, reassemble, warc_round_trip, write_warc
+from lineloom.llm.warc import WarcError, chunked, dechunk, page_records, read_records, read_warc, reassemble, warc_round_trip, write_warc
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -97,6 +97,20 @@ def test_segments():
 
 
 def test_records_say_what_they_hold():
-    r = list(page_records(7, "http://x", "y" * 90, None, segment_bytes=100, chunk_bytes=40))
+    r = list(page_records(3, 7, "http://x", "y" * 90, None, None, segment_bytes=100, chunk_bytes=40))
     assert b"WARC-Segment-Number: 1" in r[0] and b"WARC-Type: continuation" in r[-1] and b"WARC-Segment-Total-Length" in r[-1]
     assert all(b"WARC-Segment-Origin-ID: <urn:lineloom:page:7:" in x for x in r[1:])
+
+
+def test_identifiers_are_unique(spark, tmp_path):
+    """Repeated long pages, with and without an id: each record has an identifier of its own, and segments meet by page row alone."""
+    long = "é" * 40_000
+    rows = [(5, "u", long)] * 3 + [(None, "u", long + "x")] * 3 + [(6, "u", long), (6, "u", "short"), (6, "u", "short")]
+    path = f"file://{tmp_path}/warc"
+    write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), path)
+    ids = [r.record_id for r in read_records(spark, path).collect()]
+    assert len(ids) == len(set(ids)) > len(rows)
+    back = read_warc(spark, path)
+    assert back.count() == len(rows) and back.filter("type = 'revisit'").count() == 1
+    assert back.filter("type = 'revisit'").first().refers_to in {r.record_id for r in back.filter("type = 'response'").collect()}
+    assert sorted(len(r.payload) for r in back.filter("n_segments > 1").collect()) == [80_000] * 3 + [80_001] * 3
