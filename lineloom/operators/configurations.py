@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineloom.grammar.results import ERROR, ISSUE, MATCH
-from lineloom.operators.graphs import written
+from lineloom.storage import written
 from lineloom.parser import LineParser, physical_lines, structure
 
 RESULT = f"kind string, status string, view string, context_issue {ISSUE}, matches array<{MATCH}>, error {ERROR}, child_view string, child_issue string"

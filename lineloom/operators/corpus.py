@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from lineloom.functions.pages import NAVIGATION, adjacent, names_of, parameter_description, placeholder, stated_type, switch_evidence
 from lineloom.functions.text import normal_name, terms
 from lineloom.grammar.sessions import read_example
-from lineloom.operators.graphs import reachable, written
+from lineloom.operators.graphs import reachable
+from lineloom.storage import written
 from lineloom.parser import LineParser
 
 #: Commands that only show things, titles that come first in a sample, and sizes of a retrieval.

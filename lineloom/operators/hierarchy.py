@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lineloom.grammar import catalog as cat
 from lineloom.grammar.languages import MAX_STEPS, included
-from lineloom.operators.graphs import written
+from lineloom.storage import written
 from lineloom.operators.mapping import Mapped, Side, map_catalogs, refined
 
 FULL = ("equivalent", "document_subset", "device_subset", "overlap", "matched")

@@ -22,7 +22,7 @@ from lineloom.grammar.aligning import aligned
 from lineloom.grammar.formats import parse, prefixes, shape, slots, symbols
 from lineloom.grammar.languages import MAX_STEPS, intersection, relation
 from lineloom.grammar.values import DOCUMENT, REGISTRY, FormatError, category, compatible
-from lineloom.operators.graphs import written
+from lineloom.storage import written
 from lineloom.operators.matching import prefix_candidates, structural_pairs, symbol_filter
 
 BINDING = "array<struct<document:string,device:string,document_rounds:array<string>,device_rounds:array<string>>>"
