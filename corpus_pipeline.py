@@ -15,7 +15,7 @@ from lineloom.llm.packing import pack
 from lineloom.llm.query_op5 import tokenizer_path
 from lineloom.llm.secret_scan import scan_secrets
 from lineloom.llm.rows import table
-from lineloom.llm.store import materialize
+from lineloom.storage import materialize_alone
 from lineloom.shipping import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -91,5 +91,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over all documents, each one's result written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}", zstd=True)
+        docs = materialize_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name}", zstd=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineloom.llm.store import materialize
+from lineloom.storage import materialize
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:

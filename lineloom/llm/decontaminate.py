@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lineloom.llm import textbytes as tb
 from lineloom.llm.rows import per_batch, texts
-from lineloom.llm.store import materialize
+from lineloom.storage import materialize
 
 WIDTH = 5
 MIN_COVERAGE = 0.8

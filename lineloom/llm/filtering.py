@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineloom.llm.rows import per_batch
-from lineloom.llm.store import materialize
+from lineloom.storage import materialize
 
 #: Ids, or spans with their texts, are broadcast up to so many in all; beyond, documents are shuffled to them.
 BROADCAST_IDS, BROADCAST_SPANS = 2_000_000, 500_000

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lineloom.llm import textbytes as tb
 from lineloom.llm.rows import per_batch
-from lineloom.llm.store import materialize
+from lineloom.storage import materialize
 
 ORDER = 4
 #: The bounds of the sample that the model is fitted on: expected labelled rows of each language, bytes of each language, and bytes of all together.

@@ -34,7 +34,7 @@ from lineloom.llm import textbytes as tb
 from lineloom.llm.components import components
 from lineloom.llm.filtering import without
 from lineloom.llm.rows import bound_batches, per_batch, texts
-from lineloom.llm.store import materialize
+from lineloom.storage import materialize
 
 WIDTH = 5
 PERCENT = 80

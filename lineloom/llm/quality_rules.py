@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineloom.llm.store import materialize
+from lineloom.storage import materialize
 
 #: Quantiles of each feature at which conditions may cut.
 CUTS = (0.02, 0.1, 0.5, 0.9, 0.98)

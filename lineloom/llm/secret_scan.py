@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineloom.llm.rows import per_batch
-from lineloom.llm.store import materialize
+from lineloom.storage import materialize
 
 #: Owners from which on a value counts as a copied example.
 EXAMPLE_OWNERS = 5

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lineloom.llm import textbytes as tb
 from lineloom.llm.rows import per_batch
-from lineloom.llm.store import materialize
+from lineloom.storage import materialize
 
 LENGTH, Q = 200, 64
 #: Extents up to which a bucket is sorted out at once, in one row of some SMALL * 2 * LENGTH bytes.

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineloom.llm.rows import bound_batches, per_batch
-from lineloom.llm.store import fresh_path, materialize
+from lineloom.storage import fresh_path, materialize
 
 VERSION = b"WARC/1.0\r\n"
 SEGMENT_BYTES = 32_768
