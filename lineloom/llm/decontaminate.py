@@ -159,7 +159,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     hits = joined.select(F.col("id").alias("doc_id"), "text_hash", "item_id", "item_hash", "item_words", "item_pos", "pos", (F.col("kinds") == 0).alias("plain"), slot.alias("slots"))
     key = ["doc_id", "text_hash", "item_id", "item_hash", "item_words"]
     span = F.least(F.lit(width).cast("long"), "item_words")
-    votes = hits.groupBy(*key, (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.collect_set("item_pos").alias("held"), F.collect_set(F.when(F.col("plain"), F.col("item_pos"))).alias("held_plain"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    votes = materialize(hits.groupBy(*key, (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.collect_set("item_pos").alias("held"), F.collect_set(F.when(F.col("plain"), F.col("item_pos"))).alias("held_plain"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")), "decontaminate-votes")  # read twice below
     by = Window.partitionBy(*key).orderBy("diagonal")
     runs = votes.withColumn("run", F.sum(F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > gap).cast("int"), F.lit(1))).over(by))
     all_of = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
