@@ -55,7 +55,7 @@ class Row:
 
 Node = Word | Slot | Many | Pick | Row
 
-_REPEAT = re.compile(r"&<(\d+)-(\d+)>")
+_REPEAT = re.compile(r"&<\s*(\d+)\s*-\s*(\d+)\s*>")
 _STOP = re.compile(r"[\s{}\[\]|*&]")
 _LIKE_DECLARATION = re.compile(r"^(?:[A-Z]+<|ENUM\{|<[^>]*>?$)")
 
@@ -77,6 +77,8 @@ def lex(text: str, registry: Registry = REGISTRY) -> Iterator[tuple[str, object,
             at += 1
         elif text[at] == "&":
             raise FormatError("a stray &", at, at + 1)
+        elif text[at] == "<" and registry.angled:
+            raise FormatError("no placeholder begins here", at, at + 1)
         else:
             m2 = _STOP.search(text, at)
             end = m2.start() if m2 else len(text)
@@ -143,7 +145,7 @@ def parse(text: str, registry: Registry = REGISTRY, policy: bool = True) -> Row:
         if not peek("}" if opening == "{" else "]"):
             fail("a group isn't closed")
         place += 1
-        unordered = peek("*") and (place + 1 >= len(tokens) or tokens[place][2] >= 0)
+        unordered = peek("*")
         if unordered:
             place += 1
         return repeated(Pick(tuple(choices), opening == "[", unordered, start), start)

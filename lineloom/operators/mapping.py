@@ -22,8 +22,8 @@ from lineloom.grammar.aligning import aligned
 from lineloom.grammar.formats import parse, prefixes, shape, slots, symbols
 from lineloom.grammar.languages import MAX_STEPS, intersection, relation
 from lineloom.grammar.values import DOCUMENT, REGISTRY, FormatError, category, compatible
-from lineloom.storage import written
 from lineloom.operators.matching import prefix_candidates, structural_pairs, symbol_filter
+from lineloom.storage import written
 
 BINDING = "array<struct<document:string,device:string,document_rounds:array<string>,device_rounds:array<string>>>"
 PAIR = f"device string, document string, status string, stage string, binding_mode string, bindings {BINDING}, graph string"
@@ -192,12 +192,18 @@ def _finished(spark: SparkSession, x: Side, y: Side, full: DataFrame, allowed, s
     begun = products(spark, prefix_candidates(keys, y.keys, "value_prefixes"), x, y, True, steps)
     begun = _placed(spark, begun, x, y, allowed).join(rest.select("id"), "id", "left_semi")
     pairs = written(placed.unionByName(begun))
+    of = device_status(x.records, pairs)
+    return Mapped(x, y, of.select("id", "format", "view", "index_in_view", "source_index", "status", "stage"), pairs)
+
+
+def device_status(devices: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The devices (id, …) with status (matched, partial, unknown or unmatched) and stage (mixed where there are several) by their pairs (id, status, stage, binding_mode)."""
     g = pairs.groupBy("id").agg(F.collect_set(F.when(F.col("binding_mode") != "unavailable", F.col("stage"))).alias("stages"), F.count_if(F.col("status") == "unknown").alias("open"))
-    of = x.records.join(g, "id", "left")
+    of = devices.join(g, "id", "left")
     some = F.coalesce(F.size("stages") > 0, F.lit(False))
     status = F.when(some & ~F.array_contains("stages", "prefix"), "matched").when(some, "partial").when(F.col("open") > 0, "unknown").otherwise("unmatched")
     stage = F.when(some, F.when(F.size("stages") > 1, "mixed").otherwise(F.element_at("stages", 1)))
-    return Mapped(x, y, of.select("id", "format", "view", "index_in_view", "source_index", status.alias("status"), stage.alias("stage")), pairs)
+    return of.withColumn("status", status).withColumn("stage", stage).drop("stages", "open")
 
 
 def summary(m: Mapped) -> DataFrame:

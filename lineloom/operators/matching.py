@@ -8,34 +8,12 @@ match goes on to the prefix stage by an anti-join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineloom.grammar.formats import parse, prefixes, shape, slots, symbols
-from lineloom.grammar.languages import intersection, relation
-from lineloom.grammar.values import category, compatible
-
-KEYS = "format string, ordered_key string, canonical_key string, required array<string>, possible array<string>, any_value boolean, prefixes array<array<string>>, value_prefixes array<array<string>>, types array<string>, slot_at array<int>"
-
-
-def keys(spark: SparkSession, formats: list[str]) -> DataFrame:
-    """Keys of each distinct format."""
-    rows = []
-    for text in dict.fromkeys(formats):
-        t = parse(text)
-        required, possible, value = symbols(t)
-        cover = sorted(prefixes(t))
-        to_value = sorted({p[: p.index("P") + 1] for p in cover if "P" in p})
-        found = list(slots(t))
-        rows.append((text, shape(t), shape(t, ordered=False), sorted(required), sorted(possible), value, [list(p) for p in cover], [list(p) for p in to_value], [category(s.declared.type_id) for s in found], [s.at for s in found]))
-    return spark.createDataFrame(rows, KEYS)
-
 
 def structural_pairs(devices: DataFrame, documents: DataFrame, key: str) -> DataFrame:
-    """Pairs of one shape whose values fit each other, place by place; a type that isn't known fits any."""
+    """Pairs of one shape whose values may fit each other: place by place where the order counts, else once they are aligned. A type that isn't known fits any."""
     x, y = devices.alias("x"), documents.alias("y")
     fits = F.forall(F.zip_with("x.types", "y.types", lambda a, b: a.isNull() | b.isNull() | (a == b)), lambda v: v)
     joined = x.join(y, F.col(f"x.{key}") == F.col(f"y.{key}"))
@@ -63,53 +41,3 @@ def symbol_filter(pairs: DataFrame, devices: DataFrame, documents: DataFrame) ->
     left = F.size(F.array_except("xr", "yp")) == 0
     right = F.size(F.array_except("yr", "xp")) == 0
     return pairs.join(x, "device").join(y, "document").filter(left & right).select("device", "document")
-
-
-PAIRS = "device string, document string, relation string, stage string, bindings array<struct<document:int,device:int>>, status string"
-
-
-def compared(pairs: DataFrame, prefix: bool = False) -> DataFrame:
-    """The language product and relation of each pair. A search beyond its budget gives a null relation and status unknown."""
-    schema = pa.schema([("device", pa.string()), ("document", pa.string()), ("relation", pa.string()), ("stage", pa.string()), ("bindings", pa.list_(pa.struct([("document", pa.int32()), ("device", pa.int32())]))), ("status", pa.string())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict = {}
-        for b in batches:
-            rows = []
-            for device, document in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x, y = (trees.setdefault(t, None) or trees.update({t: parse(t)}) or trees[t] for t in (device, document))
-                product = intersection(y, x, prefix)
-                found = [{"document": p, "device": q} for p, q in product.bindings] if product else []
-                if product is None:
-                    rows.append((device, document, None, "prefix" if prefix else "intersection", found, "unknown"))
-                elif product.nonempty and (found or not prefix):
-                    r = "prefix_match" if prefix else relation(y, x)
-                    rows.append((device, document, r, "prefix" if prefix else "intersection", found, r or "matched"))
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
-
-    return pairs.select("device", "document").mapInArrow(run, PAIRS)
-
-
-def staged(spark: SparkSession, device_formats: list[str], document_formats: list[str]) -> DataFrame:
-    """(device, document, stage, status) of all stages; a device format with none is absent. Precedence: exact, reordered, intersection; prefix for the rest."""
-    x, y = keys(spark, device_formats), keys(spark, document_formats)
-    exact = structural_pairs(x, y, "ordered_key").withColumn("stage", F.lit("exact"))
-    reordered = structural_pairs(x, y, "canonical_key").join(exact, ["device", "document"], "left_anti").withColumn("stage", F.lit("reordered"))
-    shaped = exact.unionByName(reordered).withColumn("status", F.lit("equivalent"))
-    open_ = symbol_filter(prefix_candidates(x, y), x, y).join(shaped, ["device", "document"], "left_anti")
-    met = compared(open_).select("device", "document", "stage", "status")
-    full = shaped.unionByName(met)
-    rest = x.join(full.select(F.col("device").alias("format")), "format", "left_anti")
-    return full.unionByName(compared(prefix_candidates(rest, y, "value_prefixes"), prefix=True).select("device", "document", "stage", "status"))
-
-
-def device_status(pairs: DataFrame, devices: DataFrame) -> DataFrame:
-    """Of each device format: stage (mixed if several), and matched, partial, unknown or unmatched."""
-    g = pairs.groupBy("device").agg(F.countDistinct("stage").alias("n"), F.min("stage").alias("stage"), F.count_if(F.col("status") == "unknown").alias("open"), F.count_if(~F.col("status").isin("unknown", "prefix_match")).alias("full"))
-    out = devices.select(F.col("format").alias("device")).join(g, "device", "left")
-    status = F.when(F.col("full") > 0, "matched").when(F.col("open") > 0, "unknown").when(F.col("n") > 0, "partial").otherwise("unmatched")
-    return out.select("device", F.when(F.col("n") > 1, "mixed").otherwise(F.col("stage")).alias("stage"), status.alias("status"))
-
-
-def types_fit(a: str | None, b: str | None) -> bool:
-    return compatible(a, b)

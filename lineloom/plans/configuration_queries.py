@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lineloom.functions.pages import parameter_description, placeholder, stated_type
 from lineloom.operators import configurations as C
 from lineloom.operators import corpus
-from lineloom.operators.mapping import map_catalogs, semantic_lookup, summary
+from lineloom.operators.mapping import map_catalogs, semantic_lookup
 from lineloom.plans.common import table
 
 PARTS = {"type": "grouped", "entry_view": "top", "views": {"top": ["user"], "under": ["assistant", "tool <x>"]}}
@@ -56,10 +56,6 @@ def q_semantic_bindings(spark: SparkSession, d: str) -> DataFrame:
     return found.select("config_id", "document_id", F.explode("parameters").alias("p")).select("config_id", "document_id", F.col("p.slot_id").alias("slot_id"), F.col("p.raw").cast("int").alias("value"), F.col("p.iterations")[0]["n"].alias("round"))
 
 
-def q_mapping_summary(spark: SparkSession, d: str) -> DataFrame:
-    return summary(map_catalogs(spark, DEVICE, MANUAL))
-
-
 def _descriptions(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     text = F.when(k % 7 == 0, "The value is a string.").when(k % 7 == 1, F.concat(F.lit("An integer ranging from 1 to "), F.col("p_size").cast("string"), F.lit("."))).when(k % 7 == 2, "Specifies an IPv4 address in dotted decimal notation.").when(k % 7 == 3, "Specifies an IPv6 prefix.").when(k % 7 == 4, "A MAC address.").when(k % 7 == 5, "The name is a String of letters.").otherwise(F.concat(F.lit("See "), F.col("p_name")))

@@ -5,30 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lineloom.grammar.formats import parse
-from lineloom.grammar.languages import included, relation
-from lineloom.operators import context, graphs, matching, rules
+from lineloom.operators import context, graphs, hierarchy, mapping, matching, reading, rules
 from lineloom.plans.common import table
 from lineloom.sources.catalogs import pilot_sample
 
 
+def _nations(spark: SparkSession, d: str) -> list[int]:
+    """The 25 nations' keys: a catalog has a format for each."""
+    return sorted(r[0] for r in table(spark, d, "nation").select("n_nationkey").collect())
+
+
+HEAD = {"schema_version": 1, "vendor": "v", "device": "d", "model_type": "m", "type": "flat"}
+#: By the remainder of the nation's key by 6: a device's format and a document's, and the types that the document states.
+KINDS = [
+    ("old w{} X.X.X.X name", "old w{} <address> name", {}),
+    ("set w{} {{ red | blue }} INTEGER<1-9>", "set w{} {{ blue | red }} <level>", {}),
+    ("vlan w{} INTEGER<1-99> to INTEGER<1-99>", "vlan w{} <first> [ to <last> ]", {}),
+    ("pre w{} INTEGER<1-9> more", "pre w{} <x>", {}),
+    ("cold w{} ring extra", "cold w{} ring", {}),
+    ("odd w{} X.X.X.X {{ a | b }}", "odd w{} <n> {{ b | a }}", {"n": "integer"}),
+]
+
+
+def _catalogs(spark: SparkSession, d: str) -> tuple[dict, dict]:
+    device, document = [], []
+    for k in _nations(spark, d):
+        x, y, types = KINDS[k % 6]
+        device.append({"format": x.format(k)})
+        document.append({"format": y.format(k)} | ({"parameter_types": [{"parameter_name": n, "parameter_type": t} for n, t in types.items()]} if types else {}))
+    return HEAD | {"source": "device", "commands": device}, HEAD | {"source": "documentation", "commands": document}
+
+
+def _matched(spark: SparkSession, d: str) -> DataFrame:
+    """(device, document, stage, status, n_bindings) of the mapped catalogs."""
+    m = mapping.map_catalogs(spark, *_catalogs(spark, d))
+    x = m.device.records.select("id", F.col("format").alias("device"))
+    y = m.documentation.records.select(F.col("id").alias("document_id"), F.col("format").alias("document"))
+    return m.pairs.join(x, "id").join(y, "document_id").select("device", "document", "stage", "status", F.size("bindings").alias("n_bindings"))
+
+
 def q_exact_join(spark: SparkSession, d: str) -> DataFrame:
     """Formats of one shape whose values fit each other."""
-    x, y = _catalog_keys(spark)
-    return matching.structural_pairs(x, y, "ordered_key")
+    return _matched(spark, d).filter("stage = 'exact'").select("device", "document", "n_bindings")
 
 
-DEVICES = ["set { red | blue } INTEGER<1-9>", "set [ b ] [ a ]", "new bolt STRING<1-5>", "old X.X.X.X name", "show { a | b } *", "cold ring extra", "vlan INTEGER<1-99> to INTEGER<1-99>"]
-DOCUMENTS = ["set { red | blue } <level>", "set { blue | red } <level>", "new bolt <name>", "old <address> name", "show { b | a } *", "vlan <first> [ to <last> ]", "cold ring", "old INTEGER<1-5> name"]
+def q_canonical_join(spark: SparkSession, d: str) -> DataFrame:
+    """Formats of one shape in any order whose values fit each other once they are aligned."""
+    return _matched(spark, d).filter("stage in ('exact', 'reordered')").select("device", "document", "n_bindings")
 
 
-def _catalog_keys(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return matching.keys(spark, DEVICES), matching.keys(spark, DOCUMENTS)
+def q_staged(spark: SparkSession, d: str) -> DataFrame:
+    return _matched(spark, d)
 
 
-def q_canonical_join(spark: SparkSession, d: str) -> DataFrame:
-    x, y = _catalog_keys(spark)
-    return matching.structural_pairs(x, y, "canonical_key")
+def q_mapping_summary(spark: SparkSession, d: str) -> DataFrame:
+    return mapping.summary(mapping.map_catalogs(spark, *_catalogs(spark, d)))
 
 
 def q_type_compat(spark: SparkSession, d: str) -> DataFrame:
@@ -47,15 +78,7 @@ def q_symbol_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_prefix_compat(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of beginnings one of which is a prefix of the other's."""
-    t = table(spark, d, "part")
-    x = t.filter("p_partkey % 9 = 0").select(F.col("p_name").alias("format"), F.array(F.split("p_name", " ")).alias("prefixes")).distinct()
-    y = t.filter("p_partkey % 50 = 0").select(F.substring_index("p_name", " ", 1).alias("format"), F.array(F.array(F.substring_index("p_name", " ", 1))).alias("prefixes")).distinct()
-    return matching.prefix_candidates(x, y)
-
-
-def q_prefix_compat_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same of all parts on both sides."""
+    """Pairs of parts' names and first words one of which is a beginning of the other."""
     t = table(spark, d, "part")
     first = F.substring_index("p_name", " ", 1)
     x = t.select(F.col("p_name").alias("format"), F.array(F.split("p_name", " ")).alias("prefixes")).distinct()
@@ -68,10 +91,6 @@ def q_scope_partition(spark: SparkSession, d: str) -> DataFrame:
     return context.scope_pairs(r(0).filter("view is not null"), r(2).distinct())
 
 
-def q_staged(spark: SparkSession, d: str) -> DataFrame:
-    return matching.staged(spark, DEVICES, DOCUMENTS)
-
-
 def q_staged_fallback(spark: SparkSession, d: str) -> DataFrame:
     """Orders' priorities met as a whole, the rest by their first character."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("device"), F.col("o_orderpriority").alias("key"))
@@ -83,23 +102,60 @@ def q_staged_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_stage_mixed(spark: SparkSession, d: str) -> DataFrame:
-    pairs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("device"), F.col("l_returnflag").alias("stage"), F.lit("matched").alias("status"))
-    devices = table(spark, d, "orders").select(F.col("o_orderkey").alias("format"))
-    return matching.device_status(pairs, devices)
+    pairs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.when(F.col("l_returnflag") == "R", "prefix").otherwise(F.col("l_returnflag")).alias("stage"), F.when(F.col("l_linenumber") == 7, "unknown").otherwise("matched").alias("status"), F.when(F.col("l_linenumber") == 7, "unavailable").otherwise("structural").alias("binding_mode"))
+    return mapping.device_status(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), pairs)
+
 
+#: By the remainder of the nation's key by 6: a device's format, a document's, and how the languages lie to each other.
+RELATIONS = [
+    ("c w{} {{ b | a }}", "c w{} {{ a | b }}"),
+    ("a w{}", "a w{} [ b ]"),
+    ("a w{} [ b ]", "a w{}"),
+    ("a w{} {{ c | d }}", "a w{} {{ d | e }}"),
+    ("w{} {{ a | b }} *", "w{} {{ a [ b ] | b [ a ] }}"),
+    ("w{} {{ a }} &<1-3>", "w{} {{ a }} &< 1 - 2 >"),
+]
 
-RELATIONS = [("c { a | b }", "c { b | a }"), ("c <id> a", "c INTEGER<1-100> b"), ("a", "a [ b ]"), ("a [ b ]", "a"), ("{ a | b } c", "a { c | d }"), ("a b", "c"), ("{ a | b } *", "{ b | a } *"), ("[ a ] b", "{ a b | b }"), ("{ a } &<1-2>", "{ a } &<1-3>")]
+
+def _sides(spark: SparkSession, device: list[str], document: list[str]) -> tuple[mapping.Side, mapping.Side]:
+    x = HEAD | {"source": "device", "commands": [{"format": f} for f in device]}
+    y = HEAD | {"source": "documentation", "commands": [{"format": f} for f in document]}
+    return mapping.side(spark, x, documents=False, follow=False), mapping.side(spark, y, documents=True, follow=False)
 
 
 def q_relation(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(x, y, relation(parse(x), parse(y))) for x, y in RELATIONS], "document string, device string, relation string")
+    """How the languages of a device's format and a document's lie to each other."""
+    nations = _nations(spark, d)
+    x, y = _sides(spark, [RELATIONS[k % 6][0].format(k) for k in nations], [RELATIONS[k % 6][1].format(k) for k in nations])
+    of = lambda s, c: s.records.select("source_index", F.col("k").alias(c), F.col("format").alias(f"{c}_format"))
+    pairs = of(x, "device").join(of(y, "document"), "source_index")
+    found = mapping.products(spark, pairs, x, y, False)
+    return found.join(pairs, ["device", "document"]).select(F.col("device_format").alias("device"), F.col("document_format").alias("document"), F.col("status").alias("relation"))
 
 
-COVERED = [("c { a } &<1-3>", ["c a", "c a a a"]), ("c { a | b }", ["c a", "c b"]), ("c [ a ]", ["c", "c a"]), ("c { a | b } *", ["c a [ b ]", "c b [ a ]"]), ("c { a | b | d }", ["c a", "c b"])]
+#: By the remainder of the nation's key by 5: a subject, two choices, and whether these have all that it has.
+COVERED = [("c w{} {{ a }} &<1-3>", "c w{} a", "c w{} a a a", False), ("c w{} {{ a | b }}", "c w{} a", "c w{} b", True), ("c w{} [ a ]", "c w{}", "c w{} a", True), ("c w{} {{ a | b }} *", "c w{} a [ b ]", "c w{} b [ a ]", True), ("c w{} {{ a | b | d }}", "c w{} a", "c w{} b", False)]
 
 
 def q_covered_by(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(x, "; ".join(ys), included(parse(x), [parse(y) for y in ys])) for x, ys in COVERED], "subject string, choices string, covered boolean")
+    """Whether all lines of a format are lines of some of its choices."""
+    nations = _nations(spark, d)
+    x, y = _sides(spark, [COVERED[k % 5][0].format(k) for k in nations], [c.format(k) for k in nations for c in COVERED[k % 5][1:3]])
+    choices = y.records.groupBy(F.floor(F.col("source_index") / 2).cast("int").alias("source_index")).agg(F.array_sort(F.collect_list("k")).alias("choices"))
+    asked = x.records.join(choices, "source_index").select("k", "choices", "format")
+    return hierarchy.proofs(asked, x, y).join(asked, ["k", "choices"]).select(F.col("format").alias("subject"), "covered")
+
+
+#: By the remainder of the part's key by 8: a declaration with the part's size in it.
+SPELLINGS = ["<{}st>", "<x/{}>", "<_x{}>", "<ip:port{}>", "HEX<0x{}-0xff>", "a &< 1 - {} >", "INTEGER<-{}-+99>", "STRING<{}-60>"]
+
+
+def q_declarations(spark: SparkSession, d: str) -> DataFrame:
+    """Declarations in all their spellings, read where they lie."""
+    t = table(spark, d, "part").select("p_size", F.element_at(F.array(*(F.lit(x) for x in SPELLINGS)), (F.col("p_partkey") % 8 + 1).cast("int")).alias("x"))
+    read = reading.read_formats(t.select(F.replace("x", F.lit("{}"), F.col("p_size").cast("string")).alias("format")))
+    one = F.element_at("tokens", -1)
+    return read.select("format", F.size("tokens").alias("n_tokens"), one["kind"].alias("kind"), one["type_id"].alias("type_id"), one["low"].cast("long").alias("low"), one["high"].cast("long").alias("high"), "error")
 
 
 def q_coverage_division(spark: SparkSession, d: str) -> DataFrame:
@@ -170,16 +226,7 @@ def q_example_fixpoint(spark: SparkSession, d: str) -> DataFrame:
 
 def q_semantic_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Matches to devices to documents to records, in a scope."""
-    return _semantic_lookup(spark, d, table(spark, d, "orders").filter("o_orderkey % 10 = 0"))
-
-
-def q_semantic_lookup_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same of all orders."""
-    return _semantic_lookup(spark, d, table(spark, d, "orders"))
-
-
-def _semantic_lookup(spark: SparkSession, d: str, orders: DataFrame) -> DataFrame:
-    match = orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    match = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
     device = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
     document = table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("r_regionkey"))
     record = table(spark, d, "region").filter("r_name <> 'ASIA'")
@@ -227,6 +274,19 @@ def q_binding_order(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b.select("l_orderkey", "l_returnflag", "n", "other"), ["l_orderkey", "l_returnflag", "n"]).select("l_orderkey", "l_linenumber", "other")
 
 
+def _said(text: str) -> str:
+    """A format with the nation's key in it, as SQL."""
+    return "'" + text.format("' || n_nationkey || '") + "'"
+
+
+def _cases(kinds, names: tuple[str, ...]) -> str:
+    """SQL of the nations, with the formats of their kind by name; @ stands for more columns."""
+    each = [f"CASE n_nationkey % {len(kinds)} " + " ".join(f"WHEN {i} THEN {_said(x[j])}" for i, x in enumerate(kinds)) + f" END AS {name}" for j, name in enumerate(names)]
+    return f"SELECT {', '.join(each)}, @ FROM nation"
+
+
+_STAGED = "(" + _cases(KINDS, ("device", "document")).replace("@", "CASE n_nationkey % 6 WHEN 0 THEN 'exact' WHEN 1 THEN 'reordered' WHEN 2 THEN 'intersection' WHEN 3 THEN 'prefix' END AS stage, CASE n_nationkey % 6 WHEN 2 THEN 'device_subset' WHEN 3 THEN 'prefix_match' ELSE 'equivalent' END AS status, CASE n_nationkey % 6 WHEN 2 THEN 2 ELSE 1 END AS n_bindings") + ")"
+
 QUERIES = {n: f for n, f in globals().items() if n.startswith("q_")}
 
 _SUP = "(SELECT s_suppkey AS src, (s_suppkey * 3 + 1) % 97 AS dst FROM supplier UNION ALL SELECT s_suppkey, (s_suppkey * 7 + 2) % 89 FROM supplier)"
@@ -236,10 +296,23 @@ _CAP_RULE = "max(l_suppkey) > 90 AND count(*) FILTER (l_returnflag = 'R') > 0"
 ORACLE_SQL = {
     "q_type_compat": "SELECT * FROM (SELECT DISTINCT CASE WHEN c_custkey % 7 > 0 THEN c_mktsegment END AS left_type FROM customer), (SELECT DISTINCT CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END AS right_type FROM customer) WHERE left_type IS NULL OR right_type IS NULL OR left_type = right_type",
     "q_symbol_filter": "WITH c AS (SELECT c_nationkey, list(DISTINCT c_mktsegment) AS p, coalesce(list(DISTINCT c_mktsegment) FILTER (c_acctbal > 9000), []) AS r FROM customer GROUP BY 1) SELECT x.c_nationkey::VARCHAR AS device, y.c_nationkey::VARCHAR AS document FROM c x JOIN c y ON x.c_nationkey::VARCHAR < y.c_nationkey::VARCHAR WHERE list_has_all(y.p, x.r) AND list_has_all(x.p, y.r)",
-    "q_prefix_compat": "SELECT DISTINCT x.p_name AS device, split_part(y.p_name, ' ', 1) AS document FROM part x JOIN part y ON x.p_partkey % 9 = 0 AND y.p_partkey % 50 = 0 AND starts_with(x.p_name, split_part(y.p_name, ' ', 1) || ' ')",
+    "q_prefix_compat": "SELECT DISTINCT x.p_name AS device, y.w AS document FROM part x JOIN (SELECT DISTINCT split_part(p_name, ' ', 1) AS w FROM part) y ON split_part(x.p_name, ' ', 1) = y.w",
+    "q_exact_join": f"SELECT device, document, n_bindings FROM {_STAGED} WHERE stage = 'exact'",
+    "q_canonical_join": f"SELECT device, document, n_bindings FROM {_STAGED} WHERE stage IN ('exact', 'reordered')",
+    "q_staged": f"SELECT * FROM {_STAGED} WHERE stage IS NOT NULL",
+    "q_mapping_summary": f"""WITH s AS {_STAGED} SELECT 'device status' AS what, CASE stage WHEN 'prefix' THEN 'partial' ELSE CASE WHEN stage IS NULL THEN 'unmatched' ELSE 'matched' END END AS value, count(*) AS n FROM s GROUP BY ALL
+        UNION ALL SELECT 'device stage', stage, count(*) FROM s GROUP BY ALL UNION ALL SELECT 'pair status', status, count(*) FROM s WHERE stage IS NOT NULL GROUP BY ALL
+        UNION ALL SELECT 'bindings', NULL, sum(n_bindings) FROM s WHERE stage IS NOT NULL""",
+    "q_relation": _cases(RELATIONS, ("device", "document")).replace("@", "CASE n_nationkey % 6 WHEN 0 THEN 'equivalent' WHEN 1 THEN 'device_subset' WHEN 2 THEN 'document_subset' WHEN 3 THEN 'overlap' WHEN 4 THEN 'equivalent' ELSE 'document_subset' END AS relation"),
+    "q_covered_by": _cases([x[:1] for x in COVERED], ("subject",)).replace("@", "n_nationkey % 5 IN (1, 2, 3) AS covered"),
+    "q_declarations": """WITH t AS (SELECT DISTINCT p_partkey % 8 AS k, p_size AS s FROM part)
+        SELECT CASE k WHEN 0 THEN '<' || s || 'st>' WHEN 1 THEN '<x/' || s || '>' WHEN 2 THEN '<_x' || s || '>' WHEN 3 THEN '<ip:port' || s || '>' WHEN 4 THEN 'HEX<0x' || s || '-0xff>' WHEN 5 THEN 'a &< 1 - ' || s || ' >' WHEN 6 THEN 'INTEGER<-' || s || '-+99>' ELSE 'STRING<' || s || '-60>' END AS format,
+        CASE k WHEN 5 THEN 2 ELSE 1 END AS n_tokens, CASE k WHEN 5 THEN 'repeat' ELSE 'declaration' END AS kind, CASE WHEN k < 4 THEN 'named' WHEN k = 4 THEN 'hex' WHEN k = 6 THEN 'integer' WHEN k = 7 THEN 'string' END AS type_id,
+        CASE k WHEN 4 THEN (s // 10) * 16 + s % 10 WHEN 5 THEN 1 WHEN 6 THEN -s WHEN 7 THEN s END AS low, CASE k WHEN 4 THEN 255 WHEN 5 THEN s WHEN 6 THEN 99 WHEN 7 THEN 60 END AS high, NULL AS error FROM t""",
     "q_scope_partition": "WITH x AS (SELECT n_name AS view, n_nationkey % 5 = 1 AS e, n_nationkey % 7 = 2 AS g FROM nation WHERE n_nationkey > 0), y AS (SELECT DISTINCT CASE WHEN n_nationkey > 2 THEN n_name END AS view, n_nationkey % 5 = 1 AS e, n_nationkey % 7 = 2 AS g FROM nation) SELECT x.view AS left_view, y.view AS right_view FROM x, y WHERE y.view IS NULL OR x.g OR CASE WHEN x.e THEN y.e OR y.g ELSE NOT y.e END",
     "q_staged_fallback": "WITH d(k) AS (VALUES ('1-URGENT'), ('5-LOW'), ('3-OTHER'), ('9-NONE')), f AS (SELECT o_orderkey, k FROM orders JOIN d ON k = o_orderpriority) SELECT k AS document, 'exact' AS stage, count(*) AS n FROM f GROUP BY 1 UNION ALL SELECT k, 'prefix', count(*) FROM orders o JOIN d ON k[1:1] = o_orderpriority[1:1] WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.o_orderkey = o.o_orderkey) GROUP BY 1",
-    "q_stage_mixed": "SELECT o_orderkey AS device, CASE WHEN count(DISTINCT l_returnflag) > 1 THEN 'mixed' ELSE min(l_returnflag) END AS stage, CASE WHEN count(l_orderkey) > 0 THEN 'matched' ELSE 'unmatched' END AS status FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
+    "q_stage_mixed": """WITH p AS (SELECT o_orderkey, CASE WHEN l_linenumber <> 7 THEN CASE l_returnflag WHEN 'R' THEN 'prefix' ELSE l_returnflag END END AS s, l_linenumber = 7 AS u FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey)
+        SELECT o_orderkey AS id, CASE WHEN count(DISTINCT s) > 1 THEN 'mixed' ELSE min(s) END AS stage, CASE WHEN bool_or(s = 'prefix') THEN 'partial' WHEN count(s) > 0 THEN 'matched' WHEN bool_or(u) THEN 'unknown' ELSE 'unmatched' END AS status FROM p GROUP BY 1""",
     "q_coverage_division": "WITH c AS (SELECT c_nationkey AS v, c_mktsegment AS f, count(*) AS n FROM customer GROUP BY ALL HAVING n > 8), p AS (SELECT x.v, o.v AS other, CASE WHEN y.n IS NULL THEN FALSE WHEN y.n > 12 THEN TRUE END AS ok FROM c x JOIN (SELECT DISTINCT v FROM c) o ON o.v <> x.v LEFT JOIN c y ON y.v = o.v AND y.f = x.f), s AS (SELECT v, other, CASE WHEN bool_or(NOT coalesce(ok, TRUE)) THEN 'partial' WHEN bool_or(ok IS NULL) THEN 'unknown' ELSE 'covered' END AS status FROM p GROUP BY ALL) SELECT v AS view, status, count(*) AS n FROM s GROUP BY ALL",
     "q_reachable": f"WITH RECURSIVE e AS {_SUP}, r AS (SELECT 5::BIGINT AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 40) SELECT node, min(depth) AS depth FROM r GROUP BY node",
     "q_trim_reach": f"WITH RECURSIVE e AS {_TRIM}, f AS (SELECT 1::BIGINT AS node UNION SELECT dst FROM f JOIN e ON src = node), b AS (SELECT unnest([50, 60])::BIGINT AS node UNION SELECT src FROM b JOIN e ON dst = node) SELECT src, dst FROM e WHERE src IN (FROM f) AND src IN (FROM b) AND dst IN (FROM f) AND dst IN (FROM b)",
@@ -254,7 +327,7 @@ ORACLE_SQL = {
     "q_effects": "WITH o AS (SELECT 'v' || o_custkey % 3 AS view, o_custkey::VARCHAR AS format, CASE WHEN o_orderkey % 31 = 0 THEN 'unknown' WHEN o_orderkey % 2 = 0 AND o_custkey % 3 <> o_custkey % 4 THEN 'switch:v' || o_custkey % 4 ELSE 'stay' END AS e FROM orders) SELECT view, format, CASE WHEN count(*) FILTER (e = 'unknown') = 0 AND count(DISTINCT e) = 1 THEN min(e) END AS effect FROM o GROUP BY ALL",
     "q_follow_declared": "WITH RECURSIVE e AS (SELECT n_nationkey::BIGINT AS l, n_nationkey::BIGINT AS r, n_nationkey::BIGINT + 1 AS lt, n_nationkey::BIGINT + 1 AS rt FROM nation UNION ALL VALUES (10, 10, 12, 13), (20, 20, 99, 98)), f AS (SELECT 0::BIGINT AS l, 0::BIGINT AS r UNION SELECT lt, rt FROM f JOIN e ON e.l = f.l AND e.r = f.r WHERE lt <> 12) SELECT l AS \"left\", r AS \"right\" FROM f",
     "q_example_fixpoint": "WITH RECURSIVE s AS (SELECT CASE WHEN s_suppkey % 10 > 0 THEN 'c' || (s_suppkey // 2) END AS parent, 'c' || s_suppkey AS child, 'v' || s_nationkey AS v FROM supplier), k AS (SELECT child AS command, 'entry' AS view FROM s WHERE parent IS NULL UNION SELECT s.child, s.v FROM k JOIN s ON s.parent = k.command) SELECT * FROM k",
-    "q_semantic_lookup": "SELECT o_orderkey, r_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE o_orderkey % 10 = 0 AND r_name <> 'ASIA'",
+    "q_semantic_lookup": "SELECT o_orderkey, r_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name <> 'ASIA'",
     "q_rule_exists": f"SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING {_CAP_RULE}",
     "q_rule_effects": f"SELECT l_orderkey, array_to_string(list_sort(list_distinct(list_concat(CASE WHEN {_CAP_RULE} THEN ['late'] ELSE [] END, list('flag:' || l_returnflag)))), ',') AS effects FROM lineitem GROUP BY 1",
     "q_rule_agreement": "SELECT l_orderkey, CASE WHEN count(DISTINCT CASE WHEN l_suppkey % 3 > 0 THEN l_linestatus ELSE '' END) > 1 THEN 'ambiguous' WHEN max(l_suppkey % 3) > 0 THEN 'applied' ELSE 'inactive' END AS status FROM lineitem GROUP BY 1",

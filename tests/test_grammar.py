@@ -161,3 +161,30 @@ def test_custom_types():
     assert recognize(p, "n 4", r).accepted[0].valid and not recognize(p, "n 3", r).accepted[0].valid
     with pytest.raises(ValueError):
         r.add(r.types["even"])
+
+
+def test_spellings_of_declarations():
+    """Names with digits, slashes, colons and underscores first; prefixed hexadecimal bounds; spaced repeats; and what is none."""
+    import pytest
+
+    from lineloom.grammar.formats import lex
+    from lineloom.grammar.values import DOCUMENT, FormatError
+
+    kinds = lambda t, *r: [(k, v.type_id if k == "declaration" else v) for k, v, *_ in lex(t, *r)]
+    for name in ("<1st>", "<x/y>", "<_x>", "<ip:port>", "<a.b-c>"):
+        assert kinds(name) == kinds(name, DOCUMENT) == [("declaration", "named")]
+    assert kinds("<hh:mm>") == [("declaration", "time")] and kinds("<hh:mm>", DOCUMENT) == [("declaration", "named")]
+    d = next(lex("HEX<0x10-0XfF>"))[1]
+    assert (d.type_id, d.low, d.high) == ("hex", 16, 255)
+    assert kinds("x &< 1 - 3 >") == [("word", "x"), ("repeat", (1, 3))]
+    for bad in ("<>", "<-a>", "<a b>", "a <x"):
+        with pytest.raises(FormatError):
+            list(lex(bad, DOCUMENT))
+    with pytest.raises(FormatError):
+        parse_checked("HEX<0xff-0x10>")
+
+
+def parse_checked(text):
+    from lineloom.grammar.formats import parse
+
+    return parse(text)

@@ -36,32 +36,33 @@ def test_query(spark, sf_dir, name):
     assert got == sorted((tuple(plain(x[i]) for i in at) for x in r.fetchall()), key=repr)
 
 
-def test_structural_joins(spark):
-    from lineloom.grammar.formats import parse, shape, slots
-    from lineloom.grammar.values import category, compatible
-    from lineloom.plans import relation_queries as q
-
-    want = set()
-    for x in q.DEVICES:
-        for y in q.DOCUMENTS:
-            a, b = parse(x), parse(y)
-            if shape(a) == shape(b) and all(compatible(category(s.declared.type_id), category(t.declared.type_id)) for s, t in zip(slots(a), slots(b), strict=True)):
-                want.add((x, y))
-    assert {tuple(r) for r in q.q_exact_join(spark, "").collect()} == want
-    assert {tuple(r) for r in q.q_canonical_join(spark, "").collect()} == {(x, y) for x in q.DEVICES for y in q.DOCUMENTS if shape(parse(x), False) == shape(parse(y), False)}
-
-
-def test_stages_find_every_pair_whose_languages_meet(spark):
+def test_stages_are_those_of_the_languages(spark, sf_dir):
+    """Against every pair of formats by itself: full pairs are those whose languages meet, and equivalent ones are plainly so."""
+    from lineloom.grammar.catalog import with_types
     from lineloom.grammar.formats import parse
     from lineloom.grammar.languages import intersection
+    from lineloom.grammar.values import DOCUMENT
     from lineloom.plans import relation_queries as q
 
-    rows = q.q_staged(spark, "").collect()
+    device, document = q._catalogs(spark, sf_dir)
+    typed = {y["format"]: with_types(parse(y["format"], DOCUMENT, policy=False), {t["parameter_name"]: t["parameter_type"] for t in y.get("parameter_types", ())}) for y in document["commands"]}
+    rows = q.q_staged(spark, sf_dir).collect()
     full = {(r.device, r.document) for r in rows if r.stage != "prefix"}
-    assert full >= {(x, y) for x in q.DEVICES for y in q.DOCUMENTS if intersection(parse(y), parse(x)).nonempty}
+    assert full == {(x["format"], y) for x in device["commands"] for y, t in typed.items() if intersection(t, parse(x["format"])).nonempty}
     assert not {r.device for r in rows if r.stage == "prefix"} & {x for x, _ in full}
 
 
+def test_types_that_do_not_fit_are_no_match(spark):
+    """An address and an integer of one shape, in the same order and in another."""
+    from lineloom.operators.mapping import map_catalogs
+    from lineloom.plans.relation_queries import HEAD
+
+    types = [{"parameter_name": "n", "parameter_type": "integer"}]
+    for x, y in (("old X.X.X.X name", "old <n> name"), ("odd X.X.X.X { a | b }", "odd <n> { b | a }")):
+        m = map_catalogs(spark, HEAD | {"source": "device", "commands": [{"format": x}]}, HEAD | {"source": "documentation", "commands": [{"format": y, "parameter_types": types}]})
+        assert not [r for r in m.pairs.collect() if r.status == "equivalent"]
+
+
 def test_tiers_agree(spark):
     """The native tier reads linear formats as the automaton does."""
     from lineloom.grammar.program import Program, recognize
@@ -90,6 +91,7 @@ def test_entry_without_the_corpus_part(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(f"{root}/lineloom", tmp_path / "lineloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    assert not (tmp_path / "corpus_pipeline.py").exists()
     code = "import __spark_entry__ as e; q = e.queries(); assert 'q_status' in q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
 
