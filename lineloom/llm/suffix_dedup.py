@@ -12,7 +12,8 @@ are repeats, and the rest are cut finer, down to single pointers. Each level see
 Identifiers are 64-bit hashes, compared only within a bucket of the level above.
 
 Defined results: null text is empty; texts shorter than the string have no pointer and stay. Rows that share doc_id and text are
-documents of their own, and repeats of each other. Other columns are ignored. A very long text is handled by itself,
+documents of their own, and repeats of each other; ties between representatives of an extent go to the smallest, and don't show in the result. An empty table
+gives no rows. Other columns are ignored. A very long text is handled by itself,
 within memory of some tens of times its size.
 """
 
@@ -36,8 +37,9 @@ LENGTH, Q = 200, 64
 SMALL = 64
 #: Cells of pointers at the levels of a large bucket.
 WIDTHS = (32, 8, 1)
-#: Documents whose pointers or spans are broadcast to the texts, and those pointers or spans in all; beyond either, texts are shuffled to them.
-BROADCAST_DOCS, BROADCAST_SPANS = 500_000, 2_000_000
+#: Bytes of documents' keys and of pointers or spans, as counted below, that are broadcast to the texts; beyond, texts are shuffled to them.
+BROADCAST_BYTES = 32 << 20
+DOC_BYTES, SPAN_BYTES = 64, 48
 
 #: A document: its id (or a hash of its text, where that is null), and a hash of its text.
 KEY = ("d", "t")
@@ -106,7 +108,7 @@ def unit_table(docs: DataFrame, length: int, q: int) -> DataFrame:
 
 def with_lists(docs: DataFrame, lists: DataFrame, n_spans: int, how: str) -> DataFrame:
     """Documents joined to their written lists: by a broadcast of these where their number and size allow it, else by a shuffle."""
-    if n_spans <= BROADCAST_SPANS and lists.count() <= BROADCAST_DOCS:
+    if n_spans * SPAN_BYTES + lists.count() * DOC_BYTES <= BROADCAST_BYTES:
         lists = F.broadcast(lists)
     return docs.join(lists, list(KEY), how)
 
