@@ -8,7 +8,7 @@ a question with other numbers or names is caught as re-parameterised, and a chan
 also joined as they stand, so that a plain copy is found whatever its capitals, and whatever its templates would match besides.
 
 A word that opens a sentence has a capital whatever it is. So a window with such a word stands in a third form too, with the
-opening as a name; slots and coverage tell whether it is one. Items of fewer words than a window are one window of their own width.
+opening as a name. An item is found if its windows with those of the third form cover enough of it and their slots agree, or if those without do. Items of fewer words than a window are one window of their own width.
 Windows of placeholders alone have no word to go by, and are joined as they stand only.
 
 Defined results: null or empty text, and items without a word, match nothing. Rows that share doc_id and text
@@ -43,6 +43,8 @@ _DIGIT = tb.table((0x30, 0x39))
 _CAPITAL = tb.table((0x41, 0x5A))
 _STOP = tb.table((0x0A, 0x0A), (0x21, 0x21), (0x2E, 0x2E), (0x3A, 0x3B), (0x3F, 0x3F))
 LITERAL, NUMBER, UNIT, NAME = range(4)
+#: Marks the third form among the kinds of a window.
+NAMED = 1 << 60
 _HOLDER = np.array([0, 0x1111111111111111, 0x2222222222222222, 0x3333333333333333], np.uint64)
 
 
@@ -104,7 +106,7 @@ def windows(rows: DataFrame, width: int, widths: list[int] | None = None, known:
 
     Without widths each text has windows of `width` words, or is one window if it has fewer; else all windows of these widths. Each
     window stands there as it is, with kinds 0, and, where it has placeholders and a word, as a template of either form. values: hashes of
-    the words in the window's places; kinds: four bits a word.
+    the words in the window's places; kinds: four bits a word, and NAMED for the form with openings as names.
     """
     shared = rows.sparkSession.sparkContext.broadcast(known)
 
@@ -129,7 +131,7 @@ def windows(rows: DataFrame, width: int, widths: list[int] | None = None, known:
                     form, first = tb.shingles(s, w, np.where(kinds == LITERAL, value, _HOLDER[kinds]), k)
                     grams.append(form[np.searchsorted(first, at[ok])])
                     takes.append(np.flatnonzero(ok))
-                    packed.append((here[ok].astype(np.int64) << (4 * np.arange(k))).sum(1))
+                    packed.append((here[ok].astype(np.int64) << (4 * np.arange(k))).sum(1) + (NAMED if kinds is named else 0))
                 g, t, p = np.concatenate(grams), np.concatenate(takes), np.concatenate(packed)
                 if shared.value is not None:
                     hit = shared.value.find(g)
@@ -153,33 +155,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     rows = texts(docs).filter("doc_id is not null").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
     x = windows(rows, width, widths, known).alias("x")
     y = held.select(F.col("id").alias("item_id"), F.col("text_hash").alias("item_hash"), "window", F.col("n_words").alias("item_words"), F.col("pos").alias("item_pos"), F.col("values").alias("item_values"), F.col("kinds").alias("item_kinds")).alias("y")
-    joined = x.join(y, "window").filter((F.col("kinds") == F.col("item_kinds")) & (F.size("values") == F.size("item_values")))
+    named = (F.col("kinds") >= NAMED) | (F.col("item_kinds") >= NAMED)
+    joined = x.join(y, "window").filter((F.col("kinds").bitwiseXOR(F.col("item_kinds")).bitwiseAND(F.lit(NAMED - 1)) == 0) & (F.size("values") == F.size("item_values")))
     # values of the placeholders: (item's, document's), and where in the item
-    slot = F.filter(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.struct((F.col("item_pos") + i).alias("at"), F.call_function("shiftright", F.col("kinds"), i * 4).bitwiseAND(F.lit(15).cast("long")).alias("kind"), F.get("item_values", i).alias("item"), F.get("values", i).alias("doc"))), lambda z: z["kind"] != 0)
-    hits = joined.select(F.col("id").alias("doc_id"), "text_hash", "item_id", "item_hash", "item_words", "item_pos", "pos", (F.col("kinds") == 0).alias("plain"), slot.alias("slots"))
+    slot = F.filter(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.struct((F.col("item_pos") + i).alias("at"), F.call_function("shiftright", F.col("kinds"), i * 4).bitwiseAND(F.lit(15).cast("long")).alias("kind"), F.get("item_values", i).alias("item"), F.get("values", i).alias("doc"), named.alias("named"))), lambda z: z["kind"] != 0)
+    hits = joined.select(F.col("id").alias("doc_id"), "text_hash", "item_id", "item_hash", "item_words", "item_pos", "pos", (F.col("kinds") == 0).alias("plain"), named.alias("named"), slot.alias("slots"))
     key = ["doc_id", "text_hash", "item_id", "item_hash", "item_words"]
     span = F.least(F.lit(width).cast("long"), "item_words")
-    votes = materialize(hits.groupBy(*key, (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.collect_set("item_pos").alias("held"), F.collect_set(F.when(F.col("plain"), F.col("item_pos"))).alias("held_plain"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")), "decontaminate-votes")  # read twice below
+    votes = materialize(hits.groupBy(*key, (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.collect_set("item_pos").alias("held"), F.collect_set(F.when(~F.col("named"), F.col("item_pos"))).alias("held_first"), F.collect_set(F.when(F.col("plain"), F.col("item_pos"))).alias("held_plain"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")), "decontaminate-votes")  # read twice below
     by = Window.partitionBy(*key).orderBy("diagonal")
     runs = votes.withColumn("run", F.sum(F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > gap).cast("int"), F.lit(1))).over(by))
     all_of = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    merged = runs.groupBy(*key, "run").agg(all_of("held"), all_of("held_plain"), F.min("lo").alias("first_word"), (F.max("hi") + F.max(span) - 1).alias("last_word"))
+    merged = runs.groupBy(*key, "run").agg(all_of("held"), all_of("held_first"), all_of("held_plain"), F.min("lo").alias("first_word"), (F.max("hi") + F.max(span) - 1).alias("last_word"))
     # of each of the item's places the slot on the diagonal nearest to the run's main one: a phrase that recurs nearby hits others too
     held_here = F.size("held")
     main = F.max(F.struct(held_here.alias("size"), (-F.col("diagonal")).alias("r"))).over(Window.partitionBy(*key, "run"))
     each = runs.select(*key, "run", "diagonal", held_here.alias("size"), (-main["r"]).alias("main"), F.explode("slots").alias("s"))
     nearest = F.struct(F.abs(F.col("diagonal") - F.col("main")).alias("far"), (-F.col("size")).alias("r"), "diagonal", F.col("s").alias("slot"))
-    aligned = each.groupBy(*key, "run", F.col("s.at").alias("at")).agg(F.min(nearest).alias("x")).groupBy(*key, "run").agg(F.collect_list("x.slot").alias("slots"))
+    aligned = each.groupBy(*key, "run", F.col("s.at").alias("at")).agg(F.min(nearest).alias("x"), F.min(F.when(~F.col("s.named"), nearest)).alias("y"))
+    aligned = aligned.groupBy(*key, "run").agg(F.collect_list("x.slot").alias("slots"), F.collect_list("y.slot").alias("slots_first"))
     no_slots = F.array().cast(dict(votes.dtypes)["slots"])
-    merged = merged.join(aligned, [*key, "run"], "left").withColumn("slots", F.coalesce("slots", no_slots))
+    merged = merged.join(aligned, [*key, "run"], "left").withColumn("slots", F.coalesce("slots", no_slots)).withColumn("slots_first", F.coalesce("slots_first", no_slots))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-width).cast("long").alias("last"))
     step = lambda a, p: F.struct((a["n"] + F.least(span, p - a["last"])).alias("n"), p.alias("last"))
     share = lambda c: F.aggregate(c, zero, step, lambda a: a["n"]) / F.col("item_words")
-    # one document's value for each of the item's values
-    pairs = F.array_distinct(F.transform("slots", lambda z: F.struct(z["kind"], z["item"], z["doc"])))
-    consistent = F.size(F.array_distinct(F.transform(pairs, lambda z: F.struct(z["kind"], z["item"])))) == F.size(pairs)
-    changed = F.exists("slots", lambda z: z["item"] != z["doc"])
+
+    def consistent(slots: str):
+        """Column: one document's value for each of the item's values."""
+        pairs = F.array_distinct(F.transform(slots, lambda z: F.struct(z["kind"], z["item"], z["doc"])))
+        return F.size(F.array_distinct(F.transform(pairs, lambda z: F.struct(z["kind"], z["item"])))) == F.size(pairs)
+
     plain = share("held_plain") >= coverage
-    found = merged.select(*key, share("held").alias("coverage"), "first_word", "last_word", F.size(F.array_distinct(F.transform("slots", lambda z: z["at"]))).alias("n_slots"), plain.alias("plain"), consistent.alias("consistent"), (~plain & changed).alias("reparameterised")).filter(f"coverage >= {coverage} and (plain or consistent)")
+    first = (share("held_first") >= coverage) & consistent("slots_first")
+    every = (share("held") >= coverage) & consistent("slots")
+    told = F.when(every, F.col("slots")).otherwise(F.col("slots_first"))
+    judged = merged.select(*key, share("held").alias("coverage"), "first_word", "last_word", told.alias("slots"), plain.alias("plain"), (plain | first | every).alias("found")).filter("found")
+    changed = F.exists("slots", lambda z: z["item"] != z["doc"])
+    found = judged.select(*key, "coverage", "first_word", "last_word", F.size(F.array_distinct(F.transform("slots", lambda z: z["at"]))).alias("n_slots"), "plain", (~F.col("plain") & changed).alias("reparameterised"))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("plain", "coverage", (-F.col("first_word")).alias("r"), "last_word", "n_slots", "reparameterised")).alias("b"))
     return best.select("doc_id", "item_id", "b.coverage", (-F.col("b.r")).alias("first_word"), "b.last_word", "b.n_slots", "b.reparameterised")

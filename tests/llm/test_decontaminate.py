@@ -46,7 +46,7 @@ def _windows(text, width):
         forms = [[x[k] for x in w] for k in (1, 2)]
         for k, form in enumerate(forms):
             if 0 < sum(f in HOLDERS for f in form) < width and (k == 0 or form != forms[0]):
-                yield i, ("form", *form)
+                yield i, (("form", "named")[k], *form)
 
 
 def covered(at, width):
@@ -57,9 +57,11 @@ def judge(text, item):
     a, b = canonical(text), canonical(item)
     width = min(W, len(b))
     places = defaultdict(list)
+    same = lambda x: ("plain" if x[0] == "plain" else "form", *x[1:])
     for q, y in windows(item, width):
-        places[y].append(q)
-    hits = [(p - q, q, p, x) for p, x in windows(text, width) for q in places.get(x, ())]
+        places[same(y)].append((q, y[0]))
+    # a window of either form may be met by one of the other
+    hits = [(p - q, q, p, (kind, *x[1:])) for p, x in windows(text, width) for q, kind in places.get(same(x), ()) for kind in [max(kind, x[0])]]
     runs = []
     for h in sorted(hits):
         if runs and h[0] - runs[-1][-1][0] <= GAP:
@@ -74,17 +76,24 @@ def judge(text, item):
         for d, q, _, _ in run:
             weight[d].add(q)
         main = max(weight, key=lambda d: (len(weight[d]), -d))
-        nearest = {}
-        for d, q, p, x in run:
-            if x[0] == "form":
-                for k in range(width):
-                    if x[1 + k] in HOLDERS:
-                        y = (abs(d - main), -len(weight[d]), d, x[1 + k], b[q + k][0], a[p + k][0])
-                        nearest[q + k] = min(nearest.get(q + k, y), y)
-        slots = {s[3:] for s in nearest.values()}
-        consistent = len({s[:2] for s in slots}) == len(slots)
-        if share >= COVER and (plain or consistent):
-            found.append((plain, share, -min(p for *_, p, _ in run), not plain and any(s[1] != s[2] for s in slots)))
+
+        def told(kinds):
+            nearest = {}
+            for d, q, p, x in run:
+                if x[0] in kinds:
+                    for k in range(width):
+                        if x[1 + k] in HOLDERS:
+                            y = (abs(d - main), -len(weight[d]), d, x[1 + k], b[q + k][0], a[p + k][0])
+                            nearest[q + k] = min(nearest.get(q + k, y), y)
+            slots = {s[3:] for s in nearest.values()}
+            return slots, len({s[:2] for s in slots}) == len(slots)
+
+        first = covered({q for _, q, _, x in run if x[0] != "named"}, width) / len(b)
+        slots_first, ok_first = told(("form",))
+        slots, ok = told(("form", "named"))
+        every = share >= COVER and ok
+        if plain or every or first >= COVER and ok_first:
+            found.append((plain, share, -min(p for *_, p, _ in run), not plain and any(s[1] != s[2] for s in (slots if every else slots_first))))
     return max(found) if found else None
 
 
