@@ -1,8 +1,9 @@
 """Documentation pages: formats, types, transitions, examples, checks."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from lineloom.functions.pages import view_said
+from lineloom.functions.pages import prompt, switch_evidence
 from lineloom.grammar.sessions import read_example
 from lineloom.operators import corpus as C
 
@@ -68,9 +69,41 @@ def test_placeholders(spark, description, want):
 
 def test_views_said(pages):
     assert [(r.file, r.format_index, r.view) for r in C.stated_switches(pages).collect()] == [("pool.json", 0, "pool view")]
-    assert view_said("acl [ number ] <n>", "The acl number command enters the Basic ACL view. The acl command enters the ACL view.") == ("Basic ACL view", "The acl number command enters the Basic ACL view.")
-    assert view_said("acl <n>", "The acl command enters the A view or the B view.") is None
-    assert view_said("acl <n>", "The acl command does not enter the A view.") is None
+
+
+SAID = [
+    ("acl [ number ] <n>", "The acl number command enters the Basic ACL view. The acl command enters the ACL view.", ("Basic ACL view", "The acl number command enters the Basic ACL view.")),
+    ("acl <n>", "The acl command enters the X view or the B view.", None),
+    ("acl <n>", "The acl command does not enter the X view.", None),
+    ("acl <n>", "The acl command can't fail and enters the X view.", None),
+    ("acl <n>", "The acl command enters the X view\nand more", ("X view", "The acl command enters the X view")),
+    ("acl <n>", "Note: the ACL command creates an ACL and displays the ACL-adv view.", ("ACL-adv view", "the ACL command creates an ACL and displays the ACL-adv view.")),
+    ("acl <n>", "The rule command enters the X view.", None),
+    ("acl <n>", "The acl command enters the view.", None),
+    ("acl <n>", "The acl command enters the c b view. The acl command opens the C B view.", ("c b view", "The acl command enters the c b view.")),
+    ("acl <n>", "The acl command enters the X view. The acl command opens the B view.", None),
+    ("acl <n>", "The acl command enters the X view of this view.", None),
+    ("acl <n>", "The acl command, though, enters the X view.", ("X view", None)),
+    ("acl <n>", "", None),
+    ("acl <n>", "The command enters the X view. command", None),
+    ("acl <n>", "The acl command enters the current view.", None),
+]
+
+
+def test_sentences_about_views(spark):
+    rows = [(i, f, t) for i, (f, t, _) in enumerate(SAID)]
+    out = {r.i: r.e for r in spark.createDataFrame(rows, "i int, f string, t string").select("i", switch_evidence(F.col("f"), F.col("t")).alias("e")).collect()}
+    for i, (f, t, want) in enumerate(SAID):
+        if want and want[1] is None:  # a comma within the subject: not a statement about the command
+            want = None
+        assert (out[i] and tuple(out[i])) == want, (f, t)
+
+
+def test_prompts(spark):
+    rows = ["<H> show x ", "[~H-a] b 2", " [*H]c", "[H]", "plain", "<a <b> c", "[]", "<>x", None, "[a [b] c"]
+    p, c = prompt(F.col("line"))
+    out = [tuple(r) for r in spark.createDataFrame([(x,) for x in rows], "line string").select(p, c).collect()]
+    assert out == [("<H>", "show x"), ("[H-a]", "b 2"), ("[H]", "c"), ("[H]", ""), *[(None, None)] * 6]
 
 
 def test_related_and_sample(pages):
