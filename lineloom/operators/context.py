@@ -39,15 +39,3 @@ def prompt_transitions(rows: DataFrame, by: list[str], order: str, prompt: str =
     w = Window.partitionBy(*by).orderBy(order)
     after = rows.withColumn("to_prompt", F.lead(prompt).over(w))
     return after.filter((F.col("to_prompt").isNotNull()) & (F.col("to_prompt") != F.col(prompt))).select(*by, order, F.col(prompt).alias("from_prompt"), "to_prompt")
-
-
-def scope_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Views of two catalogs that may be held against each other: (left view, right view).
-
-    Rows: (view, is_entry, is_global). Entry views meet entry and global views, others meet others, and a left global
-    view meets all. A side with a null view is flat: unrestricted.
-    """
-    x, y = left.alias("x"), right.alias("y")
-    flat = F.col("x.view").isNull() | F.col("y.view").isNull()
-    meets = flat | F.col("x.is_global") | F.when(F.col("x.is_entry"), F.col("y.is_entry") | F.col("y.is_global")).otherwise(~F.col("y.is_entry"))
-    return x.join(y, meets).select(F.col("x.view").alias("left_view"), F.col("y.view").alias("right_view"))

@@ -28,17 +28,6 @@ def trimmed(edges: DataFrame, start: DataFrame, ends: DataFrame) -> DataFrame:
     return edges.join(live.withColumnRenamed("node", "src"), "src", "left_semi").join(live.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
 
 
-def coverage(wanted: DataFrame, proofs: DataFrame) -> DataFrame:
-    """Division with three values: of (view, format) wanted and (view, other, format, covered) proofs, whether `other` covers all that `view` has.
-
-    covered may be null: not known. One false makes it partial, else one null unknown, else it is covered.
-    """
-    pairs = proofs.select("view", "other").distinct()
-    all_ = pairs.join(wanted, "view").join(proofs, ["view", "other", "format"], "left_outer")
-    missing = F.count_if(F.col("covered").isNotNull() & ~F.col("covered"))
-    return all_.groupBy("view", "other").agg(missing.alias("missing"), F.count_if(F.col("covered").isNull()).alias("open")).select("view", "other", F.when(F.col("missing") > 0, "partial").when(F.col("open") > 0, "unknown").otherwise("covered").alias("status"))
-
-
 def conflicts(targets: DataFrame, by: list[str], target: str) -> DataFrame:
     """Groups whose rows name more than one target."""
     return targets.groupBy(*by).agg(F.countDistinct(target).alias("n_targets")).filter("n_targets > 1")

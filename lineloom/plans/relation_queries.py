@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lineloom.functions import pages
 from lineloom.operators import context, graphs, hierarchy, mapping, matching, reading, rules
 from lineloom.plans.common import table
-from lineloom.sources.catalogs import pilot_sample
+from lineloom.sources.catalogs import export_by_view, pilot_sample
 
 
 def _nations(spark: SparkSession, d: str) -> list[int]:
@@ -86,9 +87,97 @@ def q_prefix_compat(spark: SparkSession, d: str) -> DataFrame:
     return matching.prefix_candidates(x, y)
 
 
+def _views(spark: SparkSession, d: str) -> tuple[dict, dict]:
+    """Catalogs with a view for each region, which the entry view leads to, and in it a format for each nation; that of every eighth nation is documented otherwise."""
+    nations = sorted(tuple(r) for r in table(spark, d, "nation").select("n_nationkey", "n_regionkey").collect())
+    regions = sorted({r for _, r in nations})
+    said = lambda k: "make w{} {{ a | c }}" if k % 8 == 3 else ("make w{} {{ b | a }}", "make w{} a")[k % 2]
+    device = {"root": [{"format": f"enter r{r}"} for r in regions]} | {f"v{r}": [{"format": f"make w{k} {{ a | b }}"} for k, s in nations if s == r] for r in regions}
+    document = {"Root": [{"format": f"enter r{r}", "switch_to_view": f"V{r}"} for r in regions]} | {f"V{r}": [{"format": said(k).format(k)} for k, s in nations if s == r] for r in regions}
+    head = HEAD | {"type": "grouped"}
+    return head | {"source": "device", "entry_view": "root", "views": device}, head | {"source": "documentation", "entry_view": "Root", "views": document}
+
+
+def q_view_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Which device views have all that a documented view has of its own."""
+    return hierarchy.view_coverage(mapping.map_catalogs(spark, *_views(spark, d), "hierarchy"))
+
+
+def q_recovered_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """Where the entry view's formats lead to, as far as the recovered views tell."""
+    p = hierarchy.prepare_catalogs(spark, *_views(spark, d), "hierarchy")
+    x = p.mapped.device.records.filter("view = 'root'").select("id", "format")
+    return p.recovery.transitions.join(x, "id").select("format", "known", "target")
+
+
 def q_scope_partition(spark: SparkSession, d: str) -> DataFrame:
-    r = lambda mod: table(spark, d, "nation").select(F.when(F.col("n_nationkey") > mod, F.col("n_name")).alias("view"), (F.col("n_nationkey") % 5 == 1).alias("is_entry"), (F.col("n_nationkey") % 7 == 2).alias("is_global"))
-    return context.scope_pairs(r(0).filter("view is not null"), r(2).distinct())
+    """Formats of entry views meet those of entry views, others others."""
+    nations = _nations(spark, d)
+    of = lambda by, entry, other: {v: [{"format": f"keep w{k}"} for k in nations if (k % by == 0) == (v == entry)] for v in (entry, other)}
+    head = HEAD | {"type": "grouped"}
+    m = mapping.map_catalogs(spark, head | {"source": "device", "entry_view": "root", "views": of(2, "root", "v")}, head | {"source": "documentation", "entry_view": "Root", "views": of(3, "Root", "V")})
+    return m.devices.select("format", "view", "status", "stage")
+
+
+#: By the remainder of the part's size by 4: a format with the size in it.
+ANALYSED = ["w{} {{ red | blue }} [ end ]", "w{} <x> [ end ]", "w{} [ a ] a", "w{} {{ b | a INTEGER<1-9> }} *"]
+
+
+def q_format_analysis(spark: SparkSession, d: str) -> DataFrame:
+    """Words, beginnings, shortest lines and values of formats, and whether they are read a word at a time."""
+    size = table(spark, d, "part").select("p_size", F.element_at(F.array(*(F.lit(x) for x in ANALYSED)), F.col("p_size") % 4 + 1).alias("x"))
+    text = F.regexp_replace(F.regexp_replace(F.replace("x", F.lit("{}"), F.col("p_size").cast("string")), r"\{\{", "{"), r"\}\}", "}")
+    out = reading.analysed(size.select(text.alias("format")))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return out.select("format", joined("required"), joined("possible"), "any_value", joined("prefixes"), "shortest", "predictive", joined("slots"))
+
+
+def q_shape_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Formats of one shape: values' names and, without order, choices' places don't count."""
+    k, n = F.col("n_nationkey"), F.col("n_nationkey").cast("string")
+    text = F.when(k % 3 == 0, F.concat(F.lit("do { a | b <x"), n, F.lit("> } r"), F.col("n_regionkey"))).when(k % 3 == 1, F.concat(F.lit("do { b <y"), n, F.lit("> | a } r"), F.col("n_regionkey"))).otherwise(F.concat(F.lit("do { a | b INTEGER<1-"), k + 2, F.lit("> } r"), F.col("n_regionkey")))
+    of = table(spark, d, "nation").select(text.alias("format"), F.col("n_regionkey").alias("region"))
+    g = of.join(reading.analysed(of), "format")
+    size = lambda c: F.countDistinct(c).cast("long").alias(f"n_{c}")
+    return g.groupBy("region").agg(F.count(F.lit(1)).alias("n"), size("ordered_key"), size("canonical_key"), size("typed_key"))
+
+
+def q_views_said(spark: SparkSession, d: str) -> DataFrame:
+    """The view that a description says a format enters."""
+    k, name = F.col("p_partkey") % 5, F.substring_index("p_name", " ", 1)
+    start = F.concat(F.lit("The w"), F.col("p_size").cast("string"), F.lit(" command"))
+    text = (
+        F.when(k == 0, F.concat(start, F.lit(" creates an entry and displays the "), name, F.lit(" pool view.")))
+        .when(k == 1, F.concat(start, F.lit(" may enter the "), name, F.lit(" view.")))
+        .when(k == 2, F.concat(F.lit("The other command enters the "), name, F.lit(" view.")))
+        .when(k == 3, F.concat(start, F.lit(" enters the "), name, F.lit(" view. "), start, F.lit(" opens the last one view.")))
+        .otherwise(F.concat(F.lit("Some words. "), F.replace(start, F.lit(" command"), F.lit(" set command")), F.lit(" enters the big view. "), start, F.lit(" opens a "), name, F.lit(" view.")))
+    )
+    t = table(spark, d, "part").select("p_partkey", F.concat(F.lit("w"), F.col("p_size").cast("string"), F.lit(" [ set ] <x>")).alias("format"), text.alias("text"))
+    found = t.select("p_partkey", pages.switch_evidence(F.col("format"), F.col("text")).alias("e"))
+    return found.select("p_partkey", F.col("e.view").alias("view"), F.col("e.text").alias("said"))
+
+
+def q_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts and commands of sessions."""
+    k, role = F.col("turn") % 4, F.col("role")
+    line = F.when(k == 0, F.concat(F.lit(" <"), role, F.lit("> go ")).alias("x")).when(k == 1, F.concat(F.lit("[~"), role, F.lit("-x]go 2"))).when(k == 2, F.concat(F.lit("[*"), role, F.lit("]"))).otherwise(F.concat(role, F.lit(" [a]")))
+    prompt, command = pages.prompt(line)
+    return table(spark, d, "conversations").select("conv_id", "turn", prompt.alias("prompt"), command.alias("command"))
+
+
+def q_adjacent_values(spark: SparkSession, d: str) -> DataFrame:
+    """Whether two values stand side by side in a format."""
+    k = F.col("p_partkey") % 3
+    text = F.when(k == 0, "set <a.b>  <c> end").when(k == 1, "set <c> <a.b>").otherwise("set <a.b> to <c>")
+    t = table(spark, d, "part").select("p_partkey", text.alias("format"))
+    return t.select("p_partkey", pages.adjacent(F.col("format"), F.array(F.lit("a.b"), F.lit("c"))).alias("side_by_side"), F.array_join(pages.names_of(F.col("format")), ",").alias("names"))
+
+
+def q_pages_by_view(spark: SparkSession, d: str) -> DataFrame:
+    """The formats of each view, as pages are written out: a page for each part, which stands in two views."""
+    p = table(spark, d, "part").select(F.array("p_brand", "p_type").alias("ParentView"), F.array("p_name", F.concat(F.lit("undo "), F.col("p_name"))).alias("CLIs"))
+    return export_by_view(p).select("view", F.array_join("formats", "|").alias("formats"))
 
 
 def q_staged_fallback(spark: SparkSession, d: str) -> DataFrame:
@@ -158,17 +247,6 @@ def q_declarations(spark: SparkSession, d: str) -> DataFrame:
     return read.select("format", F.size("tokens").alias("n_tokens"), one["kind"].alias("kind"), one["type_id"].alias("type_id"), one["low"].cast("long").alias("low"), one["high"].cast("long").alias("high"), "error")
 
 
-def q_coverage_division(spark: SparkSession, d: str) -> DataFrame:
-    """Whether one nation's customers have all the segments of another's; a segment of few customers isn't known."""
-    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("view"), F.col("c_mktsegment").alias("format")).agg(F.count(F.lit(1)).alias("n"))
-    c = c.filter("n > 8")
-    others = c.select(F.col("view").alias("other")).distinct()
-    wanted = c.select("view", "format")
-    own = c.select(F.col("view").alias("other"), "format", (F.col("n") > 12).alias("sure"))
-    proofs = wanted.join(others, F.col("view") != F.col("other")).join(own, ["other", "format"], "left").select("view", "other", "format", F.when(F.col("sure").isNull(), False).when(F.col("sure"), True).alias("covered"))
-    return graphs.coverage(wanted, proofs).groupBy("view", "status").agg(F.count(F.lit(1)).alias("n"))
-
-
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     """A supplier leads to two others of which it knows the numbers."""
     s = table(spark, d, "supplier").select("s_suppkey")
@@ -199,10 +277,6 @@ def q_prompt_transition(spark: SparkSession, d: str) -> DataFrame:
     return context.prompt_transitions(rows, ["conv_id"], "turn")
 
 
-def q_group_by_view(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").groupBy(F.col("p_brand").alias("view")).agg(F.array_join(F.sort_array(F.collect_set("p_name")), "|").alias("formats"))
-
-
 def q_conflicting(spark: SparkSession, d: str) -> DataFrame:
     return graphs.conflicts(table(spark, d, "part"), ["p_brand", "p_name"], "p_type")
 
@@ -309,11 +383,23 @@ ORACLE_SQL = {
         SELECT CASE k WHEN 0 THEN '<' || s || 'st>' WHEN 1 THEN '<x/' || s || '>' WHEN 2 THEN '<_x' || s || '>' WHEN 3 THEN '<ip:port' || s || '>' WHEN 4 THEN 'HEX<0x' || s || '-0xff>' WHEN 5 THEN 'a &< 1 - ' || s || ' >' WHEN 6 THEN 'INTEGER<-' || s || '-+99>' ELSE 'STRING<' || s || '-60>' END AS format,
         CASE k WHEN 5 THEN 2 ELSE 1 END AS n_tokens, CASE k WHEN 5 THEN 'repeat' ELSE 'declaration' END AS kind, CASE WHEN k < 4 THEN 'named' WHEN k = 4 THEN 'hex' WHEN k = 6 THEN 'integer' WHEN k = 7 THEN 'string' END AS type_id,
         CASE k WHEN 4 THEN (s // 10) * 16 + s % 10 WHEN 5 THEN 1 WHEN 6 THEN -s WHEN 7 THEN s END AS low, CASE k WHEN 4 THEN 255 WHEN 5 THEN s WHEN 6 THEN 99 WHEN 7 THEN 60 END AS high, NULL AS error FROM t""",
-    "q_scope_partition": "WITH x AS (SELECT n_name AS view, n_nationkey % 5 = 1 AS e, n_nationkey % 7 = 2 AS g FROM nation WHERE n_nationkey > 0), y AS (SELECT DISTINCT CASE WHEN n_nationkey > 2 THEN n_name END AS view, n_nationkey % 5 = 1 AS e, n_nationkey % 7 = 2 AS g FROM nation) SELECT x.view AS left_view, y.view AS right_view FROM x, y WHERE y.view IS NULL OR x.g OR CASE WHEN x.e THEN y.e OR y.g ELSE NOT y.e END",
+    "q_view_coverage": "SELECT 'v' || n_regionkey AS left_view, 'V' || n_regionkey AS right_view, CASE WHEN bool_or(n_nationkey % 8 = 3) THEN 'partial' ELSE 'covered' END AS status FROM nation GROUP BY n_regionkey",
+    "q_recovered_transitions": "SELECT 'enter r' || n_regionkey AS format, NOT bool_or(n_nationkey % 8 = 3) AS known, CASE WHEN NOT bool_or(n_nationkey % 8 = 3) THEN 'v' || n_regionkey END AS target FROM nation GROUP BY n_regionkey",
+    "q_scope_partition": "SELECT 'keep w' || n_nationkey AS format, CASE WHEN n_nationkey % 2 = 0 THEN 'root' ELSE 'v' END AS view, CASE WHEN (n_nationkey % 2 = 0) = (n_nationkey % 3 = 0) THEN 'matched' ELSE 'unmatched' END AS status, CASE WHEN (n_nationkey % 2 = 0) = (n_nationkey % 3 = 0) THEN 'exact' END AS stage FROM nation",
+    "q_format_analysis": """WITH t AS (SELECT DISTINCT p_size % 4 AS k, p_size AS s, 'w' || p_size AS w FROM part)
+        SELECT CASE k WHEN 0 THEN w || ' { red | blue } [ end ]' WHEN 1 THEN w || ' <x> [ end ]' WHEN 2 THEN w || ' [ a ] a' ELSE w || ' { b | a INTEGER<1-9> } *' END AS format,
+        CASE k WHEN 2 THEN 'a,' || w ELSE w END AS required, CASE k WHEN 0 THEN 'blue,end,red,' || w WHEN 1 THEN 'end,' || w WHEN 2 THEN 'a,' || w ELSE 'a,b,' || w END AS possible, k IN (1, 3) AS any_value,
+        CASE k WHEN 0 THEN printf('K:%1$s K:blue,K:%1$s K:blue K:end,K:%1$s K:red,K:%1$s K:red K:end', w) WHEN 1 THEN printf('K:%1$s P,K:%1$s P K:end', w) WHEN 2 THEN printf('K:%1$s K:a,K:%1$s K:a K:a', w) ELSE printf('K:%1$s K:a P,K:%1$s K:b', w) END AS prefixes,
+        'K:' || w || CASE k WHEN 0 THEN ' K:blue' WHEN 1 THEN ' P' WHEN 2 THEN ' K:a' ELSE ' K:b' END AS shortest, k <> 2 AS predictive, CASE k WHEN 1 THEN 'p:' || len(w) + 1 WHEN 3 THEN 'p:' || len(w) + 9 ELSE '' END AS slots FROM t""",
+    "q_shape_keys": "SELECT n_regionkey AS region, count(*) AS n, count(DISTINCT n_nationkey % 3 = 1) AS n_ordered_key, 1 AS n_canonical_key, count(DISTINCT CASE WHEN n_nationkey % 3 = 2 THEN 'i' ELSE '' END) AS n_typed_key FROM nation GROUP BY 1",
+    "q_views_said": """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN split_part(p_name, ' ', 1) || ' pool view' WHEN 4 THEN 'big view' END AS view,
+        CASE p_partkey % 5 WHEN 0 THEN 'The w' || p_size || ' command creates an entry and displays the ' || split_part(p_name, ' ', 1) || ' pool view.' WHEN 4 THEN 'The w' || p_size || ' set command enters the big view.' END AS said FROM part""",
+    "q_prompts": "SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '<' || role || '>' WHEN 1 THEN '[' || role || '-x]' WHEN 2 THEN '[' || role || ']' END AS prompt, CASE turn % 4 WHEN 0 THEN 'go' WHEN 1 THEN 'go 2' WHEN 2 THEN '' END AS command FROM conversations",
+    "q_adjacent_values": "SELECT p_partkey, p_partkey % 3 = 0 AS side_by_side, CASE p_partkey % 3 WHEN 1 THEN 'c,a.b' ELSE 'a.b,c' END AS names FROM part",
+    "q_pages_by_view": "WITH v AS (SELECT unnest([p_brand, p_type]) AS view, p_name FROM part), f AS (SELECT view, unnest([p_name, 'undo ' || p_name]) AS f FROM v) SELECT view, array_to_string(list_sort(list(DISTINCT f)), '|') AS formats FROM f GROUP BY 1",
     "q_staged_fallback": "WITH d(k) AS (VALUES ('1-URGENT'), ('5-LOW'), ('3-OTHER'), ('9-NONE')), f AS (SELECT o_orderkey, k FROM orders JOIN d ON k = o_orderpriority) SELECT k AS document, 'exact' AS stage, count(*) AS n FROM f GROUP BY 1 UNION ALL SELECT k, 'prefix', count(*) FROM orders o JOIN d ON k[1:1] = o_orderpriority[1:1] WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.o_orderkey = o.o_orderkey) GROUP BY 1",
     "q_stage_mixed": """WITH p AS (SELECT o_orderkey, CASE WHEN l_linenumber <> 7 THEN CASE l_returnflag WHEN 'R' THEN 'prefix' ELSE l_returnflag END END AS s, l_linenumber = 7 AS u FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey)
         SELECT o_orderkey AS id, CASE WHEN count(DISTINCT s) > 1 THEN 'mixed' ELSE min(s) END AS stage, CASE WHEN bool_or(s = 'prefix') THEN 'partial' WHEN count(s) > 0 THEN 'matched' WHEN bool_or(u) THEN 'unknown' ELSE 'unmatched' END AS status FROM p GROUP BY 1""",
-    "q_coverage_division": "WITH c AS (SELECT c_nationkey AS v, c_mktsegment AS f, count(*) AS n FROM customer GROUP BY ALL HAVING n > 8), p AS (SELECT x.v, o.v AS other, CASE WHEN y.n IS NULL THEN FALSE WHEN y.n > 12 THEN TRUE END AS ok FROM c x JOIN (SELECT DISTINCT v FROM c) o ON o.v <> x.v LEFT JOIN c y ON y.v = o.v AND y.f = x.f), s AS (SELECT v, other, CASE WHEN bool_or(NOT coalesce(ok, TRUE)) THEN 'partial' WHEN bool_or(ok IS NULL) THEN 'unknown' ELSE 'covered' END AS status FROM p GROUP BY ALL) SELECT v AS view, status, count(*) AS n FROM s GROUP BY ALL",
     "q_reachable": f"WITH RECURSIVE e AS {_SUP}, r AS (SELECT 5::BIGINT AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 40) SELECT node, min(depth) AS depth FROM r GROUP BY node",
     "q_trim_reach": f"WITH RECURSIVE e AS {_TRIM}, f AS (SELECT 1::BIGINT AS node UNION SELECT dst FROM f JOIN e ON src = node), b AS (SELECT unnest([50, 60])::BIGINT AS node UNION SELECT src FROM b JOIN e ON dst = node) SELECT src, dst FROM e WHERE src IN (FROM f) AND src IN (FROM b) AND dst IN (FROM f) AND dst IN (FROM b)",
     "q_context_stack": """WITH r AS (SELECT conv_id, turn, turn * 7 % 5 AS i, turn % 6 = 5 AS sep, lead(turn % 6 = 5) OVER (PARTITION BY conv_id ORDER BY turn) AS closed FROM conversations),
@@ -322,7 +408,6 @@ ORACLE_SQL = {
         SELECT r.conv_id AS config_id, r.turn AS line_no, max(above) AS parent_line FROM r LEFT JOIN ok ON ok.conv_id = r.conv_id AND ok.turn = r.turn GROUP BY ALL""",
     "q_child_context": "WITH o AS (SELECT o_custkey, CASE WHEN o_orderkey % 20 > 0 THEN o_orderstatus END AS c FROM orders), g AS (SELECT o_custkey, count(*) FILTER (c IS NULL) AS u, count(DISTINCT c) AS k, min(c) AS c FROM o GROUP BY 1) SELECT o_custkey, CASE WHEN u = 0 AND k = 1 THEN c END AS child, CASE WHEN u > 0 THEN 'unresolved_transition' WHEN k > 1 THEN 'ambiguous_transition' END AS issue FROM g",
     "q_prompt_transition": "SELECT conv_id, turn, role AS from_prompt, nxt AS to_prompt FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) WHERE nxt <> role",
-    "q_group_by_view": "SELECT p_brand AS view, array_to_string(list_sort(list(DISTINCT p_name)), '|') AS formats FROM part GROUP BY 1",
     "q_conflicting": "SELECT p_brand, p_name, count(DISTINCT p_type) AS n_targets FROM part GROUP BY ALL HAVING n_targets > 1",
     "q_effects": "WITH o AS (SELECT 'v' || o_custkey % 3 AS view, o_custkey::VARCHAR AS format, CASE WHEN o_orderkey % 31 = 0 THEN 'unknown' WHEN o_orderkey % 2 = 0 AND o_custkey % 3 <> o_custkey % 4 THEN 'switch:v' || o_custkey % 4 ELSE 'stay' END AS e FROM orders) SELECT view, format, CASE WHEN count(*) FILTER (e = 'unknown') = 0 AND count(DISTINCT e) = 1 THEN min(e) END AS effect FROM o GROUP BY ALL",
     "q_follow_declared": "WITH RECURSIVE e AS (SELECT n_nationkey::BIGINT AS l, n_nationkey::BIGINT AS r, n_nationkey::BIGINT + 1 AS lt, n_nationkey::BIGINT + 1 AS rt FROM nation UNION ALL VALUES (10, 10, 12, 13), (20, 20, 99, 98)), f AS (SELECT 0::BIGINT AS l, 0::BIGINT AS r UNION SELECT lt, rt FROM f JOIN e ON e.l = f.l AND e.r = f.r WHERE lt <> 12) SELECT l AS \"left\", r AS \"right\" FROM f",
