@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of a batch sent to a Python worker; whichever comes first ends it.
-BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 1 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
