@@ -38,7 +38,7 @@ SMALL = 64
 #: Cells of pointers at the levels of a large bucket.
 WIDTHS = (32, 8, 1)
 #: Bytes of documents' keys and of pointers or spans, as counted below, that are broadcast to the texts; beyond, texts are shuffled to them.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 64 << 20
 DOC_BYTES, SPAN_BYTES = 64, 48
 
 #: A document: its id (or a hash of its text, where that is null), and a hash of its text.
