@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 
 from lineloom.grammar.formats import Many, Node, Pick, Row, Slot, parse
@@ -141,6 +141,28 @@ def read_v1(doc: Mapping, *, follow: bool = True) -> Catalog:
     return Catalog(tuple(_commands(groups, follow=follow, record_check=check)), tuple(v for v in groups if v is not None), entry, over, tuple(shared), {k: v for k, v in doc.items() if k not in ("commands", "views")})
 
 
+def valid_part(document: Mapping, read_one: Callable[[str, Mapping[str, str]], object]) -> tuple[dict, list[dict]]:
+    """The catalog without the commands that read_one(format, types) refuses with a FormatError, and these: view, index in it, format and error.
+
+    All else stays as it is; a view may end up without a command. An error of the catalog itself is raised.
+    """
+    wrong: dict[int, str] = {}
+    commands = read(document).commands
+    for c in commands:
+        try:
+            read_one(c.format, dict(c.types))
+        except FormatError as e:
+            wrong[c.index] = str(e)
+    places = {(c.view, c.index_in_view) for c in commands if c.index in wrong}
+    kept = lambda rows, view: [x for i, x in enumerate(rows) if (view, i) not in places]
+    out = dict(document)
+    if "views" in document:
+        out["views"] = {v: kept(rows, v) for v, rows in document["views"].items()}
+    else:
+        out["commands"] = kept(document["commands"], None)
+    return out, [{"view": c.view, "index": c.index_in_view, "format": c.format, "error": wrong[c.index]} for c in commands if c.index in wrong]
+
+
 def with_types(tree: Node, types: Mapping[str, str], registry: Registry = REGISTRY) -> Node:
     """The tree with the stated types in place of named values; bounds and built-in types stay. A name that isn't there is an error."""
     for name, kind in types.items():

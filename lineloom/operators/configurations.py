@@ -11,11 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineloom.grammar.results import ERROR, ISSUE, MATCH
 from lineloom.storage import written
+from lineloom.grammar.values import REGISTRY, Registry
 from lineloom.parser import LineParser, physical_lines, structure
 
 RESULT = f"kind string, status string, view string, context_issue {ISSUE}, matches array<{MATCH}>, error {ERROR}, child_view string, child_issue string"
@@ -42,27 +44,29 @@ def configuration_lines(configs: DataFrame, config_id: str, text: str) -> DataFr
 
 
 class _Shared:
-    """A catalog that each Python worker compiles once."""
+    """A catalog, with the types its formats may declare, that each Python worker compiles once."""
 
     _held: dict = {}
 
-    def __init__(self, document: Mapping, mode: str):
+    def __init__(self, document: Mapping, mode: str, registry: Registry = REGISTRY):
         import json
 
         self.text, self.mode = json.dumps(document), mode
+        # types of the user's own hold functions, which plain pickling doesn't take
+        self.registry = None if registry is REGISTRY else cloudpickle.dumps(registry)
 
     def parser(self) -> LineParser:
-        k = (self.text, self.mode)
+        k = (self.text, self.mode, self.registry)
         if k not in _Shared._held:
             _Shared._held.clear()
-            _Shared._held[k] = LineParser.from_json(self.text, mode=self.mode)
+            _Shared._held[k] = LineParser.from_json(self.text, mode=self.mode, registry=REGISTRY if self.registry is None else cloudpickle.loads(self.registry))
         return _Shared._held[k]
 
 
-def recognised(commands: DataFrame, document: Mapping, mode: str, how: str) -> DataFrame:
+def recognised(commands: DataFrame, document: Mapping, mode: str, how: str, registry: Registry = REGISTRY) -> DataFrame:
     """Results of distinct (view, issue_code, depth, command); how: flat, system or view. Issues and results name line 1; the caller puts in its own."""
-    LineParser(document, mode=mode)  # a bad catalog fails here, and not in the tasks
-    shared = commands.sparkSession.sparkContext.broadcast(_Shared(document, mode))
+    LineParser(document, registry, mode)  # a bad catalog fails here, and not in the tasks
+    shared = commands.sparkSession.sparkContext.broadcast(_Shared(document, mode, registry))
     schema = "view_in string, issue_in string, depth int, command string, " + RESULT
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -101,9 +105,9 @@ def _special(lines: DataFrame, separators: bool) -> DataFrame:
     return picked.select("config_id", "line_no", "raw", "depth", kind.alias("kind"), null("string").alias("status"), null("string").alias("view"), null(ISSUE).alias("context_issue"), F.array().cast(f"array<{MATCH}>").alias("matches"), null(ERROR).alias("error"))
 
 
-def parse_configurations(configs: DataFrame, document: Mapping, *, config_id: str = "config_id", text: str = "text", mode: str = "system", contextual: bool | None = None) -> DataFrame:
-    """One row per physical line: COLUMNS. contextual: false for a flat search of a grouped catalog."""
-    parser = LineParser(document, mode=mode)
+def parse_configurations(configs: DataFrame, document: Mapping, *, config_id: str = "config_id", text: str = "text", mode: str = "system", contextual: bool | None = None, registry: Registry = REGISTRY) -> DataFrame:
+    """One row per physical line: COLUMNS. contextual: false for a flat search of a grouped catalog. registry: the types that formats may declare."""
+    parser = LineParser(document, registry, mode)
     grouped = parser.entry_view is not None
     contextual = grouped if contextual is None else contextual
     if contextual and not grouped:
@@ -114,7 +118,7 @@ def parse_configurations(configs: DataFrame, document: Mapping, *, config_id: st
         how = "system" if contextual else "flat"
         asked = body.withColumns({"view_in": F.lit(None).cast("string"), "issue_in": F.lit(None).cast("string")})
         # what a line means doesn't hang on how far in it stands, but its places do
-        found = recognised(asked, document, mode, how).drop("view_in", "issue_in")
+        found = recognised(asked, document, mode, how, registry).drop("view_in", "issue_in")
         return body.join(found, ["command", "depth"]).select(*COLUMNS).unionByName(_special(lines, contextual))
     lines = written(lines)
     body = lines.filter((F.col("command") != "") & (F.col("command") != "#"))
@@ -129,7 +133,7 @@ def parse_configurations(configs: DataFrame, document: Mapping, *, config_id: st
             under = above.select("config_id", F.col("line_no").alias("parent_line"), F.col("child_view").alias("view_in"), F.col("child_issue").alias("issue_in"), F.col("child_line").alias("issue_line"))
             asked = here.join(under, ["config_id", "parent_line"])
         asked = written(asked)
-        found = recognised(asked, document, mode, "view").alias("f")
+        found = recognised(asked, document, mode, "view", registry).alias("f")
         a = asked.alias("a")
         on = (F.col("a.command") == F.col("f.command")) & (F.col("a.depth") == F.col("f.depth")) & F.col("a.view_in").eqNullSafe(F.col("f.view_in")) & F.col("a.issue_in").eqNullSafe(F.col("f.issue_in"))
         # an issue found here names this line, one inherited names the line it arose at

@@ -85,6 +85,12 @@ def side(spark: SparkSession, doc: Mapping, *, documents: bool, follow: bool) ->
     return Side(c, trees, spark.createDataFrame(list(rows.values()), KEY), spark.createDataFrame(records, "id string, k string, format string, view string, index_in_view int, source_index int, switch string, target string, record string"))
 
 
+def usable(doc: Mapping) -> tuple[dict, list[dict]]:
+    """The part of a device's or a documentation catalog that side() takes, and the commands left out, with their errors."""
+    named = doc.get("source") == "documentation"
+    return cat.valid_part(doc, lambda text, types: symbols(cat.with_types(parse(text, DOCUMENT if named else REGISTRY, policy=not named), types)))
+
+
 def transition(record: Mapping) -> tuple[str, str | None]:
     """absent, stay, unresolved, or switch and its target: what a record says of where it leads."""
     if "switch_to_view" not in record:

@@ -192,3 +192,19 @@ def test_command_line(tmp_path, capsys):
     assert main([*args, str(tmp_path / "good.txt")]) == 0 and json.loads(capsys.readouterr().out)["summary"]["commands"] == 1
     assert main([*args, str(tmp_path / "bad.txt")]) == 1
     assert main([*args, str(tmp_path / "none.txt")]) == 2
+
+
+def test_the_valid_part_of_a_catalog(spark):
+    """Bad formats and types are left out and told; the rest is mapped as if they weren't there."""
+    bad = json.loads(json.dumps(DEVICE))
+    bad["views"]["a"].insert(1, {"format": "open {"})
+    bad["views"]["b"].append({"format": "HEX<9-1>"})
+    good, left = M.usable(bad)
+    assert good == DEVICE and [(x["view"], x["index"], x["format"]) for x in left] == [("a", 1, "open {"), ("b", 3, "HEX<9-1>")] and all(x["error"] for x in left)
+    docs = json.loads(json.dumps(DOCUMENTS))
+    docs["views"]["A"].append({"format": "name <-bad>"})
+    docs["views"]["B"].append({"format": "x <n>", "parameter_types": types(m="integer")})
+    good, left = M.usable(docs)
+    assert good == DOCUMENTS and len(left) == 2
+    with pytest.raises(ValueError):
+        M.map_catalogs(spark, bad, DOCUMENTS)

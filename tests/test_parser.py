@@ -175,3 +175,24 @@ def test_empty_input(spark):
     none = spark.createDataFrame([], "config_id long, text string")
     for mode in ("system", "hierarchy"):
         assert parse_configurations(none, TREE, mode=mode).collect() == []
+
+
+def test_types_of_the_users_own_are_read_by_all_tasks(spark):
+    """A registry with a type made here, by a closure, reaches the workers; lines are those of the plain parser."""
+    import re
+
+    from lineloom.grammar.values import INVALID, REGISTRY, VALID, Probe, ValueType
+    from lineloom.operators.configurations import parse_configurations
+
+    least = 3
+    even = REGISTRY.copy()
+    even.add(ValueType("even", "numeric", lambda d, raw: Probe(VALID, int(raw)) if raw.isdigit() and int(raw) % 2 == 0 and len(raw) >= least else Probe(INVALID, code="odd"), re.compile("EVEN")))
+    document = {"type": "grouped", "entry_view": "top", "views": {"top": [{"format": "port EVEN", "switch_to_view": "in"}], "in": ["set EVEN end"]}}
+    text = "port 100\n set 222 end\n set 7 end\nport 12\n"
+    for mode in ("system", "hierarchy"):
+        plain = ConfigurationParser(LineParser(document, even, mode)).parse(text)
+        got = parse_configurations(spark.createDataFrame([(1, text)], "config_id int, text string"), document, mode=mode, registry=even).orderBy("line_no").collect()
+        assert [(r.kind, r.status) for r in got] == [(r["kind"], r["status"]) for r in plain]
+        assert got[0].status == "matched" or got[0].kind == "command"
+    with pytest.raises(ValueError):
+        parse_configurations(spark.createDataFrame([(1, text)], "config_id int, text string"), {"commands": ["port EVEN {"]}, registry=even)
