@@ -80,3 +80,16 @@ def test_documents(spark, sf_dir):
 
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert rows_of(queries()["op7_suffix_dedup"](spark, sf_dir), *COLUMNS) == brute(docs, 200)
+
+
+def test_without_a_broadcast(spark, sf_dir, make_docs, words, monkeypatch):
+    """Beyond the bound texts are shuffled to their lists, to the same end: of the whole table, of a hot passage in buckets large and small, and of repeated rows."""
+    from lineloom.llm import suffix_dedup
+    from lineloom.llm.queries import queries
+
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_BYTES", -1)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    assert rows_of(queries()["op7_suffix_dedup"](spark, sf_dir), *COLUMNS) == brute(docs, 200)
+    hot = words(60)
+    rows = [(i, words(5 + i % 40) + " " + hot + " " + words(i % 30 + 1)) for i in range(90)] + [(7, "x" * 300), (7, "x" * 300), (None, hot)]
+    assert rows_of(remove_repeats(make_docs(rows)), *COLUMNS) == brute(rows, 200)
