@@ -45,7 +45,8 @@ def normal_name(c) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
-TERMS_LEFT_OUT = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "with")
+#: Words that say nothing of which view is meant.
+TERMS_LEFT_OUT = ("view", "views", "the", "of", "a", "an", "and", "command", "family", "address")
 
 
 def terms(c) -> Column:

@@ -216,16 +216,19 @@ def with_shared(members: DataFrame, shared: list[str]) -> DataFrame:
 
 
 def ranked_views(focus: DataFrame, views: DataFrame, most: int = MOST_VIEWS) -> DataFrame:
-    """(id, view, rank): views to look at for each question. focus: (id, text, linked: array of views); views: (view).
+    """(id, view, rank): views to look at for each question. focus: (id, text, linked: array of views); views: (view, and own: whether it has commands of its own; without it all have).
 
-    Views that share a term or that linked pages have; those with more shared terms first, then by name. It retrieves, and decides nothing.
+    Views that share a term, first, or that linked pages have; then linked ones, those with commands, those with more shared terms, by
+    name. It retrieves, and decides nothing.
     """
-    t = views.select("view", F.explode(terms("view")).alias("term"))
+    own = F.coalesce("own", F.lit(False)) if "own" in views.columns else F.lit(True)
+    v = views.select("view", own.alias("own")).groupBy("view").agg(F.max("own").alias("own"))
+    t = v.select("view", F.explode(terms("view")).alias("term"))
     q = focus.select("id", F.explode(terms("text")).alias("term"))
     shared = q.join(t, "term").groupBy("id", "view").agg(F.count(F.lit(1)).alias("n"))
     linked = focus.select("id", F.explode("linked").alias("view")).distinct().withColumn("linked", F.lit(True))
-    both = shared.join(linked, ["id", "view"], "full")
-    order = Window.partitionBy("id").orderBy(F.col("n").isNull(), F.col("linked").isNull(), F.desc("n"), "view")
+    both = shared.join(linked, ["id", "view"], "full").join(v, "view")
+    order = Window.partitionBy("id").orderBy(F.col("n").isNull(), F.col("linked").isNull(), ~F.col("own"), F.desc("n"), "view")
     return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("id", "view", "rank")
 
 
