@@ -260,6 +260,22 @@ def semantic_lookup(parsed: DataFrame, m: Mapped) -> DataFrame:
     return out.select("config_id", "line_no", F.col("id").alias("pattern_id"), "variation_id", "document_id", "status", "binding_mode", F.when(whole, bound).alias("parameters"), (~whole).alias("needs_trace"), "creates", "requires")
 
 
+def direct_lookup(parsed: DataFrame, documentation: Mapping) -> DataFrame:
+    """What a documentation catalog says of lines that were read against itself: one row per reading, by its place in the catalog.
+
+    Columns: config_id, line_no, pattern_id, variation_id, view (null in a flat catalog), index_in_view, parameters (name, of declarations in
+    angle brackets, slot_id, type_id, raw, normalized, start, end, iterations), creates, requires. A reading of another catalog raises.
+    """
+    spark = parsed.sparkSession
+    rows = [(c.index, c.view, c.index_in_view, c.format, *(json.dumps(c.record.get(k) or []) for k in ("creates", "requires"))) for c in cat.read(documentation).commands]
+    record = spark.createDataFrame(rows, "at int, view string, index_in_view int, format string, creates string, requires string")
+    one = parsed.select("config_id", "line_no", F.explode("matches").alias("m")).select("config_id", "line_no", "m", F.col("m.pattern_index").alias("at"))
+    named = F.filter("m.parameters", lambda p: F.startswith(p["declaration"], F.lit("<")) & F.endswith(p["declaration"], F.lit(">")))
+    about = F.transform(named, lambda p: F.struct(F.substr(p["declaration"], F.lit(2), F.length(p["declaration"]) - 2).alias("name"), *(p[c].alias(c) for c in ("slot_id", "type_id", "raw", "normalized", "start", "end", "iterations"))))
+    own = F.when(F.col("format").eqNullSafe(F.col("m.original_pattern")), F.col("m.pattern_id")).otherwise(F.raise_error(F.lit("the lines weren't read against this documentation")).cast("string"))
+    return one.join(record, "at", "left").select("config_id", "line_no", own.alias("pattern_id"), F.col("m.variation_id").alias("variation_id"), "view", "index_in_view", about.alias("parameters"), "creates", "requires")
+
+
 def replayed(parsed: DataFrame, m: Mapped) -> DataFrame:
     """(config_id, line_no, pattern_id, document_id, way, bindings): each accepting way of a path-dependent pair, over each reading of each line; a null way where the search ran out."""
     from lineloom.grammar.aligning import replay

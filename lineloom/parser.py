@@ -109,6 +109,11 @@ class LineParser:
             raise cat.CatalogError(f"not JSON: {e}") from e
         return cls(document, **how)
 
+    @classmethod
+    def from_json_file(cls, path: str, **how) -> LineParser:
+        with open(path, encoding="utf-8") as f:
+            return cls.from_json(f.read(), **how)
+
     @property
     def entry_view(self) -> str | None:
         return self.catalog.entry
