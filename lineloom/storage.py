@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+#: Names in the session's catalog of the bucketed tables among them, by path.
+_NAMES: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -49,6 +51,19 @@ def written(df: DataFrame) -> DataFrame:
     return materialize(df, "loop")
 
 
+def bucketed(df: DataFrame, keys: tuple[str, ...], label: str) -> DataFrame:
+    """A table in the shared folder with a bucket for each of the session's shuffle partitions: a join by the keys moves its other side alone.
+
+    Rows move once, to be written, however many joins follow. Rows with one key stay in one bucket, in as many files as tasks wrote them.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = fresh_path(spark, label)
+    name = _NAMES[path] = f"lineloom_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def materialize_alone(make: Callable[[], DataFrame], label: str, *, zstd: bool = False) -> DataFrame:
     """materialize(make(), label), and then delete the tables that this wrote on its way."""
     before = len(_WRITTEN)
@@ -62,6 +77,8 @@ def materialize_alone(make: Callable[[], DataFrame], label: str, *, zstd: bool =
 def drop(spark: SparkSession, path: str) -> None:
     """Delete one path of the shared folder, if the session still lives."""
     with contextlib.suppress(Exception):  # the session may be gone at interpreter exit
+        if name := _NAMES.pop(path, None):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
