@@ -30,14 +30,15 @@ from pyspark.sql import functions as F
 
 from lineloom.llm import textbytes as tb
 from lineloom.llm.rows import per_batch
-from lineloom.storage import materialize
+from lineloom.storage import bucketed, materialize
 
 LENGTH, Q = 200, 64
 #: Extents up to which a bucket is sorted out at once, in one row of some SMALL * 2 * LENGTH bytes.
 SMALL = 64
 #: Cells of pointers at the levels of a large bucket.
 WIDTHS = (32, 8, 1)
-#: Bytes of documents' keys and of pointers or spans, as counted below, that are broadcast to the texts; beyond, texts are shuffled to them.
+#: Bytes of documents' keys and of pointers or spans, as counted below, that are broadcast to the texts; beyond, they are shuffled
+#: to the texts, which are written in buckets by their keys once, when lists are first too large.
 BROADCAST_BYTES = 64 << 20
 DOC_BYTES, SPAN_BYTES = 64, 48
 
@@ -103,14 +104,22 @@ def unit_table(docs: DataFrame, length: int, q: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(first << 32 | count), pa.array(bucket), pa.array(extent)], names=["d", "t", "at", "bucket", "extent"])
             done += s.n
 
-    return per_batch(keyed(docs).select("d", "t", "text"), make, "d long, t int, at long, bucket long, extent long")
+    return per_batch(docs.select("d", "t", "text"), make, "d long, t int, at long, bucket long, extent long")
 
 
-def with_lists(docs: DataFrame, lists: DataFrame, n_spans: int, how: str) -> DataFrame:
-    """Documents joined to their written lists: by a broadcast of these where their number and size allow it, else by a shuffle."""
-    if n_spans * SPAN_BYTES + lists.count() * DOC_BYTES <= BROADCAST_BYTES:
-        lists = F.broadcast(lists)
-    return docs.join(lists, list(KEY), how)
+class Texts:
+    """The keyed documents, as tables of lists by key are joined to them."""
+
+    def __init__(self, docs: DataFrame):
+        self.plain, self.placed = keyed(docs), None
+
+    def joined(self, lists: DataFrame, n_spans: int, how: str) -> DataFrame:
+        """Documents with their written lists: by a broadcast of these where their number and size allow it, else by buckets of the texts."""
+        if n_spans * SPAN_BYTES + lists.count() * DOC_BYTES <= BROADCAST_BYTES:
+            return self.plain.join(F.broadcast(lists), list(KEY), how)
+        if self.placed is None:
+            self.placed = bucketed(self.plain, KEY, "suffix-texts")
+        return self.placed.join(lists, list(KEY), how)
 
 
 def anchors(grams: np.ndarray, last: np.ndarray, bucket: np.ndarray, reach: int) -> np.ndarray:
@@ -130,7 +139,7 @@ def _listed(b: pa.RecordBatch, s: tb.Slice, done: int) -> tuple[pa.StructArray,
     return flat, np.repeat(np.arange(s.n), np.asarray(pc.list_value_length(lists))), at >> 32, at & 0xFFFFFFFF
 
 
-def contexts(docs: DataFrame, lists: DataFrame, n_units: int, length: int, q: int) -> DataFrame:
+def contexts(docs: Texts, lists: DataFrame, n_units: int, length: int, q: int) -> DataFrame:
     """(bucket, alone, d, t, first, left, extent): the bytes of each listed unit's extent; left: those before the q-gram."""
 
     def make(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -148,7 +157,7 @@ def contexts(docs: DataFrame, lists: DataFrame, n_units: int, length: int, q: in
                 yield pa.RecordBatch.from_arrays([flat.field(1), flat.field(2), b.column(0).take(take), b.column(1).take(take), pa.array(first), pa.array(left), pa.array(extent, pa.binary())], names=["bucket", "alone", "d", "t", "first", "left", "extent"])
             done += s.n
 
-    wanted = with_lists(keyed(docs).select("d", "t", "text"), lists, n_units, "inner").select("d", "t", "text", "units")
+    wanted = docs.joined(lists, n_units, "inner").select("d", "t", "text", "units")
     return per_batch(wanted, make, "bucket long, alone boolean, d long, t int, first long, left long, extent binary")
 
 
@@ -187,7 +196,7 @@ def sorted_out(small: DataFrame, length: int) -> DataFrame:
 CELL = "bucket long, base int, core long, lo int, hi int, extent long, alone boolean, d long, t int, anchor long"
 
 
-def cells(docs: DataFrame, lists: DataFrame, n_units: int, length: int, q: int, width: int) -> DataFrame:
+def cells(docs: Texts, lists: DataFrame, n_units: int, length: int, q: int, width: int) -> DataFrame:
     """The listed ranges of pointers cut into cells of `width`.
 
     A pointer goes by the number of bytes between it and its q-gram (the anchor). core: a hash of the bytes that all strings of a whole
@@ -214,11 +223,11 @@ def cells(docs: DataFrame, lists: DataFrame, n_units: int, length: int, q: int,
                 yield pa.RecordBatch.from_arrays([flat.field(3).take(own), pa.array(base.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(extent.view(np.int64)), flat.field(4).take(own), b.column(0).take(take), b.column(1).take(take), pa.array(anchor[row])], names=[x.split()[0] for x in CELL.split(", ")])
             done += s.n
 
-    wanted = with_lists(keyed(docs).select("d", "t", "text"), lists, n_units, "inner").select("d", "t", "text", "ranges")
+    wanted = docs.joined(lists, n_units, "inner").select("d", "t", "text", "ranges")
     return per_batch(wanted, make, CELL)
 
 
-def anchored(docs: DataFrame, lists: DataFrame, n_units: int, length: int, q: int) -> DataFrame:
+def anchored(docs: Texts, lists: DataFrame, n_units: int, length: int, q: int) -> DataFrame:
     """(d, t, ranges) of the listed units: anchor, lo and hi, bucket, alone."""
     one = pa.struct([("anchor", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("bucket", pa.int64()), ("alone", pa.bool_())])
 
@@ -236,11 +245,11 @@ def anchored(docs: DataFrame, lists: DataFrame, n_units: int, length: int, q: in
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(done, s.n), b.column(1).slice(done, s.n), pa.ListArray.from_arrays(pa.array(cut), ranges)], names=["d", "t", "ranges"])
             done += s.n
 
-    wanted = with_lists(keyed(docs).select("d", "t", "text"), lists, n_units, "inner").select("d", "t", "text", "units")
+    wanted = docs.joined(lists, n_units, "inner").select("d", "t", "text", "units")
     return per_batch(wanted, make, "d long, t int, ranges array<struct<anchor:long,lo:int,hi:int,bucket:long,alone:boolean>>")
 
 
-def refined(docs: DataFrame, lists: DataFrame, n_units: int, length: int, q: int, widths: tuple[int, ...] = WIDTHS) -> list[DataFrame]:
+def refined(docs: Texts, lists: DataFrame, n_units: int, length: int, q: int, widths: tuple[int, ...] = WIDTHS) -> list[DataFrame]:
     """(d, t, start, end) of what the lone units of large buckets repeat, found level by level.
 
     At each level the pointers of a bucket are refined by the identifier of their cell's core: cells that no other shares drop
@@ -269,9 +278,9 @@ def refined(docs: DataFrame, lists: DataFrame, n_units: int, length: int, q: int
     return out
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q, small: int = SMALL) -> DataFrame:
+def repeated_spans(docs: Texts, length: int = LENGTH, q: int = Q, small: int = SMALL) -> DataFrame:
     """(d, t, start, end) of repeated strings; spans of a document may overlap."""
-    all_units = materialize(unit_table(docs, length, q), "suffix-units")
+    all_units = materialize(unit_table(docs.plain, length, q), "suffix-units")
     buckets = all_units.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("extent").alias("low"), F.max("extent").alias("high")).filter("n > 1")
     buckets = materialize(buckets.select("bucket", (F.col("low") == F.col("high")).alias("pure")), "suffix-buckets")
     shared = materialize(all_units.join(buckets, "bucket"), "suffix-shared")
@@ -322,7 +331,8 @@ def runs_of(spans: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, keep_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start and end pairs); keep_text: kept, the remaining bytes, too."""
-    spans = repeated_spans(docs, length, q)
+    texts = Texts(docs)
+    spans = repeated_spans(texts, length, q)
     lists = materialize(runs_of(spans), "suffix-spans")
     n = lists.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
 
@@ -341,6 +351,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, keep_text:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    full = with_lists(keyed(docs), lists, n, "left").select("doc_id", "text", "starts", "ends")
+    full = texts.joined(lists, n, "left").select("doc_id", "text", "starts", "ends")
     out = per_batch(full, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary")
     return out if keep_text else out.drop("kept")
