@@ -41,6 +41,8 @@ WIDTHS = (32, 8, 1)
 #: to the texts, which are written in buckets by their keys once, when lists are first too large.
 BROADCAST_BYTES = 64 << 20
 DOC_BYTES, SPAN_BYTES = 64, 48
+#: Rows of one key up to which texts are written in buckets: a bucket isn't split, a shuffle of a hot key is.
+MOST_ALIKE = 1000
 
 #: A document: its id (or a hash of its text, where that is null), and a hash of its text.
 KEY = ("d", "t")
@@ -114,11 +116,12 @@ class Texts:
         self.plain, self.placed = keyed(docs), None
 
     def joined(self, lists: DataFrame, n_spans: int, how: str) -> DataFrame:
-        """Documents with their written lists: by a broadcast of these where their number and size allow it, else by buckets of the texts."""
+        """Documents with their written lists: by a broadcast of these where their number and size allow it, else by buckets of the texts, or by a shuffle of them where a key is hot."""
         if n_spans * SPAN_BYTES + lists.count() * DOC_BYTES <= BROADCAST_BYTES:
             return self.plain.join(F.broadcast(lists), list(KEY), how)
         if self.placed is None:
-            self.placed = bucketed(self.plain, KEY, "suffix-texts")
+            most = self.plain.groupBy(*KEY).count().agg(F.max("count")).first()[0] or 0
+            self.placed = bucketed(self.plain, KEY, "suffix-texts") if most <= MOST_ALIKE else self.plain
         return self.placed.join(lists, list(KEY), how)
 
 

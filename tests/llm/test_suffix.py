@@ -93,3 +93,5 @@ def test_without_a_broadcast(spark, sf_dir, make_docs, words, monkeypatch):
     hot = words(60)
     rows = [(i, words(5 + i % 40) + " " + hot + " " + words(i % 30 + 1)) for i in range(90)] + [(7, "x" * 300), (7, "x" * 300), (None, hot)]
     assert rows_of(remove_repeats(make_docs(rows)), *COLUMNS) == brute(rows, 200)
+    monkeypatch.setattr(suffix_dedup, "MOST_ALIKE", 1)  # the repeated row is a hot key: no buckets
+    assert rows_of(remove_repeats(make_docs(rows)), *COLUMNS) == brute(rows, 200)
