@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lineloom.functions import pages
 from lineloom.operators import context, graphs, hierarchy, mapping, matching, reading, rules
-from lineloom.plans.common import table
+from lineloom.plans.common import spread, table
 from lineloom.sources.catalogs import export_by_view, pilot_sample
 
 
@@ -153,7 +153,7 @@ def q_views_said(spark: SparkSession, d: str) -> DataFrame:
         .when(k == 3, F.concat(start, F.lit(" enters the "), name, F.lit(" view. "), start, F.lit(" opens the last one view.")))
         .otherwise(F.concat(F.lit("Some words. "), F.replace(start, F.lit(" command"), F.lit(" set command")), F.lit(" enters the big view. "), start, F.lit(" opens a "), name, F.lit(" view.")))
     )
-    t = table(spark, d, "part").select("p_partkey", F.concat(F.lit("w"), F.col("p_size").cast("string"), F.lit(" [ set ] <x>")).alias("format"), text.alias("text"))
+    t = spread(table(spark, d, "part").select("p_partkey", "p_name", "p_size"), "p_partkey").select("p_partkey", F.concat(F.lit("w"), F.col("p_size").cast("string"), F.lit(" [ set ] <x>")).alias("format"), text.alias("text"))
     found = t.select("p_partkey", pages.switch_evidence(F.col("format"), F.col("text")).alias("e"))
     return found.select("p_partkey", F.col("e.view").alias("view"), F.col("e.text").alias("said"))
 

@@ -99,6 +99,27 @@ def test_sentences_about_views(spark):
         assert (out[i] and tuple(out[i])) == want, (f, t)
 
 
+def test_sentences_about_views_at_length(spark):
+    """Each word is looked at a bounded number of times, and a sentence begins at its first word after a tab too."""
+    rows = ["See\tbelow \tthe acl command enters the X view.", "Of (the -(the acl command enters the X view.", "The acl command " + "enters the X view " * 50_000, "the " + "the a " * 50_000 + "commands enter the X view."]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t string").select("i", switch_evidence(F.lit("acl <n>"), F.col("t")).alias("e"))
+    out = dict(df.select("i", F.struct("e.view", F.substring("e.text", 1, 40).alias("text")).alias("e")).collect())
+    assert [tuple(out[i]) for i in range(4)] == [("X view", "the acl command enters the X view."), ("X view", "the acl command enters the X view."), ("X view", "The acl command enters the X view enters"), (None, None)]
+
+
+def test_views_said_are_read_by_many_tasks(spark, tmp_path):
+    """A table of small rows is one split, and its texts are dealt out nevertheless."""
+    import __spark_entry__
+
+    spark.range(1000).selectExpr("id AS p_partkey", "concat('red', id % 10, ' x') AS p_name", "cast(id % 50 AS int) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = __spark_entry__.queries()["q_views_said"](spark, str(tmp_path))
+        assert out.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_prompts(spark):
     rows = ["<H> show x ", "[~H-a] b 2", " [*H]c", "[H]", "plain", "<a <b> c", "[]", "<>x", None, "[a [b] c"]
     p, c = prompt(F.col("line"))
