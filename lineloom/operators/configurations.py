@@ -8,6 +8,7 @@ over all tasks, and the number of rounds is that of the deepest nesting.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
@@ -22,27 +23,59 @@ from lineloom.parser import LineParser, physical_lines, structure
 
 RESULT = f"kind string, status string, view string, context_issue {ISSUE}, matches array<{MATCH}>, error {ERROR}, child_view string, child_issue string"
 
+#: What one batch of lines holds before it is passed on.
+BATCH_LINES, BATCH_CHARS = 5_000, 1_000_000
+#: Most tasks for each core that recognise commands.
+TASKS_A_CORE = 4
+#: What counts as a blank around a command.
+BLANKS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
+
 
 def configuration_lines(configs: DataFrame, config_id: str, text: str) -> DataFrame:
     """(config_id, line_no, raw, depth, parent_line, level, command) of every physical line; parent_line is null at the top, for blank lines and for #."""
     kind = dict(configs.dtypes)[config_id]
 
+    names = ["config_id", "line_no", "raw", "depth", "parent_line", "level", "command"]
+
+    def batch(ids: pa.Array, take: list[int], columns: list[list]) -> pa.RecordBatch:
+        types = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(take, pa.int32())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            take: list[int] = []
+            columns: list[list] = [[] for _ in names[1:]]
+            held = 0
             for k in range(b.num_rows):
-                lines = physical_lines(b.column(1)[k].as_py() or "")
+                value = b.column(1)[k].as_py() or ""
+                lines = physical_lines(value)
                 if not lines:
                     continue
                 depth, parent, level = zip(*structure(lines), strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(b.column(0)[k], len(lines)), pa.array(range(1, len(lines) + 1), pa.int32()), pa.array(lines, pa.string()), pa.array(depth, pa.int32()), pa.array([None if p is None else p + 1 for p in parent], pa.int32()), pa.array(level, pa.int32()), pa.array([x.strip() for x in lines], pa.string())],
-                    names=["config_id", "line_no", "raw", "depth", "parent_line", "level", "command"],
-                )
+                take += [k] * len(lines)
+                for c, x in zip(columns, (range(1, len(lines) + 1), lines, depth, (None if p is None else p + 1 for p in parent), level, (x.strip() for x in lines)), strict=True):
+                    c.extend(x)
+                held += len(value)
+                if held >= BATCH_CHARS or len(take) >= BATCH_LINES:
+                    yield batch(b.column(0), take, columns)
+                    take, columns, held = [], [[] for _ in names[1:]], 0
+            if take:
+                yield batch(b.column(0), take, columns)
 
     picked = configs.select(F.col(config_id).alias("config_id"), F.col(text).cast("string").alias("text"))
     return picked.mapInArrow(run, f"config_id {kind}, line_no int, raw string, depth int, parent_line int, level int, command string")
 
 
+def plain_lines(configs: DataFrame, config_id: str, text: str) -> DataFrame:
+    """(config_id, line_no, raw, depth, command) of every physical line, as configuration_lines() has them, where nothing asks for the lines that others stand under."""
+    every = F.split(F.col(text).cast("string"), "\r\n|\r|\n")
+    lines = configs.select(F.col(config_id).alias("config_id"), F.posexplode(every).alias("at", "raw"), F.size(every).alias("n"))
+    # a line end at the end opens no new line
+    lines = lines.filter((F.col("raw") != "") | (F.col("at") < F.col("n") - 1))
+    blanks = F.lit(BLANKS)
+    return lines.select("config_id", (F.col("at") + 1).alias("line_no"), "raw", (F.length("raw") - F.length(F.ltrim("raw", blanks))).alias("depth"), F.btrim("raw", blanks).alias("command"))
+
+
 class _Shared:
     """A catalog, with the types its formats may declare, that each Python worker compiles once."""
 
@@ -91,7 +124,10 @@ def recognised(commands: DataFrame, document: Mapping, mode: str, how: str, regi
                 rows.append({"view_in": view, "issue_in": issue, "depth": depth, "command": command, "child_view": child, "child_issue": child_issue and child_issue["code"]} | {k: r[k] for k in ("kind", "status", "view", "context_issue", "matches", "error")})
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return commands.select("view_in", "issue_in", "depth", "command").distinct().mapInArrow(run, schema)
+    # commands are short and take long: left to their bytes, adaptive execution would put them into one task
+    spark, keys = commands.sparkSession, ["view_in", "issue_in", "depth", "command"]
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    return commands.select(keys).distinct().repartition(n, *keys).mapInArrow(run, schema)
 
 
 COLUMNS = ["config_id", "line_no", "raw", "depth", "kind", "status", "view", "context_issue", "matches", "error"]
@@ -112,15 +148,15 @@ def parse_configurations(configs: DataFrame, document: Mapping, *, config_id: st
     contextual = grouped if contextual is None else contextual
     if contextual and not grouped:
         raise ValueError("contexts need a grouped catalog")
-    lines = configuration_lines(configs, config_id, text)
     if not contextual or mode == "system":
+        lines = plain_lines(configs, config_id, text)
         body = lines.filter((F.col("command") != "") & ~((F.col("command") == "#") & F.lit(contextual)))
         how = "system" if contextual else "flat"
         asked = body.withColumns({"view_in": F.lit(None).cast("string"), "issue_in": F.lit(None).cast("string")})
         # what a line means doesn't hang on how far in it stands, but its places do
         found = recognised(asked, document, mode, how, registry).drop("view_in", "issue_in")
         return body.join(found, ["command", "depth"]).select(*COLUMNS).unionByName(_special(lines, contextual))
-    lines = written(lines)
+    lines = written(configuration_lines(configs, config_id, text))
     body = lines.filter((F.col("command") != "") & (F.col("command") != "#"))
     deepest = body.agg(F.max("level")).first()[0]
     parts = [_special(lines, True)]

@@ -196,3 +196,40 @@ def test_types_of_the_users_own_are_read_by_all_tasks(spark):
         assert got[0].status == "matched" or got[0].kind == "command"
     with pytest.raises(ValueError):
         parse_configurations(spark.createDataFrame([(1, text)], "config_id int, text string"), {"commands": ["port EVEN {"]}, registry=even)
+
+
+ODD = ["", None, "\n", "a", "a\n", "a\n\n", "a\r\nb\rc\n\r", " \x1c a b　\n \t\n\x85# \n  #\n x\x0b y\x0c", "\r", "  \n   deep\n​z﻿ \n\x00q\x1f", "\U0001f600 x \U0001f600\n \U0001f600"]
+
+
+def test_lines_without_contexts_are_cut_alike(spark):
+    """Texts of any ends and blanks, by built-in functions and by plain Python, in batches of few and of many lines."""
+    from lineloom.operators.configurations import BLANKS, BATCH_LINES, configuration_lines, plain_lines
+    from lineloom.parser import structure
+
+    long = "".join(f"{' ' * (i % 3)}x {i}\n" for i in range(BATCH_LINES + 7))
+    rows = [(k, t) for k, t in enumerate([*ODD, *(f"{a}b{a}c" for a in BLANKS), long, *ODD])]
+    want = set()
+    for k, t in rows:
+        lines = physical_lines(t or "")
+        want |= {(k, i, raw, d, None if p is None else p + 1, level, raw.strip()) for i, (raw, (d, p, level)) in enumerate(zip(lines, structure(lines), strict=True), 1)}
+    df = spark.createDataFrame(rows, "c long, t string").coalesce(1)
+    cut = [tuple(r) for r in configuration_lines(df, "c", "t").collect()]
+    assert len(cut) == len(want) and set(cut) == want
+    cut = [tuple(r) for r in plain_lines(df, "c", "t").collect()]
+    assert len(cut) == len(want) and set(cut) == {(k, i, raw, d, command) for k, i, raw, d, _, _, command in want}
+
+
+@pytest.mark.parametrize("document", [{"commands": ["a <x>"]}, TREE])
+def test_python_sees_distinct_commands_alone(spark, document):
+    """Without contexts from above, and in more than one task however short they are."""
+    from pyspark.sql import functions as F
+
+    from lineloom.operators.configurations import parse_configurations, recognised
+
+    rows = spark.range(1000).selectExpr("id AS config_id", "concat('a ', id % 500) AS text")
+    plan = parse_configurations(rows, document)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    asked = rows.selectExpr("cast(null AS string) AS view_in", "cast(null AS string) AS issue_in", "0 AS depth", "text AS command")
+    found = recognised(asked, {"commands": ["a <x>"]}, "system", "flat")
+    at = found.select("command", F.spark_partition_id().alias("at")).collect()
+    assert len(at) == 500 and len({r["at"] for r in at}) > 1
