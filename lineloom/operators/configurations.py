@@ -127,7 +127,8 @@ def recognised(commands: DataFrame, document: Mapping, mode: str, how: str, regi
     # commands are short and take long: left to their bytes, adaptive execution would put them into one task
     spark, keys = commands.sparkSession, ["view_in", "issue_in", "depth", "command"]
     n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_A_CORE * spark.sparkContext.defaultParallelism)
-    return commands.select(keys).distinct().repartition(n, *keys).mapInArrow(run, schema)
+    # Spark takes results to be as small as the files that the commands come from, and would broadcast them, and leave lines in the splits of those
+    return commands.select(keys).distinct().repartition(n, *keys).mapInArrow(run, schema).hint("merge")
 
 
 COLUMNS = ["config_id", "line_no", "raw", "depth", "kind", "status", "view", "context_issue", "matches", "error"]

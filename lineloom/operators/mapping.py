@@ -243,7 +243,8 @@ def semantic_lookup(parsed: DataFrame, m: Mapped) -> DataFrame:
     x, y = m.device.catalog, m.documentation.catalog
     one = parsed.select("config_id", "line_no", (F.col("depth") > 0).alias("nested"), F.explode("matches").alias("m")).select("config_id", "line_no", "nested", F.col("m.pattern_id").alias("id"), F.col("m.variation_id").alias("variation_id"), F.col("m.parameters").alias("values"))
     record = m.documentation.records.select(F.col("id").alias("document_id"), "view", F.get_json_object("record", "$.creates").alias("creates"), F.get_json_object("record", "$.requires").alias("requires"))
-    out = one.join(m.pairs, "id").join(record, "document_id")
+    # a catalog's records, which the driver has had in hand: left to choose, Spark moves all readings by the few documents they are of
+    out = one.join(m.pairs, "id").join(F.broadcast(record), "document_id")
     if x.grouped and y.grouped:
         over = F.lit(False) if y.global_view is None else F.col("view") == y.global_view
         out = out.filter(over | ((F.col("view") != y.entry) == F.col("nested")))

@@ -208,3 +208,18 @@ def test_the_valid_part_of_a_catalog(spark):
     assert good == DOCUMENTS and len(left) == 2
     with pytest.raises(ValueError):
         M.map_catalogs(spark, bad, DOCUMENTS)
+
+
+def test_readings_are_not_moved_by_their_document(spark, tmp_path):
+    """Readings of a large table are of few documents: they stay where lines met their results, which are as many as there are commands."""
+    from lineloom.operators.configurations import parse_configurations
+
+    head = {"schema_version": 1, "vendor": "v", "device": "d", "model_type": "m", "type": "flat"}
+    device = head | {"source": "device", "commands": [{"format": "a INTEGER<0-999>"}]}
+    mapped = M.map_catalogs(spark, device, head | {"source": "documentation", "commands": [{"format": "a <n>"}]})
+    spark.range(1000).selectExpr("id AS config_id", "concat('a ', id) AS text").coalesce(1).write.parquet(f"{tmp_path}/t")
+    found = M.semantic_lookup(parse_configurations(spark.read.parquet(f"{tmp_path}/t"), device), mapped)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin [document_id" in plan and "SortMergeJoin [document_id" not in plan
+    assert "SortMergeJoin [command" in plan and "BroadcastHashJoin [command" not in plan
+    assert {(r.config_id, r.parameters[0].raw) for r in found.collect()} == {(i, str(i)) for i in range(1000)}
