@@ -274,7 +274,8 @@ def direct_lookup(parsed: DataFrame, documentation: Mapping) -> DataFrame:
     named = F.filter("m.parameters", lambda p: F.startswith(p["declaration"], F.lit("<")) & F.endswith(p["declaration"], F.lit(">")))
     about = F.transform(named, lambda p: F.struct(F.substr(p["declaration"], F.lit(2), F.length(p["declaration"]) - 2).alias("name"), *(p[c].alias(c) for c in ("slot_id", "type_id", "raw", "normalized", "start", "end", "iterations"))))
     own = F.when(F.col("format").eqNullSafe(F.col("m.original_pattern")), F.col("m.pattern_id")).otherwise(F.raise_error(F.lit("the lines weren't read against this documentation")).cast("string"))
-    return one.join(record, "at", "left").select("config_id", "line_no", own.alias("pattern_id"), F.col("m.variation_id").alias("variation_id"), "view", "index_in_view", about.alias("parameters"), "creates", "requires")
+    # left to choose, Spark moves all readings, with all that they hold, by the few formats they are of
+    return one.join(F.broadcast(record), "at", "left").select("config_id", "line_no", own.alias("pattern_id"), F.col("m.variation_id").alias("variation_id"), "view", "index_in_view", about.alias("parameters"), "creates", "requires")
 
 
 def replayed(parsed: DataFrame, m: Mapped) -> DataFrame:

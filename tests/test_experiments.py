@@ -45,6 +45,12 @@ def test_direct_lookup(spark):
         direct_lookup(parsed, other).collect()
 
 
+def test_direct_lookup_moves_no_readings(spark):
+    configs = spark.createDataFrame([("a", "in x\n set y\n")], "config_id string, text string")
+    plan = direct_lookup(C.parse_configurations(configs, GROUPED), GROUPED)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin [at" in plan and "SortMergeJoin [at" not in plan
+
+
 def test_from_json_file(tmp_path):
     (tmp_path / "c.json").write_text('{"commands": ["say <x>"]}', encoding="utf-8")
     assert LineParser.from_json_file(str(tmp_path / "c.json")).parse("say a")["matches"]
